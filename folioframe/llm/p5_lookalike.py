@@ -171,6 +171,8 @@ class Forms:
 
     def _word(self, chars, scripts, start, end, main, strong, math, greek_regular, bad, origin) -> None:
         have = Counter(s for s in scripts[start:end] if s)
+        if not have:
+            return
         if math:
             own = "latin"
         else:
