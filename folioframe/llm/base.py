@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from folioframe.session import read_table
 
 MATH_KINDS = ("display_math", "inline_math")
+#: Han characters, for patterns of Python's own re.
+HAN = "\u3400-\u9fff\uf900-\ufaff"
 LANGS = ("en", "de", "fr", "ru", "zh")
 
 #: A word of any script; a Chinese character is a word of its own.
@@ -55,8 +57,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def candidates_of(spark: SparkSession, directory: str) -> DataFrame:
-    """Distinct candidate records; exact copies are one record."""
-    return read_table(spark, directory, "candidates").select("paper", "block", "seq", "engine", "family", "content", "format", "meta").dropDuplicates(["paper", "block", "seq"])
+    """Distinct candidate records; exact copies are one record. They are spread by block, so that
+    the removal of copies, joins with blocks and grouping by block need no further shuffle."""
+    raw = read_table(spark, directory, "candidates").select("paper", "block", "seq", "engine", "family", "content", "format", "meta")
+    return raw.repartition("paper", "block").dropDuplicates(["paper", "block", "seq"])
 
 
 def blocks_of(spark: SparkSession, directory: str) -> DataFrame:
@@ -75,4 +79,6 @@ SPACES = regex.compile(r"[\p{Zs}\t\r\n\f\v  ]+")
 
 def plain(text: str) -> str:
     """NFKC without invisible characters and with single spaces; for comparing only."""
+    if text.isascii():
+        return " ".join(text.split())
     return SPACES.sub(" ", unicodedata.normalize("NFKC", INVISIBLE.sub("", text))).strip()

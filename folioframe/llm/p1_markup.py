@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import html
 import math
+import re
 from collections import Counter
 
-import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +38,10 @@ CODE_KINDS = ("code", "algorithm")
 PATTERNS = [
     ("path", r"(?<![\w\\])[A-Za-z]:(?:\\[\w .-]*\w)+|(?<![\w\\])\\\\\w[\w.-]*(?:\\[\w.-]+)+"),
     ("url", r"https?://[^\s<>\])}]+"),
-    ("set", r"\{\s*[\p{L}\d.]+(?:\s*,\s*[\p{L}\d.…]+)+\s*\}"),
+    ("word", r"[^\W\d_]+"),
+    ("number", r"\d[\d.,]*"),
+    ("plain", r"[ .,()“”„’–—。、；？%]+(?<!\s)(?=[^\W_])|(?<=[^\s]) (?=[^\W_])"),
+    ("set", r"\{\s*[^\W_.]+(?:\s*,\s*(?:[^\W_]|[.…])+)+\s*\}"),
     ("html_comment", r"<!--.*?-->|<!--|-->"),
     ("html_tag", rf"(?i:<{_NAME}{_ATTR}\s*/?>|</{_NAME}\s*>|<!doctype[^>]*>)|</?(?i:{_NAME})(?:\s+[a-zA-Z-]+\s*=[^<>]*)?\Z|</\Z"),
     ("html_entity", r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,8});|&#\d*\Z"),
@@ -46,20 +49,20 @@ PATTERNS = [
     ("wiki_table", r"(?m:^\s*\{\||^\s*\|\}|^\s*\|-+\s*$|^\s*\|\+)"),
     ("md_table_rule", r"(?m:^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$)"),
     ("md_row", r"(?m:^\s*\|(?=[^\n]*\S))"),
-    ("wiki_heading", r"(?m:^\s*={2,6}(?=\s*[^=\s])|(?<=[^=\s]\s?)={2,6}\s*$)"),
+    ("wiki_heading", r"(?m:^\s*={2,6}(?=\s*[^=\s])|(?<=[^=\s])={2,6}\s*$|(?<=[^=\s]\s)={2,6}\s*$)"),
     ("md_heading", r"(?m:^\s{0,3}#{1,6}(?=\s+\S)|^\s{0,3}#{2,6}\s*$)"),
     ("md_quote", r"(?m:^\s{0,3}>+(?=\s+\S))"),
     ("md_image", r"!\[[^\]\n]*\]\([^)\n]*\)"),
     ("md_link", r"\[[^\]\n]+\]\((?:https?:|#|/|\.|mailto:|\w+[./#])[^)\s]*(?:\s+\"[^\"]*\")?\)|\[\^\w+\]:?"),
     ("wiki_link", r"\[\[|\]\]|\[https?://"),
-    ("wiki_template", r"\{\{(?=\s*[\p{L}#!])|(?<=[\p{L}\p{N}|=\s)])\}\}"),
+    ("wiki_template", r"\{\{(?=\s*[^\W\d_]|\s*[#!])|(?<=[\w|=\s)])\}\}"),
     ("wiki_quote", r"'{2,5}"),
     ("latex_env", r"\\(?:begin|end)\s*\{[^}\n]*\}?"),
     ("latex_math", r"\\[\[\]()]|\$\$|\$(?=[^\s$\d](?:[^$\n]*[^\s$\\])?\$(?!\d))|\$(?=\d[^\s$]*[\\^_{=<>+*/-][^\s$]*\$(?!\d))|(?<=[^\s$\\])\$(?![\w$])|\$(?=\\|[A-Za-z]\b(?!\$))"),
     ("latex_cmd", r"\\[a-zA-Z@]+\*?"),
     ("latex_row", r"\\\\"),
     ("latex_escape", r"\\[&%$#_{}~^,;:!\"'`=.\-* |<>]"),
-    ("latex_tie", r"(?<=[\p{L}.])~(?=[\p{L}\d\\$])"),
+    ("latex_tie", r"(?<=[^\W_\d])~(?=[^\W_]|[\\$])|(?<=\.)~(?=[^\W_]|[\\$])"),
     ("latex_script", r"[\^_]\{|[\^_](?=\\)"),
     ("brace", r"[{}]"),
     ("md_strong", r"\*\*|__(?=\S)|(?<=\S)__"),
@@ -69,18 +72,20 @@ PATTERNS = [
     ("wiki_list", r"(?m:^\s*[*#:;]{2,}(?=\s+\S))"),
     ("md_rule", r"(?m:^\s*(?:-{3,}|\*{3,}|_{3,}|={4,})\s*$)"),
     ("amp_cell", r"(?<=\s)&(?=\s)"),
-    ("word", r"\p{Han}|[\p{L}\p{M}]+"),
-    ("number", r"\d[\d.,]*"),
     ("space", r"\s+"),
     ("punct", r"."),
 ]
 TOKEN = re.compile("|".join(f"(?P<{n}>{p})" for n, p in PATTERNS), re.S)
-CONTENT = ("path", "url", "set", "word", "number", "space", "punct", "amp_cell")
+CONTENT = ("plain", "path", "url", "set", "word", "number", "space", "punct", "amp_cell")
 CLASSES = [n for n, _ in PATTERNS]
 #: In bare code these signs belong to the program.
 NOT_IN_CODE = {"md_heading", "md_emph", "md_strong", "md_list", "md_rule", "md_quote", "wiki_list", "wiki_quote", "wiki_heading", "wiki_link", "wiki_template", "brace", "latex_row", "latex_escape", "latex_script", "latex_tie", "md_code", "md_row", "md_link", "amp_cell"}
 
 
+#: Signs without which a text holds no markup: every pattern of a markup class needs one of them.
+SIGNS = re.compile(r"[<>&\\$`*_#|{}\[\]~^=]|''|^\s*[-+>]", re.M)
+
+
 def tokens(text: str, kind: str | None = None) -> list[tuple[str, int, int]]:
     """(class, start, end) of every token; concatenated they give the text back."""
     out = []
@@ -125,6 +130,8 @@ def _cells(row: str, sep: str) -> str:
 def to_clean(text: str, kind: str | None = None) -> str:
     """Clean text of one record: headings stand alone between blank lines, list items begin with
     a bullet, code lines keep their indent, table rows are tab-separated, formulas keep their source."""
+    if not SIGNS.search(text):
+        return text.strip()
     kept: list[str] = []
 
     def keep(s: str) -> str:
@@ -182,7 +189,7 @@ def to_clean(text: str, kind: str | None = None) -> str:
     t = re.sub(r"'{2,5}|\*\*|(?<!\w)__|__(?!\w)|`+|\[\[|\]\]|\{\{|\}\}|[{}]", "", t)
     t = re.sub(r"(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*(?![\w*])|(?<!\w)_(?=\S)([^_\n]+?)(?<=\S)_(?!\w)", lambda m: m[1] or m[2], t)
     t = re.sub(r"\\([&%$#_{}])", r"\1", t)
-    t = re.sub(r"(?<=[\p{L}.])~(?=[\p{L}\d])", " ", t)
+    t = re.sub(r"(?<=[^\W_\d])~(?=[^\W_])|(?<=\.)~(?=[^\W_])", " ", t)
     t = re.sub(r"\\\\", "\n", t)
     t = html.unescape(t)
     t = re.sub(r"[ \t]*\n[ \t]*(?=[^•\s]|$)", "\n", t)
@@ -200,51 +207,72 @@ def records(spark: SparkSession, directory: str) -> DataFrame:
     return candidates_of(spark, directory).select("paper", "block", "seq", "content").join(b, ["paper", "block"])
 
 
+#: Labelled records from which the weights are learnt, picked by hash. This bounds a model of a few
+#: dozen numbers; everything else reads all records.
+LABELLED = 20_000
+
+
 def learn_weights(recs: DataFrame) -> dict[str, float]:
     """Log odds of each token class: how often its tokens are content of the labelled text.
 
-    Every record whose block has a text takes part. Counts are summed per batch row and then per
-    class; a few dozen numbers come back.
+    A record is labelled where its block has a text of its own.
     """
 
     def count(row: dict):
         text, label = row["content"], row["label"]
-        if not text or not label:
-            return
-        have = Counter(plain(label).split())
+        have = set(plain(label).split())
         tally: Counter = Counter()
         for name, a, b in tokens(text, row["kind"]):
-            if name != "space":
-                tally[name, name in CONTENT and (name != "word" or any(text[a:b] in w for w in have) if len(have) < 40 else True)] += 1
+            if name not in ("space", "plain"):
+                tally[name, name in CONTENT and (name != "word" or len(have) >= 40 or any(text[a:b] in w for w in have))] += 1
         for (name, good), n in tally.items():
             yield name, good, n
 
-    seen = python_stage(recs.select("content", "label", "kind"), "name string, good boolean, n long", count).groupBy("name", "good").agg(F.sum("n").alias("n")).collect()
+    picked = recs.where(F.col("content").rlike(r"\S") & F.col("label").rlike(r"\S")).select("content", "label", "kind", F.xxhash64("paper", "block", "seq").alias("h")).orderBy("h").limit(LABELLED)
+    seen = python_stage(picked.drop("h").repartition(8), "name string, good boolean, n long", count).groupBy("name", "good").agg(F.sum("n").alias("n")).collect()
     n = {(r["name"], r["good"]): r["n"] for r in seen}
     learnt = {}
     for c in CLASSES:
         good, bad = n.get((c, True), 0), n.get((c, False), 0)
         odds = math.log((good + 0.5) / (bad + 0.5)) / 4 if good + bad else PRIOR[c]
         odds = max(-3.0, min(3.0, odds))
-        learnt[c] = 0.0 if c in ("space", "punct", "amp_cell") else max(odds, 0.1) if c in CONTENT else min(odds, -0.1)
+        learnt[c] = 0.0 if c in ("plain", "space", "punct", "amp_cell") else max(odds, 0.1) if c in CONTENT else min(odds, -0.1)
     return learnt
 
 
-def scan(recs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """The scan over every record: content region, its score, and the markup met on the way."""
+_FIRST = re.compile(r"[^\W_]")
+
+
+def region_of(text: str, kind: str | None, weights: dict[str, float]) -> tuple[list[str], int, int, float, list]:
+    """Markup classes met, best region, its score, and the tokens where there is markup."""
+    if not SIGNS.search(text):
+        # only content, none of it negative: the region reaches from the first word to the last
+        m = _FIRST.search(text)
+        if m is None:
+            return [], 0, 0, 0.0, []
+        size = len(text.rstrip())
+        return [], m.start(), size, float(sum(weights["word"] for _ in text.split())), []
+    toks = tokens(text, kind)
+    a, b, score = best_region(toks, weights)
+    return list(dict.fromkeys(n for n, _, _ in toks if n not in CONTENT and weights[n] < 0)), a, b, score, toks
+
+
+def scan(recs: DataFrame, weights: dict[str, float], convert: bool = True) -> DataFrame:
+    """The scan over every record: content region, its score, and the markup met on the way; with
+    ``convert`` the clean text too."""
 
     def rows(row: dict):
         text = row["content"]
         if text is None:
             yield row["paper"], row["block"], row["seq"], row["kind"], None, None, None, None, None
             return
-        toks = tokens(text, row["kind"])
-        a, b, score = best_region(toks, weights)
-        marks = list(dict.fromkeys(n for n, _, _ in toks if n not in CONTENT and weights[n] < 0))
-        lead = [t for t in toks if t[2] <= a and t[0] not in CONTENT]
-        tail = [t for t in toks if t[1] >= b and t[0] not in CONTENT]
-        # markup that only opens or closes what the region holds goes with it
-        clean = to_clean(text[(lead[0][1] if lead else a):(tail[-1][2] if tail else b if not text[b:].strip() else len(text))], row["kind"])
+        marks, a, b, score, toks = region_of(text, row["kind"], weights)
+        clean = None
+        if convert:
+            lead = [t for t in toks if t[2] <= a and t[0] not in CONTENT]
+            tail = [t for t in toks if t[1] >= b and t[0] not in CONTENT]
+            # markup that only opens or closes what the region holds goes with it
+            clean = to_clean(text[(lead[0][1] if lead else a):(tail[-1][2] if tail else b if not text[b:].strip() else len(text))], row["kind"])
         yield row["paper"], row["block"], row["seq"], row["kind"], marks, a, b, score, clean
 
     return python_stage(recs.select("paper", "block", "seq", "kind", "content"), "paper string, block string, seq int, kind string, marks array<string>, region_start int, region_end int, score double, clean string", rows)
@@ -252,7 +280,7 @@ def scan(recs: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     recs = records(spark, directory)
-    return scan(recs, learn_weights(recs)).where(F.size("marks") > 0).select("paper", "block", "seq").distinct()
+    return scan(recs, learn_weights(recs), convert=False).where(F.size("marks") > 0).select("paper", "block", "seq").distinct()
 
 
 def p1_clean(spark: SparkSession, directory: str) -> DataFrame:
@@ -264,7 +292,7 @@ def p1_clean(spark: SparkSession, directory: str) -> DataFrame:
 def p1_kinds(spark: SparkSession, directory: str) -> DataFrame:
     """How many records hold each class of markup, by kind of block."""
     recs = records(spark, directory)
-    return scan(recs, learn_weights(recs)).select("kind", F.explode("marks").alias("mark")).groupBy("kind", "mark").agg(F.count(F.lit(1)).alias("records"))
+    return scan(recs, learn_weights(recs), convert=False).select("kind", F.explode("marks").alias("mark")).groupBy("kind", "mark").agg(F.count(F.lit(1)).alias("records"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_kinds": p1_kinds}
