@@ -14,17 +14,17 @@ from ``blocks`` are judged without kind and text; texts are compared whole.
 from __future__ import annotations
 
 import json
+import re
 from difflib import SequenceMatcher
 
-import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import MATH_KINDS, blocks_of, candidates_of, plain, python_stage
+from folioframe.llm.base import MATH_KINDS, blocks_of, plain, python_stage
 from folioframe.llm.p1_markup import CODE_KINDS, to_clean
 from folioframe.llm.p4_consensus import canonical
 from folioframe.llm.p6_scan import LONE_NUMBER
-from folioframe.session import durable
+from folioframe.session import durable, read_table
 
 #: Kinds whose texts end with an end mark.
 SENTENCE_KINDS = ("text", "list", "footnote", "reference")
@@ -38,8 +38,19 @@ GOES_ON = 3
 _FORMULA = re.compile(r"\$\$[^$]+\$\$|(?<!\$)\$(?=[^\s$\d])[^$\n]+\$|\\\([^\n]*?\\\)")
 
 
+_OTHER = re.compile(r"[\W_]+")
+
+
 def words_only(text: str) -> str:
-    return "".join(re.findall(r"[\p{L}\p{N}]", text.casefold()))
+    return _OTHER.sub("", text.casefold())
+
+
+def _spots(part: str, text: str) -> list[int]:
+    out, at = [], text.find(part)
+    while at >= 0:
+        out.append(at)
+        at = text.find(part, at + 1)
+    return out
 
 
 def _goes_on(short: str, long: str) -> int:
@@ -51,7 +62,7 @@ def _goes_on(short: str, long: str) -> int:
         tail = short[-size:]
         if len(tail) < size and size != 7:
             continue
-        spots = [m.start() for m in re.finditer(re.escape(tail), long, overlapped=True)]
+        spots = _spots(tail, long)
         if spots:
             at = min(spots, key=lambda i: (abs(i + len(tail) - len(short)), i))
             if abs(at + len(tail) - len(short)) <= 40 + len(short) // 6:
@@ -129,11 +140,11 @@ def _table_cut(text: str, clean: str, others: list[str]) -> bool:
 
 def judge_text(rows: list[dict], kind: str | None, block: str | None) -> list[dict]:
     # formulas within the text are slots in the block's own text; they are left out of the comparison
-    cleans = [to_clean(r["content"] if kind in CODE_KINDS else _FORMULA.sub("", r["content"]), kind) for r in rows]
+    cleans = [to_clean(r["content"] if kind in CODE_KINDS else _FORMULA.sub("", r["content"]) if "$" in r["content"] or "\\(" in r["content"] else r["content"], kind) for r in rows]
     plains = [plain(c) for c in cleans]
     letters = [words_only(c) for c in plains]
     lines = [x for x in (block or "").split("\n") if x.strip() and (kind in CODE_KINDS or not LONE_NUMBER.match(x.strip()) or x.strip()[-1] in ".,")]
-    own = words_only(plain(re.sub(r"(?<=\p{L})-[ ]*\n[ ]*", "", "\n".join(lines))))
+    own = words_only(plain(re.sub(r"(?<=[^\W\d_])-[ ]*\n[ ]*", "", "\n".join(lines))))
     last_line = words_only(plain(lines[-1])) if len(lines) > 1 else ""
     out = []
     for i, r in enumerate(rows):
@@ -189,8 +200,8 @@ def limits(cands: DataFrame) -> DataFrame:
     at most 1 / LIMIT_SHARE rows per engine and unit, however many records there are.
     """
     n = cands.select("engine", F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("content").alias("length")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length("content").alias("length")))).alias("x")).where("x.length >= 40").groupBy("engine", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
+        F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")),
+        F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x")).where("x.length >= 40").groupBy("engine", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy("engine", "unit").agg(F.sum("n").alias("all"))
     near = n.select("engine", "unit", F.explode(F.expr("sequence(length - 5, length + 5)")).alias("length"), "n").groupBy("engine", "unit", "length").agg(F.sum("n").alias("near"))
     return (
@@ -201,26 +212,34 @@ def limits(cands: DataFrame) -> DataFrame:
 
 
 def judged(spark: SparkSession, directory: str) -> DataFrame:
-    """Every candidate with non-blank content, the evidence, and whether it is cut."""
+    """Every candidate with non-blank content, the evidence, and whether it is cut.
+
+    Contents are shuffled once, by block; what is counted over all records (vocabulary, lengths, final
+    tokens) travels without them.
+    """
     blocks = blocks_of(spark, directory)
-    cands = candidates_of(spark, directory).where(F.col("content").rlike(r"\S"))
-    cands = cands.withColumn("last", F.lower(F.regexp_extract("content", r"(\p{L}{2,})\z", 1)))
-    seen = cands.select(F.col("content").alias("text")).unionByName(blocks.select("text"))
+    raw = read_table(spark, directory, "candidates").where(F.col("content").rlike(r"\S"))
+    last = F.lower(F.regexp_extract("content", r"(\p{L}{2,})\z", 1))
+    small = durable(raw.select("paper", "block", "seq", "engine", F.length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes"), last.alias("last")).distinct())
+    seen = raw.select(F.col("content").alias("text")).unionByName(read_table(spark, directory, "blocks").select("text"))
     vocabulary = seen.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    finals = cands.where("last <> ''").select(F.col("last").alias("node")).distinct()
+    finals = small.where("last <> ''").select(F.col("last").alias("node")).distinct()
     nodes = trie_nodes(vocabulary).join(finals, "node", "left_semi").where("n_longer > 0 and n_word * 4 < n_longer").select(F.col("node").alias("last"), F.lit(True).alias("prefix"))
-    lim = durable(limits(cands))
+    lim = durable(limits(small))
     chars, byts = (lim.where(F.col("unit") == u).select("engine", F.col("length").alias(f"n_{u}"), F.lit(True).alias(f"at_{u}")) for u in ("chars", "bytes"))
+    flags = (
+        small.join(F.broadcast(chars), ["engine", "n_chars"], "left").join(F.broadcast(byts), ["engine", "n_bytes"], "left").join(nodes, "last", "left")
+        .where("at_chars or at_bytes or prefix").groupBy("paper", "block").agg(F.collect_list(F.struct("seq", F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("limit"), F.coalesce("prefix", F.lit(False)).alias("prefix"))).alias("flags"))
+    )
     rows = (
-        cands.withColumn("n_chars", F.length("content")).withColumn("n_bytes", F.octet_length("content"))
-        .join(F.broadcast(chars), ["engine", "n_chars"], "left").join(F.broadcast(byts), ["engine", "n_bytes"], "left").join(nodes, "last", "left")
-        .select("paper", "block", F.struct("seq", "engine", "content", "meta", F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("limit"), F.coalesce("prefix", F.lit(False)).alias("prefix")).alias("r"))
-        .groupBy("paper", "block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+        raw.select("paper", "block", F.struct("seq", "engine", "content", "meta").alias("r")).repartition("paper", "block")
+        .groupBy("paper", "block").agg(F.array_sort(F.collect_set("r")).alias("rows")).join(flags, ["paper", "block"], "left")
     )
     both = rows.join(blocks.select("paper", F.col("id").alias("block"), "kind", "text"), ["paper", "block"], "left")
 
     def judge(row: dict):
-        rs = row["rows"]
+        flags = {f["seq"]: f for f in row["flags"] or []}
+        rs = [{**r, "limit": False, "prefix": False, **flags.get(r["seq"], {})} for i, r in enumerate(row["rows"]) if not i or r["seq"] != row["rows"][i - 1]["seq"]]
         found = judge_formula(rs) if row["kind"] in MATH_KINDS else judge_text(rs, row["kind"], row["text"])
         for r, f in zip(rs, found):
             yield row["paper"], row["block"], r["seq"], r["engine"], row["kind"], f["cut"], f["prefix"], f["goes_on"], f["at_limit"], f["admitted"]
