@@ -18,11 +18,11 @@ are left out of ``found`` but have a consensus; extra columns are not read.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from functools import lru_cache
 
-import regex as re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ _FOLD = str.maketrans(LATIN_OF)
 def canonical(latex: str) -> tuple[str, ...]:
     """Tokens that stay when spacing, optional braces, outer delimiters, synonyms and look-alike
     characters are put aside. Sub- and superscripts come in one order."""
-    t = unicodedata.normalize("NFKC", INVISIBLE.sub("", latex)).translate(_FOLD).replace("−", "-").strip()
+    t = latex.strip() if latex.isascii() else unicodedata.normalize("NFKC", INVISIBLE.sub("", latex)).translate(_FOLD).replace("−", "-").strip()
     for _ in range(3):
         m = re.fullmatch(r"\s*(?:```(?:latex|math)?\s*(.*?)\s*```|\$\$(.*)\$\$|\$(.*)\$|\\\[(.*)\\\]|\\\((.*)\\\)|\\begin\{(?:equation|displaymath|math)\*?\}(.*)\\end\{(?:equation|displaymath|math)\*?\})\s*", t, re.S)
         if not m:
