@@ -14,30 +14,42 @@ from folioframe.functions import tables as T
 from folioframe.functions import tex as X
 
 
+def lazily(make: Callable) -> Callable:
+    """Types are parsed by a session: the column function is made when it is first used."""
+    made: list = []
+
+    def use(*columns):
+        if not made:
+            made.append(make())
+        return made[0](*columns)
+    return use
+
+
 def column(returns: str, f: Callable):
-    """``f`` over one or two string columns."""
-    if returns.startswith("struct"):
-        names = [p.split(":")[0].strip() for p in _fields(returns)]
+    """``f`` over a string column."""
+    def make():
+        if returns.startswith("struct"):
+            names = [p.split(":")[0].strip() for p in _fields(returns)]
 
-        @F.pandas_udf(returns)
-        def one(x: pd.Series) -> pd.DataFrame:
-            rows = [None if v is None else f(v) for v in x]
-            return pd.DataFrame([{n: None for n in names} if r is None else r for r in rows], columns=names)
-        return one
+            def one(x: pd.Series) -> pd.DataFrame:
+                return pd.DataFrame([dict.fromkeys(names) if v is None else f(v) for v in x], columns=names)
+            return F.pandas_udf(one, returns)
 
-    @F.pandas_udf(returns)
-    def plain(x: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else f(v) for v in x], dtype=object)
-    return plain
+        def plain(x: pd.Series) -> pd.Series:
+            return pd.Series([None if v is None else f(v) for v in x], dtype=object)
+        return F.pandas_udf(plain, returns)
+    return lazily(make)
 
 
 def column2(returns: str, f: Callable):
-    names = [p.split(":")[0].strip() for p in _fields(returns)]
+    """``f`` over two string columns, with a struct."""
+    def make():
+        names = [p.split(":")[0].strip() for p in _fields(returns)]
 
-    @F.pandas_udf(returns)
-    def two(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([{n: None for n in names} if a is None or b is None else f(a, b) for a, b in zip(x, y)], columns=names)
-    return two
+        def two(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([dict.fromkeys(names) if a is None or b is None else f(a, b) for a, b in zip(x, y)], columns=names)
+        return F.pandas_udf(two, returns)
+    return lazily(make)
 
 
 def _fields(ddl: str) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import lines as L
+from folioframe.functions.udfs import lazily
 from folioframe.operators.glyphs import KEY, is_visible, unique
 from folioframe.operators.layout import children, reading_order, unique as unique_blocks
 from folioframe.operators.spatial import glyph_owner
@@ -22,8 +23,7 @@ def block_glyphs(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
     return g.join(owned, list(KEY)).groupBy("paper", "owner").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["g"]).alias("glyphs"))
 
 
-@F.pandas_udf("struct<text:string,slots:array<string>,lines:int>")
-def _composed(column: pd.Series) -> pd.DataFrame:
+def _compose(column: pd.Series) -> pd.DataFrame:
     rows = []
     for gs in column:
         gs = [dict(g) for g in gs]
@@ -34,6 +34,9 @@ def _composed(column: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "slots", "lines"])
 
 
+_composed = lazily(lambda: F.pandas_udf(_compose, "struct<text:string,slots:array<string>,lines:int>"))
+
+
 def composed_text(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Prose with slots of every block that owns glyphs."""
     return block_glyphs(glyphs, blocks).select("paper", F.col("owner").alias("id"), _composed("glyphs").alias("c")).select("paper", "id", "c.text", "c.slots", "c.lines")

@@ -174,9 +174,9 @@ def reading_order(t):
     return layout.reading_order(t("blocks"))
 
 
-@query(f"WITH {_B} SELECT kind, CAST(page AS INT) AS page, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY CUBE (kind, page)")
+@query(f"WITH {_B} SELECT coalesce(kind, 'all') AS kind, CAST(coalesce(page, -1) AS INT) AS page, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY CUBE (b.kind, b.page)")
 def block_cube(t):
-    return layout.unique(t("blocks")).cube("kind", "page").agg(F.count(F.lit(1)).alias("n"))
+    return layout.unique(t("blocks")).cube("kind", "page").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("page", F.lit(-1)).alias("page"), "n")
 
 
 # ---------------------------------------------------------------- candidates and votes
