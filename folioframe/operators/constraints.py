@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.functions import geometry as G
 from folioframe.functions import udfs
 from folioframe.functions.atoms import SYMBOLS
 from folioframe.operators.glyphs import KEY, center, is_visible, symbol, unique
@@ -57,3 +59,57 @@ def apply_mapping(glyphs: DataFrame, confirmed: DataFrame) -> DataFrame:
     """Confirmed mappings (paper, font_xref, glyph_id, text) before the font's own, before the raw text."""
     m = confirmed.groupBy("paper", "font_xref", "glyph_id").agg(F.max("text").alias("confirmed"))
     return unique(glyphs).join(m, ["paper", "font_xref", "glyph_id"], "left").select(*KEY, F.coalesce("confirmed", F.nullif("mapped_text", F.lit("")), "text").alias("symbol"), F.when(F.col("confirmed").isNotNull(), "confirmed").when(F.col("mapped_text").isNotNull(), "font_table").alias("source"))
+
+
+# ---------------------------------------------------------------- checks of single formulas and pages
+
+def _glyph():
+    return F.struct("span", "ch", F.struct(symbol().alias("symbol"), "font", F.col("size_pt").alias("size"), "x0", "y0", "x1", "y1", "ox", "oy").alias("g"))
+
+
+def formula_glyphs(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(paper, id, page, glyphs) of formula blocks: the visible glyphs with their centre inside, in drawing order."""
+    cx, cy = center()
+    g = unique(glyphs).where(is_visible(False)).withColumns({"item": _glyph(), "cx": cx, "cy": cy}).select(F.col("paper").alias("gp"), F.col("page").alias("gpage"), "cx", "cy", "item")
+    b = boxes(blocks).where("b_kind in ('display_math', 'inline_math')")
+    inside = (F.col("gp") == F.col("paper")) & (F.col("gpage") == F.col("page")) & F.col("cx").between(F.col("b_x0") - PAD, F.col("b_x1") + PAD) & F.col("cy").between(F.col("b_y0") - PAD, F.col("b_y1") + PAD)
+    return b.join(g, inside).groupBy("paper", F.col("b_id").alias("id"), "page").agg(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["g"]).alias("glyphs"))
+
+
+def _per_row(returns: str, f):
+    """``f`` over two columns of one row."""
+    def make():
+        def two(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([f(_plain(x), _plain(y)) for x, y in zip(a, b)], dtype=object)
+        return F.pandas_udf(two, returns)
+    return udfs.lazily(make)
+
+
+def _plain(v):
+    if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
+        v = list(v)
+    return [dict(x) if isinstance(x, dict) else x for x in v] if isinstance(v, list) else v
+
+
+_scripts = _per_row("array<struct<symbol:string,source:string,candidate:string>>", G.script_findings)
+_labels = _per_row("array<struct<id:string,status:string,numbers:array<string>>>", lambda gs, bs: G.number_labels(gs, [(b["id"], b["x0"], b["y0"], b["x1"], b["y1"]) for b in bs]))
+_edges = _per_row("array<struct<trim:string,prose:string,first:int,last:int>>", G.edge_prose)
+
+
+def script_findings(glyphs: DataFrame, blocks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Symbols that text layer and candidate place in different scripts."""
+    j = formula_glyphs(glyphs, blocks).withColumnRenamed("id", "block").join(candidates, ["paper", "block"])
+    return j.select("paper", "block", "seq", F.explode(_scripts("glyphs", "content")).alias("f")).select("paper", "block", "seq", "f.*")
+
+
+def number_association(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Equation numbers of display formulas. A page's glyphs and boxes meet in one row."""
+    g = unique(glyphs).where(is_visible(False)).groupBy("paper", "page").agg(F.transform(F.array_sort(F.collect_list(_glyph())), lambda x: x["g"]).alias("glyphs"))
+    b = blocks.dropDuplicates(["paper", "id"]).where("kind = 'display_math'").groupBy("paper", "page").agg(F.array_sort(F.collect_list(F.struct("id", "x0", "y0", "x1", "y1"))).alias("bs"))
+    return b.join(g, ["paper", "page"]).select("paper", F.explode(_labels("glyphs", "bs")).alias("l")).select("paper", "l.id", "l.status", F.array_join("l.numbers", ",").alias("numbers"))
+
+
+def edge_prose(glyphs: DataFrame, blocks: DataFrame, fonts: DataFrame) -> DataFrame:
+    """Prose in the page's body font inside formulas. ``fonts``: (paper, page, font)."""
+    j = formula_glyphs(glyphs, blocks).join(fonts.select("paper", "page", F.col("font").alias("body")), ["paper", "page"])
+    return j.select("paper", "id", F.explode(_edges("glyphs", "body")).alias("e")).select("paper", "id", "e.trim", "e.prose")

@@ -418,6 +418,35 @@ def symbol_count_diff(t):
     return constraints.count_differences(t("glyphs"), t("blocks"), _latex(t))
 
 
+@query()
+def script_roles(t):
+    return constraints.script_findings(t("glyphs"), t("blocks"), _latex(t))
+
+
+@query()
+def number_association(t):
+    return constraints.number_association(t("glyphs"), t("blocks"))
+
+
+@query()
+def boundary_prose(t):
+    return constraints.edge_prose(t("glyphs"), t("blocks"), glyphs.most_common(t("glyphs"), F.col("font"), "font"))
+
+
+@query("""WITH RECURSIVE b AS (SELECT DISTINCT ON (paper, id) paper, id, parent FROM blocks), r AS (SELECT paper, id, parent, 0 AS depth FROM b WHERE parent IS NULL
+UNION ALL SELECT b.paper, b.id, b.parent, r.depth + 1 FROM b JOIN r ON b.paper = r.paper AND b.parent = r.id) SELECT paper, id, CAST(depth AS INT) AS depth FROM r""")
+def include_closure(t):
+    """Depth of every block below its top-level owner; blocks below a missing owner are not reached."""
+    b = t("blocks").dropDuplicates(["paper", "id"]).select("paper", "id", "parent")
+    level = b.where("parent is null").select("paper", "id", F.lit(0).alias("depth"))
+    out = level
+    # owners nest a fixed few levels: block, formula, fragment
+    for depth in (1, 2, 3):
+        level = b.join(level.select("paper", F.col("id").alias("parent")), ["paper", "parent"]).select("paper", "id", F.lit(depth).alias("depth"))
+        out = out.unionByName(level)
+    return out
+
+
 _S = f"""{_C}, {_F}, {_V}, d AS (SELECT paper, block, arg_max(content_key, decided_at) AS dk FROM (SELECT paper, block, decided_at, {_KEY.replace('content', 'value', 1)} AS content_key FROM decisions WHERE value IS NOT NULL AND status IN ('accepted', 'resolved')) GROUP BY ALL),
 bk AS (SELECT DISTINCT ON (paper, id) paper, id AS block, kind FROM blocks), s AS (SELECT k.paper, k.block, engine, kind, key, key = dk AS correct FROM k JOIN d USING (paper, block) JOIN bk USING (paper, block) WHERE kind IN ('display_math', 'inline_math'))"""
 
