@@ -45,7 +45,7 @@ PATTERNS = [
     ("html_comment", r"<!--.*?-->|<!--|-->"),
     ("html_tag", rf"(?i:<{_NAME}{_ATTR}\s*/?>|</{_NAME}\s*>|<!doctype[^>]*>)|</?(?i:{_NAME})(?:\s+[a-zA-Z-]+\s*=[^<>]*)?\Z|</\Z"),
     ("html_entity", r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,8});|&#\d*\Z"),
-    ("md_fence", r"(?m:^\s*```[\w+-]*)|```"),
+    ("md_fence", r"(?m:^\s*```[\w+-]*)|```|(?m:^\s*~~~+[\w+-]*[ \t]*$)"),
     ("wiki_table", r"(?m:^\s*\{\||^\s*\|\}|^\s*\|-+\s*$|^\s*\|\+)"),
     ("md_table_rule", r"(?m:^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$)"),
     ("md_row", r"(?m:^\s*\|(?=[^\n]*\S))"),
@@ -147,7 +147,7 @@ def to_clean(text: str, kind: str | None = None) -> str:
     t = text
     t = re.sub(r"<!--.*?(?:-->|\Z)", "", t, flags=re.S)
     t = re.sub(r"(?is)<(?:pre|syntaxhighlight)[^>]*>(?:\s*<code[^>]*>)?(.*?)(?:</code>\s*)?(?:</(?:pre|syntaxhighlight)>|\Z)", lambda m: "\n" + keep(html.unescape(m[1].strip("\n"))) + "\n", t)
-    t = re.sub(r"(?s)```[\w+-]*\n(.*?)(?:\n?```|\Z)", lambda m: "\n" + keep(m[1]) + "\n", t)
+    t = re.sub(r"(?s)(```|~~~)[\w+-]*\n(.*?)(?:\n?\1|\Z)", lambda m: "\n" + keep(m[2]) + "\n", t)
     t = re.sub(r"(?s)\\begin\{(?:verbatim|lstlisting|minted)\}(?:\{[^}]*\}|\[[^\]]*\])*\n?(.*?)(?:\\end\{(?:verbatim|lstlisting|minted)\}|\Z)", lambda m: "\n" + keep(m[1].strip("\n")) + "\n", t)
     if kind in CODE_KINDS:
         t = html.unescape(re.sub(rf"(?i)</?{_NAME}{_ATTR}\s*/?>", "", t))
