@@ -26,6 +26,9 @@ from folioframe.session import durable, read_table
 
 #: Words per language in a dictionary. This bounds the model that is sent to the executors.
 DICTIONARY_WORDS = 6000
+#: Bytes that one surprise in a word's spelling takes.
+IRREGULAR = 1.5
+_ACCENTED = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]*[À-ÖØ-öø-ɏ][A-Za-zÀ-ÖØ-öø-ɏ]*")
 #: Bytes that a line must save before it is changed.
 LEAST_GAIN = 2.0
 # Names of encodings. (written in, read as)
@@ -103,6 +106,7 @@ class Model:
     def __init__(self, vocabulary: dict[str, list[str]]):
         self.vocabulary = vocabulary
         self.known = {w for ws in vocabulary.values() for w in ws}
+        self.lower = {w.strip("\"'“”„‘’«»()[].,;:!?…").lower() for w in self.known}
         self.joined = "\n" + "\n".join(w for ws in vocabulary.values() for w in ws) + "\n"
         self.packers = None
         letters = {c for ws in vocabulary.values() for w in ws for c in w if c > "\x7f"}
@@ -123,6 +127,18 @@ class Model:
     def __setstate__(self, state):
         self.__init__(state["vocabulary"])
 
+    def cost(self, text: str) -> float:
+        """Bytes of the description: the dictionary coder's, and those that irregular spelling takes."""
+        return self.size(text) + IRREGULAR * sum(map(self.irregular, _ACCENTED.findall(text)))
+
+    def irregular(self, word: str) -> float:
+        """Surprises in an unknown word with accented Latin letters: each such letter, a capital after a
+        small letter, and a letter on its own. A coder of bytes does not see them."""
+        if word in self.known or word.lower() in self.lower:
+            return 0.0
+        odd = sum(c > "\x7f" for c in word)
+        return 0.5 * odd + sum(a.islower() and b.isupper() for a, b in zip(word, word[1:])) + (len(word) == 1)
+
     def options(self, m: str) -> dict[str, str]:
         """chain -> character, for the chains that may have produced the glyph text ``m``."""
         return _options(self, m)
@@ -163,13 +179,13 @@ def weigh(model: Model, pieces: list[str]) -> list[tuple[str, float]]:
             by_chain.setdefault(name, {})[m] = c
     if not by_chain:
         return []
-    base = model.size(" " + "".join(pieces) + " ")
+    base = model.cost(" " + "".join(pieces) + " ")
     sizes: dict[str, int] = {}
     out = []
     for name, turn in by_chain.items():
         text = " " + "".join(turn.get(m, m) for m in pieces) + " "
         if text not in sizes:
-            sizes[text] = model.size(text)
+            sizes[text] = model.cost(text)
         out.append((name, float(base - sizes[text])))
     return sorted(out, key=lambda x: (-x[1], CHAINS[x[0]][1], x[0]))
 
