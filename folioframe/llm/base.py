@@ -73,6 +73,13 @@ def word_counts(texts: DataFrame, column: str = "text", *by: str) -> DataFrame:
     return picked.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def hashed_sample(df: DataFrame, keys: list[str], at_most: int, count: int) -> DataFrame:
+    """About ``at_most`` rows of ``df``, picked by the hash of their keys: no row moves for it, and
+    no task sees more than its own share. ``count``: rows of ``df``, or more."""
+    share = min(1.0, at_most / max(1, count))
+    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+
+
 INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵︀-️]")
 SPACES = regex.compile(r"[\p{Zs}\t\r\n\f\v  ]+")
 

@@ -21,7 +21,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import MATH_KINDS, blocks_of, candidates_of, plain, python_stage
+from folioframe.llm.base import MATH_KINDS, blocks_of, candidates_of, hashed_sample, plain, python_stage
+from folioframe.session import read_table
 
 #: Element names of HTML and of wiki extensions.
 TAGS = (
@@ -32,6 +33,10 @@ TAGS = (
 )
 _NAME = "(?:" + "|".join(sorted(TAGS.split(), key=len, reverse=True)) + ")"
 _ATTR = r"""(?:\s+[a-zA-Z_:-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*"""
+#: Labelled records from which the weights are learnt, picked by hash (about half of all records are
+#: formulas, so twice as many are drawn). This bounds a model of a few
+#: dozen numbers; everything else reads all records.
+LABELLED = 20_000
 CODE_KINDS = ("code", "algorithm")
 
 #: Token classes in the order in which they are tried at a position.
@@ -201,15 +206,16 @@ def to_clean(text: str, kind: str | None = None) -> str:
 # ---------------------------------------------------------------- operators
 
 
-def records(spark: SparkSession, directory: str) -> DataFrame:
-    """Candidates of blocks that are not formulas, with the block's kind and text."""
+def records(spark: SparkSession, directory: str, sampled: bool = False) -> DataFrame:
+    """Candidates of blocks that are not formulas, with the block's kind and text; with ``sampled``
+    those of the bounded sample that the weights are learnt from."""
     b = blocks_of(spark, directory).where(~F.col("kind").isin(*MATH_KINDS)).select("paper", F.col("id").alias("block"), "kind", F.col("text").alias("label"))
-    return candidates_of(spark, directory).select("paper", "block", "seq", "content").join(b, ["paper", "block"])
+    c = candidates_of(spark, directory)
+    if sampled:
+        c = hashed_sample(c, ["paper", "block", "seq"], 2 * LABELLED, read_table(spark, directory, "candidates").count())
+    return c.select("paper", "block", "seq", "content").join(b, ["paper", "block"])
 
 
-#: Labelled records from which the weights are learnt, picked by hash. This bounds a model of a few
-#: dozen numbers; everything else reads all records.
-LABELLED = 20_000
 
 
 def learn_weights(recs: DataFrame) -> dict[str, float]:
@@ -228,8 +234,8 @@ def learn_weights(recs: DataFrame) -> dict[str, float]:
         for (name, good), n in tally.items():
             yield name, good, n
 
-    picked = recs.where(F.col("content").rlike(r"\S") & F.col("label").rlike(r"\S")).select("content", "label", "kind", F.xxhash64("paper", "block", "seq").alias("h")).orderBy("h").limit(LABELLED)
-    seen = python_stage(picked.drop("h").repartition(8), "name string, good boolean, n long", count).groupBy("name", "good").agg(F.sum("n").alias("n")).collect()
+    picked = recs.where(F.col("content").rlike(r"\S") & F.col("label").rlike(r"\S")).select("content", "label", "kind")
+    seen = python_stage(picked, "name string, good boolean, n long", count).groupBy("name", "good").agg(F.sum("n").alias("n")).collect()
     n = {(r["name"], r["good"]): r["n"] for r in seen}
     learnt = {}
     for c in CLASSES:
@@ -278,21 +284,26 @@ def scan(recs: DataFrame, weights: dict[str, float], convert: bool = True) -> Da
     return python_stage(recs.select("paper", "block", "seq", "kind", "content"), "paper string, block string, seq int, kind string, marks array<string>, region_start int, region_end int, score double, clean string", rows)
 
 
+def weights_for(spark: SparkSession, directory: str) -> dict[str, float]:
+    """Weights from the directory's own records. The sample is cut before the records are joined."""
+    return learn_weights(records(spark, directory, sampled=True))
+
+
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     recs = records(spark, directory)
-    return scan(recs, learn_weights(recs), convert=False).where(F.size("marks") > 0).select("paper", "block", "seq").distinct()
+    return scan(recs, weights_for(spark, directory), convert=False).where(F.size("marks") > 0).select("paper", "block", "seq").distinct()
 
 
 def p1_clean(spark: SparkSession, directory: str) -> DataFrame:
     """The clean text of every record that is not a formula."""
     recs = records(spark, directory)
-    return scan(recs, learn_weights(recs)).select("paper", "block", "seq", "kind", "marks", "region_start", "region_end", "clean")
+    return scan(recs, weights_for(spark, directory)).select("paper", "block", "seq", "kind", "marks", "region_start", "region_end", "clean")
 
 
 def p1_kinds(spark: SparkSession, directory: str) -> DataFrame:
     """How many records hold each class of markup, by kind of block."""
     recs = records(spark, directory)
-    return scan(recs, learn_weights(recs), convert=False).select("kind", F.explode("marks").alias("mark")).groupBy("kind", "mark").agg(F.count(F.lit(1)).alias("records"))
+    return scan(recs, weights_for(spark, directory), convert=False).select("kind", F.explode("marks").alias("mark")).groupBy("kind", "mark").agg(F.count(F.lit(1)).alias("records"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_kinds": p1_kinds}
