@@ -254,8 +254,8 @@ def test_search_equals_brute_force():
     spots, rare = {}, {}
     for k, ws in passage.items():
         for p, (a, b) in enumerate(zip(ws, ws[1:])):
-            spots.setdefault(f"{a} {b}", []).append((k, p))
-            rare[f"{a} {b}"] = 1
+            spots.setdefault((a, b), []).append((k, p))
+            rare[a, b] = 1
     got = {(d, k) for d, k, _ in p7.search_shard(docs, passage, spots, rare, 1000, 15)}
     want = {(d, k) for d, t in docs for k, ws in passage.items() if p7.passage_words(ws, p7.norm_words(t)) >= 15}
     assert got == want and len(got) >= 10
