@@ -5,9 +5,10 @@ shard holds the postings of training tokens (term, document, position) for the r
 test set, by their document frequency in the whole corpus, a term being a token joined with its neighbour, that
 is the intersection of two tokens' posting lists at an offset of one. The items' rarest terms
 open the search: their posting lists are intersected with offsets adjusted to one common start, so
-that a document and an item meet in a diagonal. Pairs that meet in three terms near one diagonal, in
-four on several, or in very rare ones, are read in full: an alignment counts the item's words that the document
-holds in order in one or two pieces (exact phrases and near ones).
+that a document and an item meet in a diagonal. Pairs that meet in two terms near one diagonal, in
+three on several, or in one very rare term, are read in full where enough neighbours stand near their
+diagonals: an alignment counts the item's words that the document holds in order in one or two pieces
+(exact phrases and near ones). All limits on frequency are shares of the documents.
 
 Defined results: null and empty texts hold nothing; words are compared without case, accents,
 markup and look-alikes and with single wrong characters; a sentence that opens several items is
@@ -17,7 +18,6 @@ items, checked against ``MOST_ITEMS``) is small by its nature, the corpus is nev
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -35,6 +35,8 @@ LEAST_WORDS = 15
 LEAST_PIECE = 5
 #: Terms in more than this share of documents do not open a search.
 COMMON = 0.03
+#: A term in at most this share of documents (or in one only) opens a pair alone.
+LONE = 1 / 512
 #: Items are grouped in the driver's memory; larger test sets are split by the caller.
 MOST_ITEMS = 100_000
 _FOLD = str.maketrans({**LATIN_OF, **{chr(c): None for a, b in ((0x300, 0x370), (0x483, 0x488), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)) for c in range(a, b)}, **{chr(c): None for c in INVISIBLE_CODES}})
@@ -70,6 +72,9 @@ def alike(a: str, b: str) -> bool:
     most = 0 if min(len(a), len(b)) < 4 else 1 if min(len(a), len(b)) < 8 else 2
     if not most or abs(len(a) - len(b)) > most:
         return False
+    # one change removes one letter at most
+    if len(set(a) - set(b)) > most or len(set(b) - set(a)) > most:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -78,75 +83,119 @@ def alike(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-def _same(item: list[str], doc: list[str]) -> list[frozenset[int]]:
-    """For each word of the item the positions of the document that hold it or a word like it."""
-    where: dict[str, list[int]] = defaultdict(list)
-    for j, w in enumerate(doc):
-        where[w].append(j)
-    # words alike share their first or their last letter and are of about one length
-    first: dict[tuple[str, int], list[str]] = defaultdict(list)
-    final: dict[tuple[str, int], list[str]] = defaultdict(list)
-    for v in where:
-        if len(v) >= 4:
-            first[v[0], len(v)].append(v)
-            final[v[-1], len(v)].append(v)
-    known: dict[str, frozenset[int]] = {}
-    for w in item:
-        if w in known:
-            continue
-        at = list(where.get(w, ()))
-        if len(w) >= 4:
-            near = {v for n in range(len(w) - 2, len(w) + 3) for v in (*first.get((w[0], n), ()), *final.get((w[-1], n), ()))}
-            for v in near:
-                if v != w and alike(w, v):
-                    at += where[v]
-        known[w] = frozenset(at)
-    return [known[w] for w in item]
-
-
-def _local(same: list[frozenset[int]], i0: int, i1: int, d0: int, d1: int) -> tuple[int, int, int, int, int]:
+class Vocabulary:
+    """The words of the items; for a document's word those that are it or are like it."""
+
+    def __init__(self, words: set[str]):
+        self.words = words
+        # words alike share their first or their last letter and are of about one length
+        self.ends: dict[tuple[int, str, int], list[str]] = defaultdict(list)
+        for w in words:
+            if len(w) >= 4:
+                self.ends[0, w[0], len(w)].append(w)
+                self.ends[1, w[-1], len(w)].append(w)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def like(self, v: str) -> tuple[str, ...]:
+        out = self.known.get(v)
+        if out is None:
+            near = {v} & self.words
+            if len(v) >= 4:
+                for m in range(len(v) - 2, len(v) + 3):
+                    near.update(w for w in (*self.ends.get((0, v[0], m), ()), *self.ends.get((1, v[-1], m), ())) if alike(w, v))
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            out = self.known[v] = tuple(near)
+        return out
+
+    def index(self, doc: list[str]) -> dict[str, set[int]]:
+        """For each of the words the positions of the document that hold it or a word like it."""
+        at: dict[str, list[int]] = {}
+        for j, v in enumerate(doc):
+            at.setdefault(v, []).append(j)
+        out: dict[str, set[int]] = {}
+        for v, js in at.items():
+            for w in self.like(v):
+                out.setdefault(w, set()).update(js)
+        return out
+
+
+def _local(same: list[set[int]], i0: int, i1: int, d0: int, d1: int) -> tuple[int, int, int, int, int]:
     """Best local alignment of item[i0:i1] and doc[d0:d1]: (words in common, item start, end, doc start, end)."""
     best = (0, 0, 0, 0, 0, 0)
-    # sparse rows: only cells with a positive score are kept
+    # sparse rows: only cells with a positive score are kept, and only those above 3 outlive a gap
     row: dict[int, tuple[int, int, int, int]] = {}
+    strong: list[int] = []
     for i in range(i0, i1):
         here = same[i]
         new: dict[int, tuple[int, int, int, int]] = {}
-        for j in sorted({x for x in here if d0 <= x < d1} | {j + 1 for j in row if j + 1 < d1} | {j for j in row}):
-            old = row.get(j - 1)
-            if j in here:
-                cell = (old[0] + 2, old[1] + 1, old[2], old[3]) if old else (2, 1, i, j)
-            else:
-                cell = (old[0] - 3, *old[1:]) if old else (0, 0, i, j)
-            up, left = row.get(j), new.get(j - 1)
-            if up and up[0] - 3 > cell[0]:
-                cell = (up[0] - 3, *up[1:])
-            if left and left[0] - 3 > cell[0]:
-                cell = (left[0] - 3, *left[1:])
-            if cell[0] > 0:
+        todo = {x for x in here if d0 <= x < d1}
+        todo.update(strong)
+        todo.update([j + 1 for j in strong if j + 1 < d1])
+        strong = []
+        for at in sorted(todo):
+            j = at
+            while True:
+                old = row.get(j - 1)
+                if j in here:
+                    cell = (old[0] + 2, old[1] + 1, old[2], old[3]) if old else (2, 1, i, j)
+                else:
+                    cell = (old[0] - 3, *old[1:]) if old else (0, 0, i, j)
+                up, left = row.get(j), new.get(j - 1)
+                if up and up[0] - 3 > cell[0]:
+                    cell = (up[0] - 3, *up[1:])
+                if left and left[0] - 3 > cell[0]:
+                    cell = (left[0] - 3, *left[1:])
+                if cell[0] <= 0:
+                    break
                 new[j] = cell
                 if cell[0] > best[0]:
                     best = (cell[0], cell[1], cell[2], i + 1, cell[3], j + 1)
+                if cell[0] <= 3:
+                    break
+                strong.append(j)
+                j += 1
+                if j >= d1 or j in todo:
+                    break
         row = new
     return best[1:]
 
 
-def passage_words(item: list[str], doc: list[str], near: tuple[int, int] | None = None) -> int:
-    """Words of the item that stand in the document in order, in one piece or in two."""
-    a, b = near or (0, len(doc))
-    a, b = max(0, a), min(len(doc), b)
-    same = _same(item, doc[a:b])
-    n, i0, i1, d0, d1 = _local(same, 0, len(item), 0, b - a)
-    if n < LEAST_PIECE:
+def passage_words(item: list[str], doc: list[str], index: dict[str, set[int]] | None = None, least: int = 0) -> int:
+    """Words of the item that stand in the document in order, in one piece or in two; 0 where they
+    cannot be ``least``. ``index``: the document's, where it is known."""
+    index = Vocabulary(set(item)).index(doc) if index is None else index
+    same = [index.get(w, frozenset()) for w in item]
+    if sum(map(bool, same)) < least:
+        return 0
+    n, i0, i1, d0, d1 = _local(same, 0, len(item), 0, len(doc))
+    # a second piece has no more words than the item has left on one side
+    if n < LEAST_PIECE or n + max(i0, len(item) - i1) < least:
         return 0
     before = _local(same, 0, i0, 0, d0)[0] if i0 else 0
-    after = _local(same, i1, len(item), d1, b - a)[0] if i1 < len(item) else 0
+    after = _local(same, i1, len(item), d1, len(doc))[0] if i1 < len(item) else 0
     return n + max((x for x in (before, after) if x >= LEAST_PIECE), default=0)
 
 
-def worth_reading(item: list[str], doc: list[str]) -> bool:
-    """A passage of fifteen words with a few changed ones keeps at least five pairs of neighbours."""
-    return len(set(zip(item, item[1:])) & set(zip(doc, doc[1:]))) >= 5
+def worth_reading(where: dict[tuple[str, str], list[int]], pairs: dict[tuple[str, str], list[int]]) -> bool:
+    """A passage of fifteen words with up to four misread ones keeps at least five pairs of neighbours,
+    in two pieces that each stay near one diagonal. ``where``: the item's places of each pair of words;
+    ``pairs``: the document's."""
+    both = where.keys() & pairs.keys()
+    if sum(len(where[t]) for t in both) < 5:
+        return False
+    bands: dict[int, set[int]] = defaultdict(set)
+    for t in both:
+        for q in where[t]:
+            for p in pairs[t]:
+                for b in _bands(p - q):
+                    bands[b].add(q)
+    return sum(sorted(map(len, bands.values()))[-2:]) >= 5
+
+
+def _bands(diagonal: int) -> tuple[int, int]:
+    """Overlapping bands of diagonals, so that inserted and lost words do not part a passage."""
+    return diagonal // 12 * 2, (diagonal + 6) // 12 * 2 + 1
 
 
 def stock_openings(items: dict[int, str]) -> set[str]:
@@ -168,44 +217,60 @@ def passages(items: dict[int, str]) -> dict[int, list[str]]:
 SHARD = 512
 
 
-def search_shard(docs: list[tuple[int, str]], passage: dict, spots: dict, rare: dict, total: int, least: int) -> list[tuple[int, int, int]]:
+def search_shard(docs: list[tuple[int, str]], passage: dict, spots: dict, rare: dict, total: int, least: int, vocabulary: Vocabulary | None = None) -> list[tuple[int, int, int]]:
     """Index one shard of documents and search it for all items: (doc_id, item_id, words)."""
     words = [norm_words(t) for _, t in docs]
+    vocabulary = vocabulary or Vocabulary({w for ws in passage.values() for w in ws})
+    lone = max(1.0, LONE * total)
     index: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
     for d, ws in enumerate(words):
         for p, t in enumerate(zip(ws, ws[1:])):
             if t in rare:
                 index[t].append((d, p))
     # posting lists from the rarest term on; offsets are adjusted to where the item would start
-    again: dict[tuple[int, int], list[tuple[int, int, float]]] = defaultdict(list)
+    again: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
     for t in sorted(index, key=lambda t: (rare[t], t)):
-        bits = math.log2(max(total, 2) / rare[t])
+        alone = rare[t] <= lone
         for k, q in spots[t]:
             for d, p in index[t]:
-                again[d, k].append((q, p - q, bits))
+                again[d, k].append((q, p - q, alone))
     out = []
+    places = {k: _places(passage[k]) for k in {k for _, k in again}}
+    last, pairs, known = -1, {}, None
     for (d, k), hits in sorted(again.items()):
         if not meets(hits):
             continue
         item, ws = passage[k], words[d]
-        starts = [s for _, s, _ in hits]
-        n = passage_words(item, ws, (min(starts) - 60, max(starts) + len(item) + 60)) if worth_reading(item, ws) else 0
+        if d != last:
+            last, pairs, known = d, _places(ws), None
+        if not worth_reading(places[k], pairs):
+            continue
+        known = vocabulary.index(ws) if known is None else known
+        n = passage_words(item, ws, known, least)
         if n >= least:
             out.append((docs[d][0], k, n))
     return out
 
 
-def meets(hits: list[tuple[int, int, float]]) -> bool:
-    """A passage of fifteen words with a few changed ones meets in three rare terms near one diagonal,
-    in four on several, or in very rare ones. Diagonals are put into overlapping bands, so that
-    inserted and lost words do not part them. ``hits``: (item position, diagonal, bits)."""
-    if len(hits) == 1:
-        return hits[0][2] >= 20
-    bands: dict[int, dict[int, float]] = defaultdict(dict)
-    for q, s, bits in hits:
-        for b in (s // 12 * 2, (s + 6) // 12 * 2 + 1):
-            bands[b][q] = max(bits, bands[b].get(q, 0.0))
-    return max(map(len, bands.values())) >= 3 or sum(len(x) for b, x in bands.items() if b % 2 == 0) >= 4 or max(sum(x.values()) for x in bands.values()) >= 20
+def _places(words: list[str]) -> dict[tuple[str, str], list[int]]:
+    out: dict[tuple[str, str], list[int]] = {}
+    for p, t in enumerate(zip(words, words[1:])):
+        out.setdefault(t, []).append(p)
+    return out
+
+
+def meets(hits: list[tuple[int, int, bool]]) -> bool:
+    """A passage of fifteen words with a few changed ones meets in two rare terms near one diagonal, in
+    three on several, or in one that is rare enough alone. ``hits``: (item position, diagonal, alone)."""
+    if any(alone for _, _, alone in hits):
+        return True
+    if len({q for q, _, _ in hits}) >= 3:
+        return True
+    bands: dict[int, set[int]] = defaultdict(set)
+    for q, s, _ in hits:
+        for b in _bands(s):
+            bands[b].add(q)
+    return max(map(len, bands.values())) >= 2
 
 
 # ---------------------------------------------------------------- operators
@@ -248,10 +313,11 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFr
     def search(batches):
         import pyarrow as pa
 
+        vocabulary = Vocabulary({w for ws in passage.values() for w in ws})
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a in range(0, len(ids), SHARD):
-                found = search_shard(list(zip(ids[a:a + SHARD], texts[a:a + SHARD])), passage, spots, rare, total, least)
+                found = search_shard(list(zip(ids[a:a + SHARD], texts[a:a + SHARD])), passage, spots, rare, total, least, vocabulary)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "words"])
 

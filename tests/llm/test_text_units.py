@@ -261,6 +261,34 @@ def test_search_equals_brute_force():
     assert got == want and len(got) >= 10
 
 
+def _item(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n)]
+
+
+def test_short_windows_open_at_any_size():
+    """Windows of 15 words, up to 4 of them misread or 4 strange ones put between, few of their terms rare."""
+    rng = random.Random(7)
+    item = _item(rng, 40)
+    pairs = list(zip(item, item[1:]))
+    rare_at = range(0, 39, 5)
+    docs = []
+    for start in range(26):
+        for edits in range(5):
+            for change in (False, True):
+                kept = next(q for q in rare_at if start <= q < start + 14)
+                ws = item[start:start + 15]
+                for i in sorted(rng.sample([i for i in range(1, 15) if i + start not in (kept, kept + 1)], edits), reverse=True):
+                    ws[i:i + 1] = ["zz"] + ws[i:i + 1] if change else [ws[i][:4] + "0" + ws[i][5:]]
+                docs.append((len(docs), " ".join(["before"] * 20 + ws + ["behind"] * 20)))
+    spots = {t: [(1, q)] for q, t in enumerate(pairs)}
+    for size in (1, 1000):
+        rare = {pairs[q]: 2 * size for q in rare_at}
+        got = {d for d, _, n in p7.search_shard(docs, {1: item}, spots, rare, 10_000 * size, 15)}
+        # strange words near an end may part less than a piece from the rest: the alignment decides
+        want = {d for d, t in docs if p7.passage_words(item, p7.norm_words(t)) >= 15}
+        assert got == want and len(want) >= 200
+
+
 # ---------------------------------------------------------------- 8
 
 
