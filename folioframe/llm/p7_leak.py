@@ -33,7 +33,7 @@ from folioframe.session import read_table
 LEAST_WORDS = 15
 #: A piece of a passage has at least this many words.
 LEAST_PIECE = 5
-#: Terms in more than this share of documents do not open a search.
+#: Terms in more than this share of documents do not open a search, unless they are rare for their item.
 COMMON = 0.03
 #: A term in at most this share of documents (or in one only) opens a pair alone.
 LONE = 1 / 512
@@ -273,6 +273,22 @@ def meets(hits: list[tuple[int, int, bool]]) -> bool:
     return max(map(len, bands.values())) >= 2
 
 
+def openers(passage: dict[int, list[str]], df: dict[tuple[str, str], int], total: int) -> tuple[dict, dict]:
+    """(places, document frequencies) of the terms that open a search. A term opens for an item if it stands
+    in few documents, or in at most twice as many as the item's own rarer terms (a quarter is as rare or
+    rarer): the terms of an item that stands in a third of the documents are all common, and still its own."""
+    spots: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+    for k, ws in passage.items():
+        terms = list(zip(ws, ws[1:]))
+        counts = sorted(df[t] for t in terms if t in df)
+        if counts:
+            most = max(3.0, COMMON * total, 2 * counts[len(counts) // 4])
+            for p, t in enumerate(terms):
+                if df.get(t, most + 1) <= most:
+                    spots[t].append((k, p))
+    return spots, {t: df[t] for t in spots}
+
+
 # ---------------------------------------------------------------- operators
 
 
@@ -282,11 +298,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFr
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} test items; split the test set")
     passage = passages({r["item_id"]: r["text"] for r in rows})
-    spots: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
-    for k, ws in passage.items():
-        for p, (a, b) in enumerate(zip(ws, ws[1:])):
-            spots[a, b].append((k, p))
-    terms = frozenset(spots)
+    terms = frozenset(t for ws in passage.values() for t in zip(ws, ws[1:]))
     spark = docs.sparkSession
 
     source = spread(docs.select("doc_id", "text")).where("text is not null")
@@ -306,7 +318,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFr
     # document frequencies of the test terms: at most as many numbers as the test set has terms
     df = {r["term"]: r["df"] for r in source.mapInArrow(tally, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     total = df.pop("", 0)
-    rare = {tuple(t.split(" ")): n for t, n in df.items() if n <= max(3.0, COMMON * total)}
+    spots, rare = openers(passage, {tuple(t.split(" ")): n for t, n in df.items()}, total)
     if not rare:
         return spark.createDataFrame([], "doc_id long, item_id long, words int")
 

@@ -289,6 +289,24 @@ def test_short_windows_open_at_any_size():
         assert got == want and len(want) >= 200
 
 
+def test_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(9)
+    wide, other = _item(rng, 40), _item(rng, 40)
+    docs = []
+    for d in range(300):
+        ws = _item(rng, 30)
+        if d % 3 == 0:
+            ws[10:10] = wide
+        elif d % 60 == 1:
+            ws[10:10] = wide[d % 20:d % 20 + 15]  # a part of it elsewhere
+        elif d % 60 == 2:
+            ws[10:10] = other
+        docs.append((d, " ".join(ws)))
+    got = p7.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(wide)), (2, " ".join(other))], "item_id long, text string"))
+    want = {(d, 1) for d in range(300) if d % 3 == 0 or d % 60 == 1} | {(d, 2) for d in range(300) if d % 60 == 2}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 # ---------------------------------------------------------------- 8
 
 
