@@ -35,6 +35,9 @@ SCANNED = ("ocr_layer", "none")
 KINDS = ("text", "caption", "footnote", "reference", "other", "figure", "table")
 #: A word of the prose is seen at least this often, and this many times as often as what was read.
 KNOWN, TIMES = 4, 8
+#: Counts hold for a corpus of so many tokens; those of a larger one are scaled to it, so that the same text is
+#: judged alike at any size. A smaller corpus is counted as it is: what it shows once is not known.
+REFERENCE = 2_500_000
 
 # What is read -> what may have stood there.
 CONFUSIONS = {
@@ -242,7 +245,7 @@ def pieces(tokens: list[dict]) -> set[str]:
     return {x for x in out if 1 <= len(x) <= 60}
 
 
-def decode(tokens: list[dict], lexicon: dict[str, tuple[int, list[tuple[str, int, float]]]], total: float) -> tuple[list[str], set[str]]:
+def decode(tokens: list[dict], lexicon: dict[str, tuple[float, list[tuple[str, float, float]]]], total: float) -> tuple[list[str], set[str]]:
     """The cheapest reading of the token stream: its words, and the defects on its path.
 
     ``lexicon`` maps a string to its corpus count and the known words that it may stand for.
@@ -256,13 +259,14 @@ def decode(tokens: list[dict], lexicon: dict[str, tuple[int, list[tuple[str, int
         n, alts = lexicon.get(word, (0, []))
         best = (bits(n) if n else bits(0) + 1.5 * len(word) ** 0.5, word, False)
         for alt, k, steps in alts:
-            if k >= KNOWN and k >= TIMES * max(1, n) and (n <= 2 or k >= 60 * n):
+            # beyond this the costs ask for one ratio at every n: some 45 times as often for a step
+            if k >= KNOWN and k >= TIMES * max(1, n):
                 cost = bits(k) + 5.5 * steps + (bits(k) if " " in alt else 0.0)
                 if cost < best[0]:
                     best = (cost, alt, " " not in alt)
         return best
 
-    def count(word: str) -> int:
+    def count(word: str) -> float:
         return lexicon.get(word, (0, []))[0]
 
     n = len(tokens)
@@ -287,7 +291,7 @@ def decode(tokens: list[dict], lexicon: dict[str, tuple[int, list[tuple[str, int
             c, word, wrong = read(w)
             # parts of a compound are read on their own
             parts = _COMPOUND.split(w)
-            if len(parts) > 1 and count(w) == 0:
+            if len(parts) > 1 and count(w) < 1:
                 got = [read(p) if odd_word(p) else (bits(total / 50), p, False) for p in parts[::2]]
                 pc = sum(g[0] for g in got) + 2.0
                 if pc < c:
@@ -311,7 +315,7 @@ def decode(tokens: list[dict], lexicon: dict[str, tuple[int, list[tuple[str, int
                 firm = min(count(p) for p in (a, b))
                 if nxt[:1].isupper():
                     c += 12.0
-                if count(a + b) == 0 and not wrong:
+                if count(a + b) < 1 and not wrong:
                     # an unknown word: a name, unless both parts are words of their own
                     c = bits(0.3) + 6.0 + (8.0 if firm >= KNOWN and len(a) > 2 and len(b) > 2 else 0.0)
                 joined = stem + nxt.rstrip(_EDGE)
@@ -443,13 +447,15 @@ def repaired(spark: SparkSession, directory: str) -> DataFrame:
     blocks = durable(python_stage(scanned_blocks(spark, directory), "paper string, id string, kind string, text string, head_lines array<boolean>, number_lines array<boolean>", mark))
     counts = durable(lexicon_counts(spark, directory))
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
+    scale = max(1.0, total / REFERENCE)
+    counts, total = counts.select("word", F.round(F.col("n") / scale, 6).alias("n")), total / scale
 
     def ask(row: dict):
         for w in pieces(stream(row["text"].split("\n"), list(zip(row["head_lines"], row["number_lines"])))):
             yield row["paper"], row["id"], w
 
     asked = durable(python_stage(blocks, "paper string, id string, word string", ask))
-    strings = asked.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    strings = asked.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0.0)).alias("n"))
 
     def fold(row: dict):
         yield row["word"], row["n"], class_key(row["word"])
@@ -460,7 +466,8 @@ def repaired(spark: SparkSession, directory: str) -> DataFrame:
 
     def close(row: dict):
         steps = steps_between(row["word"], row["alt"])
-        if steps:
+        # a word that costs no more as it stands is not read otherwise
+        if steps and (not row["n"] or row["k"] + 0.05 > (row["n"] + 0.05) * 2 ** (5.5 * steps)):
             yield row["word"], row["alt"], steps, row["k"]
 
     def halves(row: dict):
@@ -468,18 +475,17 @@ def repaired(spark: SparkSession, directory: str) -> DataFrame:
         for i in range(2, len(w) - 1):
             yield w, w[:i], w[i:]
 
-    unknown = strings.where(f"n < {TIMES * KNOWN}")
     known = counts.where(f"n >= {KNOWN}")
     split = (
-        python_stage(unknown.where("n = 0").select("word"), "word string, a string, b string", halves)
+        python_stage(strings.where("n < 1").select("word"), "word string, a string, b string", halves)
         .join(known.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(known.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
         .where("na >= 50 and nb >= 50").select("word", F.concat_ws(" ", "a", "b").alias("alt"), F.lit(1.5).alias("steps"), F.least("na", "nb").alias("k"))
     )
     letters = F.col("word").rlike(r"\p{L}")
-    folded = python_stage(known.where(letters & (F.length("word") >= 3)).select("word", "n"), "alt string, k long, s string", fold)
-    asking = python_stage(unknown.where(letters).select("word", "n"), "word string, n long, s string", meet)
+    folded = python_stage(known.where(letters & (F.length("word") >= 3)).select("word", "n"), "alt string, k double, s string", fold)
+    asking = python_stage(strings.where(letters).select("word", "n"), "word string, n double, s string", meet)
     # unknown strings and known words meet by key; only pairs that confusions explain stay
-    meant = python_stage(asking.join(folded, "s").where(f"word <> alt and k >= {TIMES} * greatest(n, 1)").select("word", "alt", "k").distinct(), "word string, alt string, steps double, k long", close)
+    meant = python_stage(asking.join(folded, "s").where(f"word <> alt and k >= {TIMES} * greatest(n, 1)").select("word", "n", "alt", "k").distinct(), "word string, alt string, steps double, k double", close)
     alts = (
         meant.select("word", "alt", "steps", "k").unionByName(split)
         # of all possible originals the likeliest few: by steps, then by frequency

@@ -219,6 +219,28 @@ def test_confusion_distance_is_symmetric_to_enumeration():
     assert p6.steps_between("abc", "xyz") is None
 
 
+def test_misread_is_the_same_at_ten_times_the_rows(spark, data, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def found(times):
+        folder = str(tmp_path / str(times))
+        (tmp_path / str(times)).mkdir()
+        texts = ["the scheme converges while this dense operator stops " * 20 + ("the schenne stops" if i < 5 else "the scheme stops") for i in range(20)]
+        rows = {
+            "blocks": [{"paper": f"p{t}", "id": f"b{i}", "page": 0, "kind": "text", "text": x} for t in range(times) for i, x in enumerate(texts)],
+            "pages": [], "papers": [], "documents": []}
+        for name, rs in rows.items():
+            schema = pq.read_schema(f"{data}/{name}.parquet")
+            pq.write_table(pa.Table.from_pylist([{n: r.get(n) for n in schema.names} for r in rs], schema), f"{folder}/{name}.parquet")
+        return {tuple(r) for r in p6.p6_found(spark, folder).collect()}
+
+    monkeypatch.setattr(p6, "REFERENCE", 1000, raising=False)
+    one, ten = found(1), found(10)
+    assert one == {("p0", f"b{i}", "misread") for i in range(5)}
+    assert ten == {(f"p{t}", b, d) for _, b, d in one for t in range(10)}
+
+
 # ---------------------------------------------------------------- 7
 
 
