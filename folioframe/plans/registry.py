@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import colour, udfs
 from folioframe.operators import constraints, glyphs, layout, score, spatial, text, vote
-from folioframe.session import read_table
+from folioframe.session import durable, read_table
 from folioframe.sources import models, regions
 
 _Q: dict = {}
@@ -440,9 +440,12 @@ def include_closure(t):
     b = t("blocks").dropDuplicates(["paper", "id"]).select("paper", "id", "parent")
     level = b.where("parent is null").select("paper", "id", F.lit(0).alias("depth"))
     out = level
-    # owners nest a fixed few levels: block, formula, fragment
-    for depth in (1, 2, 3):
-        level = b.join(level.select("paper", F.col("id").alias("parent")), ["paper", "parent"]).select("paper", "id", F.lit(depth).alias("depth"))
+    # one level after another until one is empty; a block has one owner, so no cycle hangs below a top-level one
+    b, level = durable(b), durable(level)
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        level = durable(b.join(level.select("paper", F.col("id").alias("parent")), ["paper", "parent"]).select("paper", "id", F.lit(depth).alias("depth")))
         out = out.unionByName(level)
     return out
 
