@@ -88,7 +88,7 @@ NOT_IN_CODE = {"md_heading", "md_emph", "md_strong", "md_list", "md_rule", "md_q
 
 
 #: Signs without which a text holds no markup: every pattern of a markup class needs one of them.
-SIGNS = re.compile(r"[<>&\\$`*_#|{}\[\]~^=]|''|^\s*[-+>]", re.M)
+SIGNS = re.compile(r"[<>&\\$`*_#|{}\[\]~^=]|''|^\s*(?:[-+>]|[:;]{2})", re.M)
 
 
 def tokens(text: str, kind: str | None = None) -> list[tuple[str, int, int]]:
@@ -294,6 +294,12 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return scan(recs, weights_for(spark, directory), convert=False).where(F.size("marks") > 0).select("paper", "block", "seq").distinct()
 
 
+def p1_method(spark: SparkSession, directory: str) -> DataFrame:
+    """The scan's own result: the maximum-scoring region of every record that is not a formula."""
+    recs = records(spark, directory)
+    return scan(recs, weights_for(spark, directory), convert=False).select("paper", "block", "seq", "region_start", "region_end", "score")
+
+
 def p1_clean(spark: SparkSession, directory: str) -> DataFrame:
     """The clean text of every record that is not a formula."""
     recs = records(spark, directory)
@@ -306,4 +312,4 @@ def p1_kinds(spark: SparkSession, directory: str) -> DataFrame:
     return scan(recs, weights_for(spark, directory), convert=False).select("kind", F.explode("marks").alias("mark")).groupBy("kind", "mark").agg(F.count(F.lit(1)).alias("records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p1_kinds": p1_kinds}
+QUERIES = {"p1_found": p1_found, "p1_method": p1_method, "p1_clean": p1_clean, "p1_kinds": p1_kinds}

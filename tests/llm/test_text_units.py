@@ -42,6 +42,21 @@ def test_best_region_equals_brute_force():
         assert abs(p1.best_region(toks, w)[2] - best) < 1e-9
 
 
+@pytest.mark.parametrize("text", ["Text\n:: item", ";; item", "a\n;: item"])
+def test_lists_of_colons_are_scanned(text):
+    assert p1.region_of(text, "text", p1.PRIOR)[0] == ["wiki_list"]
+
+
+def test_method_gives_the_best_region_of_every_record(spark, data):
+    weights = p1.weights_for(spark, data)
+    texts = {(r.paper, r.block, r.seq): (r.content, r.kind) for r in p1.records(spark, data).collect()}
+    got = {(r.paper, r.block, r.seq): r for r in p1.QUERIES["p1_method"](spark, data).collect()}
+    assert got.keys() == texts.keys()
+    for k, (text, kind) in texts.items():
+        if text and p1.SIGNS.search(text):
+            assert (got[k].region_start, got[k].region_end) == p1.best_region(p1.tokens(text, kind), weights)[:2]
+
+
 def test_conversion_keeps_structure():
     assert p1.to_clean("<h2>Head</h2><p>A <b>b</b>.</p>") == "Head\n\nA b."
     assert p1.to_clean("\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}").replace("\n\n", "\n") == "• a\n• b"
