@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import LANGS, hashed_sample, python_stage
+from folioframe.llm.base import LANGS, python_stage, spread
 from folioframe.session import read_table
 
 # Frequent function words of the languages.
@@ -264,14 +264,9 @@ def judge(text: str, profiles: dict[str, tuple[dict, dict]]) -> tuple[str, dict[
 # ---------------------------------------------------------------- operators
 
 
-#: Labelled documents from which the language profiles are fitted, picked by hash of their id.
-LABELLED = 20_000
-
-
 def language_profiles(docs: DataFrame) -> dict[str, tuple[dict, dict]]:
-    """Function-word and character-class distributions per language, fitted on about ``LABELLED``
-    documents with a language label. The label decides nothing: each text counts for the language
-    whose function words it has. Each Python task sends one row per language and key."""
+    """Function-word and character-class distributions per language, over all documents.
+    The language column is not read: each text counts for the language whose function words it has. Each Python task sends one row per language and key."""
 
     def tally(batches):
         import pyarrow as pa
@@ -291,8 +286,7 @@ def language_profiles(docs: DataFrame) -> dict[str, tuple[dict, dict]]:
             rows = [(*k, float(v)) for k, v in sorted(total.items())]
             yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows)], names=["lang", "what", "key", "n"])
 
-    picked = hashed_sample(docs, ["doc_id"], LABELLED, docs.count()).where(F.col("lang").isin(*LANGS) & F.col("text").rlike(r"\S")).select("text")
-    got = picked.mapInArrow(tally, "lang string, what string, key string, n double").groupBy("lang", "what", "key").agg(F.sum("n").alias("n")).collect()
+    got = spread(docs.select("text")).where(F.col("text").rlike(r"\S")).mapInArrow(tally, "lang string, what string, key string, n double").groupBy("lang", "what", "key").agg(F.sum("n").alias("n")).collect()
     out: dict[str, tuple[dict, dict]] = {}
     for lang in {r["lang"] for r in got}:
         pair = tuple({r["key"]: r["n"] for r in got if r["lang"] == lang and r["what"] == what} for what in "wc")

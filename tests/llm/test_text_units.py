@@ -380,3 +380,9 @@ def test_shapes(text, shape):
 def test_divergence():
     assert p9.js({"a": 1.0}, {"a": 1.0}) == 0 and abs(p9.js({"a": 1.0}, {"b": 1.0}) - 1) < 1e-9
     assert abs(p9.js({"a": 0.5, "b": 0.5}, {"a": 1.0}) - p9.js({"a": 1.0}, {"a": 0.5, "b": 0.5})) < 1e-12
+
+
+def test_profiles_need_no_label(spark):
+    text = "Die Werte sind nicht in der Reihe, und sie werden von der Messung mit dem Gerät auf die Probe gestellt."
+    docs = spark.createDataFrame([(1, text, None), (2, text, "xx")], "doc_id long, text string, lang string")
+    assert set(p9.language_profiles(docs)) == {"de"}
