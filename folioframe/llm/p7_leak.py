@@ -1,46 +1,51 @@
 """Evaluation texts in training text: documents that hold passages of test items.
 
-Method: a distributed positional inverted index, sharded by document as search engines do it. Each
-shard holds the postings of training tokens (term, document, position) for the rarest terms of the
-test set, by their document frequency in the whole corpus, a term being a token joined with its neighbour, that
-is the intersection of two tokens' posting lists at an offset of one. The items' rarest terms
-open the search: their posting lists are intersected with offsets adjusted to one common start, so
-that a document and an item meet in a diagonal. Pairs that meet in two terms near one diagonal, in
-three on several, or in one very rare term, are read in full where enough neighbours stand near their
-diagonals: an alignment counts the item's words that the document holds in order in one or two pieces
-(exact phrases and near ones). All limits on frequency are shares of the documents.
+Method: a distributed positional inverted index. Every document is cut into words once; the postings
+(word of the test set, document, positions) of all documents are stored, block-compressed, in segments of
+some hundred documents (``index_of``), as search engines do it: a segment is one row of a table in the
+shared checkpoint folder. A document's word is posted under every test word that it equals or that it
+misreads. Search reads the stored index alone, no text: the list of the rarest word of each phrase of three words is
+intersected with those of the two others, their offsets adjusted, and every phrase found is adjusted to where
+the item would start, so that a document and an item meet on a diagonal. Where enough words stand in such
+runs, the pieces of all pairs are aligned together in windows of diagonals (proximity), and those that may
+have enough words in full, on their posted positions.
+
+No phrase is too common to count, and there is no limit on how many documents hold an item.
 
 Defined results: null and empty texts hold nothing; words are compared without case, accents,
 markup and look-alikes and with single wrong characters; a sentence that opens several items is
-not part of a passage; repeated rows count once; texts are read whole; the test set (a few hundred
-items, checked against ``MOST_ITEMS``) is small by its nature, the corpus is never collected.
+not part of a passage; repeated rows count once; texts are read whole; a test set of more than
+``MOST_BYTES`` raises (it is sent to every task), the corpus is never collected.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm.base import HAN, spread
 from folioframe.llm.p5_lookalike import INVISIBLE_CODES, LATIN_OF
-from folioframe.session import read_table
+from folioframe.session import durable, read_table
 
 LEAST_WORDS = 15
 #: A piece of a passage has at least this many words.
 LEAST_PIECE = 5
-#: Terms in more than this share of documents do not open a search, unless they are rare for their item.
-COMMON = 0.03
-#: A term in at most this share of documents (or in one only) opens a pair alone.
-LONE = 1 / 512
-#: Items are grouped in the driver's memory; larger test sets are split by the caller.
-MOST_ITEMS = 100_000
+#: A pair is aligned when so many phrases of the item stand in two windows of diagonals: fifteen words in at
+#: most five runs (one piece with four words changed or put between, two pieces with three) hold at least five.
+LEAST_PHRASES = 5
+#: The texts of the test set have at most so many characters; it is sent to every task.
+MOST_BYTES = 64_000_000
+#: A segment of the index ends after so many documents or words.
+SEGMENT_DOCS, SEGMENT_WORDS = 512, 400_000
 _FOLD = str.maketrans({**LATIN_OF, **{chr(c): None for a, b in ((0x300, 0x370), (0x483, 0x488), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)) for c in range(a, b)}, **{chr(c): None for c in INVISIBLE_CODES}})
-_MARK = re.compile(r"<[^<>]{0,200}>|&(?:#\d+|\w+);|\\[a-zA-Z]+\*?")
+_MARK = re.compile(r"<[!/?a-zA-Z][^<>]*>|&(?:#\d+|\w+);|\\[a-zA-Z]+\*?")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?=[^\W\d_])")
 #: Characters that stand inside words without being letters: they are folded before words are cut.
 _INSIDE = re.compile("[" + "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in ((0x300, 0x370), (0x483, 0x488), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30))) + "".join(f"\\u{c:04x}" for c in INVISIBLE_CODES) + "]")
@@ -83,29 +88,42 @@ def alike(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
+def _shorter(word: str, by: int) -> set[str]:
+    """The word, and what is left of it without one letter (without two)."""
+    out = {word}
+    last = out
+    for _ in range(by):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Vocabulary:
-    """The words of the items; for a document's word those that are it or are like it."""
+    """The words of the items; for a document's word those that it equals or misreads.
+
+    Words alike share a form with one letter left out (with two, where they are long): the forms are a
+    table, so that a new word costs a few dozen look-ups.
+    """
 
     def __init__(self, words: set[str]):
-        self.words = words
-        # words alike share their first or their last letter and are of about one length
-        self.ends: dict[tuple[int, str, int], list[str]] = defaultdict(list)
-        for w in words:
+        self.words = sorted(words)
+        self.number = {w: i for i, w in enumerate(self.words)}
+        self.forms: dict[str, list[str]] = defaultdict(list)
+        for w in self.words:
             if len(w) >= 4:
-                self.ends[0, w[0], len(w)].append(w)
-                self.ends[1, w[-1], len(w)].append(w)
+                for f in _shorter(w, 1 if len(w) < 8 else 2):
+                    self.forms[f].append(w)
         self.known: dict[str, tuple[str, ...]] = {}
 
     def like(self, v: str) -> tuple[str, ...]:
         out = self.known.get(v)
         if out is None:
-            near = {v} & self.words
+            near = {v} if v in self.number else set()
             if len(v) >= 4:
-                for m in range(len(v) - 2, len(v) + 3):
-                    near.update(w for w in (*self.ends.get((0, v[0], m), ()), *self.ends.get((1, v[-1], m), ())) if alike(w, v))
+                near |= {w for f in _shorter(v, 1 if len(v) < 8 else 2) for w in self.forms.get(f, ()) if alike(w, v)}
             if len(self.known) >= 200_000:
                 self.known.clear()
-            out = self.known[v] = tuple(near)
+            out = self.known[v] = tuple(sorted(near))
         return out
 
     def index(self, doc: list[str]) -> dict[str, set[int]]:
@@ -120,6 +138,36 @@ class Vocabulary:
         return out
 
 
+class Posting(dict):
+    """word -> number of its list of test words, given on first use; 0 is the empty list."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.lists: dict[tuple[str, ...], int] = {(): 0}
+
+    def __missing__(self, v: str) -> int:
+        like = self.vocabulary.like(v)
+        n = self.lists.get(like)
+        if n is None:
+            n = self.lists[like] = len(self.lists)
+        if len(self) >= 200_000:
+            self.clear()
+        self[v] = n
+        return n
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(start of each list, the test words' numbers one list after the other)"""
+        starts = np.cumsum([0, *map(len, self.lists)])
+        return starts, np.array([self.vocabulary.number[w] for ws in self.lists for w in ws], np.int64)
+
+
+def _flat(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for every (start, count), one after the other."""
+    total = int(counts.sum())
+    return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
 def _local(same: list[set[int]], i0: int, i1: int, d0: int, d1: int) -> tuple[int, int, int, int, int]:
     """Best local alignment of item[i0:i1] and doc[d0:d1]: (words in common, item start, end, doc start, end)."""
     best = (0, 0, 0, 0, 0, 0)
@@ -161,38 +209,24 @@ def _local(same: list[set[int]], i0: int, i1: int, d0: int, d1: int) -> tuple[in
     return best[1:]
 
 
-def passage_words(item: list[str], doc: list[str], index: dict[str, set[int]] | None = None, least: int = 0) -> int:
+def passage_words(item: list[str], doc: list[str] | int, index: dict[str, set[int]] | None = None, least: int = 0) -> int:
     """Words of the item that stand in the document in order, in one piece or in two; 0 where they
-    cannot be ``least``. ``index``: the document's, where it is known."""
+    cannot be ``least``. ``index``: the document's positions of the item's words, where they are
+    posted; its length does for the document then."""
     index = Vocabulary(set(item)).index(doc) if index is None else index
+    size = doc if isinstance(doc, int) else len(doc)
     same = [index.get(w, frozenset()) for w in item]
     if sum(map(bool, same)) < least:
         return 0
-    n, i0, i1, d0, d1 = _local(same, 0, len(item), 0, len(doc))
+    n, i0, i1, d0, d1 = _local(same, 0, len(item), 0, size)
     # a second piece has no more words than the item has left on one side
     if n < LEAST_PIECE or n + max(i0, len(item) - i1) < least:
         return 0
     before = _local(same, 0, i0, 0, d0)[0] if i0 else 0
-    after = _local(same, i1, len(item), d1, len(doc))[0] if i1 < len(item) else 0
+    after = _local(same, i1, len(item), d1, size)[0] if i1 < len(item) else 0
     return n + max((x for x in (before, after) if x >= LEAST_PIECE), default=0)
 
 
-def worth_reading(where: dict[tuple[str, str], list[int]], pairs: dict[tuple[str, str], list[int]]) -> bool:
-    """A passage of fifteen words with up to four misread ones keeps at least five pairs of neighbours,
-    in two pieces that each stay near one diagonal. ``where``: the item's places of each pair of words;
-    ``pairs``: the document's."""
-    both = where.keys() & pairs.keys()
-    if sum(len(where[t]) for t in both) < 5:
-        return False
-    bands: dict[int, set[int]] = defaultdict(set)
-    for t in both:
-        for q in where[t]:
-            for p in pairs[t]:
-                for b in _bands(p - q):
-                    bands[b].add(q)
-    return sum(sorted(map(len, bands.values()))[-2:]) >= 5
-
-
 def _bands(diagonal: int) -> tuple[int, int]:
     """Overlapping bands of diagonals, so that inserted and lost words do not part a passage."""
     return diagonal // 12 * 2, (diagonal + 6) // 12 * 2 + 1
@@ -213,127 +247,273 @@ def passages(items: dict[int, str]) -> dict[int, list[str]]:
     return {k: w for k, w in out.items() if w}
 
 
-#: Documents of one shard of the index.
-SHARD = 512
-
-
-def search_shard(docs: list[tuple[int, str]], passage: dict, spots: dict, rare: dict, total: int, least: int, vocabulary: Vocabulary | None = None) -> list[tuple[int, int, int]]:
-    """Index one shard of documents and search it for all items: (doc_id, item_id, words)."""
-    words = [norm_words(t) for _, t in docs]
-    vocabulary = vocabulary or Vocabulary({w for ws in passage.values() for w in ws})
-    lone = max(1.0, LONE * total)
-    index: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
-    for d, ws in enumerate(words):
-        for p, t in enumerate(zip(ws, ws[1:])):
-            if t in rare:
-                index[t].append((d, p))
-    # posting lists from the rarest term on; offsets are adjusted to where the item would start
-    again: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
-    for t in sorted(index, key=lambda t: (rare[t], t)):
-        alone = rare[t] <= lone
-        for k, q in spots[t]:
-            for d, p in index[t]:
-                again[d, k].append((q, p - q, alone))
-    out = []
-    places = {k: _places(passage[k]) for k in {k for _, k in again}}
-    last, pairs, known = -1, {}, None
-    for (d, k), hits in sorted(again.items()):
-        if not meets(hits):
+# ---------------------------------------------------------------- the index
+
+
+def segment(docs: list[tuple[int, list[str]]], posting: Posting) -> tuple:
+    """One segment of the index: (document ids, where each begins, terms, postings of each, documents of each, block).
+
+    Positions count through the segment, with one place free after each document. The block holds the
+    positions of each term, ascending, as differences, compressed.
+    """
+    begins = np.cumsum([0, *(len(ws) + 1 for _, ws in docs)])
+    lists = np.zeros(begins[-1], np.int64)
+    for b, (_, ws) in zip(begins, docs):
+        lists[b:b + len(ws)] = np.fromiter(map(posting.__getitem__, ws), np.int64, len(ws))
+    starts, flat = posting.table()
+    at = np.flatnonzero(lists)
+    counts = starts[lists[at] + 1] - starts[lists[at]]
+    term, place = flat[_flat(starts[lists[at]], counts)], np.repeat(at, counts)
+    order = np.lexsort((place, term))
+    term, place = term[order], place[order]
+    terms, first, sizes = np.unique(term, return_index=True, return_counts=True)
+    doc = np.searchsorted(begins, place, "right")
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+    held = np.add.reduceat(new, first) if len(first) else first
+    block = zlib.compress(np.diff(place, prepend=0).astype("<i4").tobytes(), 1)
+    return [d for d, _ in docs], begins.tolist(), terms.tolist(), sizes.tolist(), held.tolist(), block
+
+
+class Items:
+    """The test set, ready for the search: its phrases of three words, and where items have them."""
+
+    def __init__(self, passage: dict[int, list[str]], df: dict[int, int] | None = None):
+        self.passage = passage
+        self.ids = sorted(passage)
+        self.vocabulary = Vocabulary({w for ws in passage.values() for w in ws})
+        number, self.size = self.vocabulary.number, len(self.vocabulary.words)
+        numbers = [[number[w] for w in passage[k]] for k in self.ids]
+        self.words = np.full((len(numbers), max(map(len, numbers), default=0)), self.size, np.int32)
+        for k, ws in enumerate(numbers):
+            self.words[k, :len(ws)] = ws
+        rows = sorted(((a * self.size + b) * self.size + c, k, q) for k, ws in enumerate(numbers) for q, (a, b, c) in enumerate(zip(ws, ws[1:], ws[2:])))
+        table = np.array(rows, np.int64).reshape(-1, 3)
+        self.codes, self.starts = np.unique(table[:, 0], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(table)))
+        self.item, self.spot = table[:, 1], table[:, 2]
+        self.width = self.words.shape[1] + 1
+        # each phrase is looked up from its rarest word on: (phrase, how far in that word stands)
+        seen = np.zeros(self.size, np.int64)
+        for w, n in (df or {}).items():
+            seen[w] = n
+        parts = np.stack([self.codes // self.size ** 2, self.codes // self.size % self.size, self.codes % self.size])
+        self.anchor = seen[parts].argmin(axis=0) if len(self.codes) else np.zeros(0, np.int64)
+        self.by_anchor = [np.unique(parts[o][self.anchor == o]) for o in range(3)]
+
+
+def _phrases(place: np.ndarray, term: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(place, phrase) of every phrase of the items: the list of its rarest word is intersected with those of
+    the two others, their offsets adjusted. ``place`` ascends."""
+    out_place, out_phrase = [], []
+    for o in range(3):
+        at = np.flatnonzero(np.isin(term, items.by_anchor[o]))
+        part = {o: term[at]}
+        start = place[at] - o
+        for other in sorted({0, 1, 2} - {o}, key=lambda x: abs(x - o)):
+            lo, hi = np.searchsorted(place, start + other, "left"), np.searchsorted(place, start + other, "right")
+            again = hi - lo
+            part = {k: np.repeat(v, again) for k, v in part.items()} | {other: term[_flat(lo, again)]}
+            start = np.repeat(start, again)
+        code = (part[0] * items.size + part[1]) * items.size + part[2]
+        spot = np.minimum(np.searchsorted(items.codes, code), len(items.codes) - 1)
+        met = (items.codes[spot] == code) & (items.anchor[spot] == o)
+        out_place.append(start[met])
+        out_phrase.append(spot[met])
+    return np.concatenate(out_place), np.concatenate(out_phrase)
+
+
+#: Diagonals of a window in which a piece is aligned, and how far apart windows are.
+BAND, STEP = 12, 6
+#: Scores of an alignment: a word in common, and one that is lost, added or another.
+SAME_WORD, OTHER_WORD = 2, 3
+
+
+def search_segment(seg: tuple, items: Items, least: int) -> list[tuple[int, int, int]]:
+    """Search one segment for all items: (document, item, words)."""
+    ids, begins, terms, sizes, _, block = seg
+    place = np.frombuffer(zlib.decompress(block), "<i4").astype(np.int64).cumsum()
+    if not len(place) or not len(items.codes):
+        return []
+    begins = np.array(begins)
+    term = np.repeat(np.array(terms, np.int64), sizes)
+    order = np.lexsort((term, place))
+    place, term = place[order], term[order]
+    start, phrase = _phrases(place, term, items)
+    doc = np.searchsorted(begins, start, "right") - 1
+    again = items.counts[phrase]
+    spots = _flat(items.starts[phrase], again)
+    pair = np.repeat(doc, again) * len(items.ids) + items.item[spots]
+    spot = items.spot[spots]
+    diagonal = np.repeat(start - begins[doc], again) - spot
+    pair, window, begin, end = _windows(pair, spot, diagonal, items.width)
+    if not len(pair):
+        return []
+    n, first, last, at = _pieces(pair, window, begin, end, begins, place, term, items, least)
+    found = []
+    heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    for h, t in zip(heads.tolist(), np.append(heads[1:], len(pair)).tolist()):
+        if not _may_reach(n[h:t].tolist(), first[h:t].tolist(), last[h:t].tolist(), at[h:t].tolist(), least):
             continue
-        item, ws = passage[k], words[d]
-        if d != last:
-            last, pairs, known = d, _places(ws), None
-        if not worth_reading(places[k], pairs):
-            continue
-        known = vocabulary.index(ws) if known is None else known
-        n = passage_words(item, ws, known, least)
-        if n >= least:
-            out.append((docs[d][0], k, n))
-    return out
-
-
-def _places(words: list[str]) -> dict[tuple[str, str], list[int]]:
-    out: dict[tuple[str, str], list[int]] = {}
-    for p, t in enumerate(zip(words, words[1:])):
-        out.setdefault(t, []).append(p)
-    return out
-
-
-def meets(hits: list[tuple[int, int, bool]]) -> bool:
-    """A passage of fifteen words with a few changed ones meets in two rare terms near one diagonal, in
-    three on several, or in one that is rare enough alone. ``hits``: (item position, diagonal, alone)."""
-    if any(alone for _, _, alone in hits):
-        return True
-    if len({q for q, _, _ in hits}) >= 3:
+        d, k = divmod(int(pair[h]), len(items.ids))
+        item = items.passage[items.ids[k]]
+        a, b = np.searchsorted(place, begins[d:d + 2])
+        where = defaultdict(set)
+        for w, p in zip(term[a:b].tolist(), (place[a:b] - begins[d]).tolist()):
+            where[items.vocabulary.words[w]].add(p)
+        words = passage_words(item, int(begins[d + 1] - begins[d] - 1), where, least)
+        if words >= least:
+            found.append((ids[d], items.ids[k], words))
+    return found
+
+
+def _windows(pair: np.ndarray, spot: np.ndarray, diagonal: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The one or two windows of diagonals in which a pair has most phrases, if it has LEAST_PHRASES there and
+    two stand in one order: (pair, window, first and last spot of its phrases), by pair."""
+    if not len(pair):
+        return pair, pair, spot, spot
+    band = diagonal // STEP
+    low = int(band.min())
+    reach = int(band.max()) - low + 1
+    key = np.unique((pair * reach + (band - low)) * width + spot)
+    window, spot = np.divmod(key, width)
+    first = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+    many = np.diff(np.append(first, len(window)))
+    begin, end = spot[first], spot[np.append(first[1:], len(spot)) - 1]
+    owner, band = np.divmod(window[first], reach)
+    band += low
+    heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    lone = np.diff(np.append(heads, len(owner))) == 1
+    order = np.argsort(owner * 1024 - np.minimum(many, 1023), kind="stable")
+    one, two = order[heads], order[np.minimum(heads + 1, len(order) - 1)]
+    same_way = (begin[one] <= begin[two]) == (begin[one] + band[one] * STEP <= begin[two] + band[two] * STEP)
+    near = np.abs(band[one] - band[two]) <= 1
+    pairs = ~lone & (same_way | near) & (many[one] + many[two] >= LEAST_PHRASES)
+    keep = np.sort(np.concatenate([one[pairs | (many[one] >= LEAST_PHRASES)], two[pairs]]))
+    return owner[keep], band[keep], begin[keep], end[keep]
+
+
+def _pieces(pair: np.ndarray, window: np.ndarray, begin: np.ndarray, end: np.ndarray, begins: np.ndarray, place: np.ndarray, term: np.ndarray, items: Items, least: int) -> tuple[np.ndarray, ...]:
+    """Of each window the best local alignment: (words in common, first and last spot of the item, diagonal).
+    All windows advance together, one word of the items at a time, from ``least`` words before a window's
+    first phrase to as many behind its last."""
+    # a place of the documents has one test word, or a few that it may be
+    first_at = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    nth = np.arange(len(place)) - np.repeat(first_at, np.diff(np.append(first_at, len(place))))
+    longest = items.words.shape[1]
+    layers = []
+    for i in range(int(nth.max()) + 1):
+        x = np.full(int(begins[-1]) + 2 * (longest + BAND), -1, np.int32)
+        x[place[nth == i] + longest + BAND] = term[nth == i]
+        layers.append(x)
+    out = [np.zeros(len(pair), np.int32) for _ in range(4)]
+    start, stop = np.maximum(0, begin - least), np.minimum(longest, end + 3 + least)
+    by_length = np.argsort(stop - start, kind="stable")
+    lost = np.int32(OTHER_WORD << 16)
+    for a in range(0, len(pair), 2048):
+        own = by_length[a:a + 2048]
+        d, k = np.divmod(pair[own], len(items.ids))
+        rows, length, q0 = len(own), int((stop - start)[own[-1]]), start[own]
+        low = window[own] * STEP - (BAND - STEP) // 2
+        where = (begins[d] + low + q0)[:, None] + np.arange(length + BAND)[None, :]
+        outside = (where < begins[d][:, None]) | (where >= (begins[d + 1] - 1)[:, None])
+        np.clip(where + longest + BAND, 0, len(layers[0]) - 1, out=where)
+        texts = []
+        for x in layers:
+            t = x[where]
+            t[outside] = -1
+            if not texts or (t >= 0).any():
+                texts.append(np.ascontiguousarray(t.T))
+        spots = np.minimum(q0[:, None] + np.arange(length)[None, :], longest)
+        words = np.ascontiguousarray(np.pad(items.words, ((0, 0), (0, 1)), constant_values=items.size)[k[:, None], spots].T)
+        score = np.zeros((BAND, rows), np.int32)
+        best, last, on = np.zeros(rows, np.int32), np.zeros(rows, np.int32), np.zeros(rows, np.int32)
+        gain, other = np.int32((SAME_WORD << 16) + (1 << 8)), np.int32(0)
+        for q in range(length):
+            met = texts[0][q:q + BAND] == words[q]
+            for t in texts[1:]:
+                met |= t[q:q + BAND] == words[q]
+            # score, words in common and the first spot in one number; a new piece begins at any word in common
+            new = np.where(met, np.maximum(score, max(0, 255 - q)) + gain, score - lost)
+            np.maximum(new[:-1], score[1:] - lost, out=new[:-1])
+            # words of the document left out: best from each lower diagonal
+            for step in (1, 2, 4):
+                np.maximum(new[step:], new[:-step] - step * lost, out=new[step:])
+            new[new < 1 << 16] = other
+            score = new
+            top = score.max(axis=0)
+            up = np.flatnonzero(top > best)
+            if len(up):
+                best[up], last[up], on[up] = top[up], q, score[:, up].argmax(axis=0)
+        for x, y in zip(out, (np.maximum((best >> 8) & 255, (best >> 16) // SAME_WORD), q0 + 255 - (best & 255), q0 + last, low + on)):
+            x[own] = y
+    return tuple(out)
+
+
+def _may_reach(n: list[int], first: list[int], last: list[int], at: list[int], least: int) -> bool:
+    """Whether one piece, or two in order, may have ``least`` words."""
+    if max(n) >= least or max(last) - min(first) > 250:  # of longer pieces the first spot is not known
         return True
-    bands: dict[int, set[int]] = defaultdict(set)
-    for q, s, _ in hits:
-        for b in _bands(s):
-            bands[b].add(q)
-    return max(map(len, bands.values())) >= 2
-
-
-def openers(passage: dict[int, list[str]], df: dict[tuple[str, str], int], total: int) -> tuple[dict, dict]:
-    """(places, document frequencies) of the terms that open a search. A term opens for an item if it stands
-    in few documents, or in at most twice as many as the item's own rarer terms (a quarter is as rare or
-    rarer): the terms of an item that stands in a third of the documents are all common, and still its own."""
-    spots: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
-    for k, ws in passage.items():
-        terms = list(zip(ws, ws[1:]))
-        counts = sorted(df[t] for t in terms if t in df)
-        if counts:
-            most = max(3.0, COMMON * total, 2 * counts[len(counts) // 4])
-            for p, t in enumerate(terms):
-                if df.get(t, most + 1) <= most:
-                    spots[t].append((k, p))
-    return spots, {t: df[t] for t in spots}
+    return any(
+        n[x] + n[y] - max(0, last[x] - first[y] + 1) >= least and first[x] <= first[y] and first[x] + at[x] <= last[y] + at[y]
+        for x in range(len(n)) for y in range(len(n)) if x != y)
 
 
 # ---------------------------------------------------------------- operators
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, item_id, words): documents that hold at least ``least`` words of an item's passage."""
-    rows = items.where("text is not null").groupBy("item_id").agg(F.min("text").alias("text")).limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} test items; split the test set")
-    passage = passages({r["item_id"]: r["text"] for r in rows})
-    terms = frozenset(t for ws in passage.values() for t in zip(ws, ws[1:]))
-    spark = docs.sparkSession
-
-    source = spread(docs.select("doc_id", "text")).where("text is not null")
+def index_of(docs: DataFrame, passage: dict[int, list[str]]) -> DataFrame:
+    """The stored index: one row per segment, written once to the shared checkpoint folder."""
+    words = {w for ws in passage.values() for w in ws}
 
-    def tally(batches):
+    def build(batches):
         import pyarrow as pa
 
-        n, seen = Counter(), 0
+        posting = Posting(Vocabulary(words))
+        types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+        names = ["docs", "begins", "terms", "sizes", "held", "block"]
+
+        def out(part):
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(segment(part, posting), types)], names=names)
+
         for batch in batches:
-            for t in batch.column("text").to_pylist():
+            part, size = [], 0
+            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ws = norm_words(t)
-                n.update(terms.intersection(zip(ws, ws[1:])))
-                seen += 1
-        rows = [("", seen), *sorted((" ".join(t), k) for t, k in n.items())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["term", "df"])
-
-    # document frequencies of the test terms: at most as many numbers as the test set has terms
-    df = {r["term"]: r["df"] for r in source.mapInArrow(tally, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    total = df.pop("", 0)
-    spots, rare = openers(passage, {tuple(t.split(" ")): n for t, n in df.items()}, total)
-    if not rare:
-        return spark.createDataFrame([], "doc_id long, item_id long, words int")
+                part.append((d, ws))
+                size += len(ws)
+                if len(part) >= SEGMENT_DOCS or size >= SEGMENT_WORDS:
+                    yield out(part)
+                    part, size = [], 0
+            if part:
+                yield out(part)
+
+    source = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    return durable(spread(source).mapInArrow(build, "docs array<long>, begins array<long>, terms array<int>, sizes array<int>, held array<int>, block binary"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, item_id, words): documents that hold at least ``least`` words of an item's passage."""
+    texts = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"the test set has {size} characters; split it into parts of {MOST_BYTES}")
+    passage = passages({r["item_id"]: r["text"] for r in texts.collect()})
+    index = index_of(docs, passage)
+    # in how many documents each test word stands: at most as many numbers as the test set has words
+    df = {r["term"]: r["df"] for r in index.select(F.explode(F.arrays_zip("terms", "held")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.held").alias("df")).collect()}
 
     def search(batches):
         import pyarrow as pa
 
-        vocabulary = Vocabulary({w for ws in passage.values() for w in ws})
+        ready = Items(passage, df)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a in range(0, len(ids), SHARD):
-                found = search_shard(list(zip(ids[a:a + SHARD], texts[a:a + SHARD])), passage, spots, rare, total, least, vocabulary)
+            for row in batch.to_pylist():
+                found = search_segment((row["docs"], row["begins"], row["terms"], row["sizes"], row["held"], row["block"]), ready, least)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "words"])
 
-    return source.mapInArrow(search, "doc_id long, item_id long, words int")
+    return index.mapInArrow(search, "doc_id long, item_id long, words int")
 
 
 def p7_leaks(spark: SparkSession, directory: str) -> DataFrame:
