@@ -10,7 +10,8 @@ the item would start, so that a document and an item meet on a diagonal. Where e
 runs, the pieces of all pairs are aligned together in windows of diagonals (proximity), and those that may
 have enough words in full, on their posted positions.
 
-No phrase is too common to count, and there is no limit on how many documents hold an item.
+There is no limit on how many documents hold a phrase or an item. Only the items say which phrases count:
+what three or more different items share is stock language, as their stock question is.
 
 Defined results: null and empty texts hold nothing; words are compared without case, accents,
 markup and look-alikes and with single wrong characters; a sentence that opens several items is
@@ -40,6 +41,8 @@ LEAST_PIECE = 5
 #: A pair is aligned when so many phrases of the item stand in two windows of diagonals: fifteen words in at
 #: most five runs (one piece with four words changed or put between, two pieces with three) hold at least five.
 LEAST_PHRASES = 5
+#: A phrase that so many different items hold is none of their own.
+SHARED = 3
 #: The texts of the test set have at most so many characters; it is sent to every task.
 MOST_BYTES = 64_000_000
 #: A segment of the index ends after so many documents or words.
@@ -235,7 +238,7 @@ def _bands(diagonal: int) -> tuple[int, int]:
 def stock_openings(items: dict[int, str]) -> set[str]:
     """Opening sentences or lines that several items share."""
     first = Counter(" ".join(norm_words(re.split(r"(?<=[.?!:])\s|\n", t.strip(), maxsplit=1)[0])) for t in items.values())
-    return {s for s, n in first.items() if n >= 3}
+    return {s for s, n in first.items() if n >= SHARED}
 
 
 def passages(items: dict[int, str]) -> dict[int, list[str]]:
@@ -275,8 +278,35 @@ def segment(docs: list[tuple[int, list[str]]], posting: Posting) -> tuple:
     return [d for d, _ in docs], begins.tolist(), terms.tolist(), sizes.tolist(), held.tolist(), block
 
 
+def own_phrases(passages: list[list[str]]) -> list[list[int]]:
+    """Where the phrases of three words begin that are each item's own.
+
+    What three or more different items share is stock language, as a stock question is. Items that share half
+    of their phrases with the first that has them are copies of one item. All phrases count for an item that
+    has hardly any of its own.
+    """
+    phrases = [list(zip(ws, ws[1:], ws[2:])) for ws in passages]
+    first: dict[tuple[str, str, str], int] = {}
+    copy_of = []
+    for k, ps in enumerate(phrases):
+        shared = Counter(copy_of[first[t]] for t in set(ps) if t in first)
+        other, n = max(shared.items(), key=lambda x: (x[1], -x[0]), default=(k, 0))
+        copy_of.append(other if 2 * n >= len(set(ps)) > 0 else k)
+        for t in ps:
+            first.setdefault(t, k)
+    holders: dict[tuple[str, str, str], set[int]] = defaultdict(set)
+    for k, ps in enumerate(phrases):
+        for t in ps:
+            holders[t].add(copy_of[k])
+    out = []
+    for ps in phrases:
+        own = [q for q, t in enumerate(ps) if len(holders[t]) < SHARED]
+        out.append(own if len(own) >= 2 * LEAST_PHRASES else list(range(len(ps))))
+    return out
+
+
 class Items:
-    """The test set, ready for the search: its phrases of three words, and where items have them."""
+    """The test set, ready for the search: the items' own phrases of three words, and where items have them."""
 
     def __init__(self, passage: dict[int, list[str]], df: dict[int, int] | None = None):
         self.passage = passage
@@ -287,7 +317,8 @@ class Items:
         self.words = np.full((len(numbers), max(map(len, numbers), default=0)), self.size, np.int32)
         for k, ws in enumerate(numbers):
             self.words[k, :len(ws)] = ws
-        rows = sorted(((a * self.size + b) * self.size + c, k, q) for k, ws in enumerate(numbers) for q, (a, b, c) in enumerate(zip(ws, ws[1:], ws[2:])))
+        own = own_phrases([passage[k] for k in self.ids])
+        rows = sorted(((ws[q] * self.size + ws[q + 1]) * self.size + ws[q + 2], k, q) for k, (ws, qs) in enumerate(zip(numbers, own)) for q in qs)
         table = np.array(rows, np.int64).reshape(-1, 3)
         self.codes, self.starts = np.unique(table[:, 0], return_index=True)
         self.counts = np.diff(np.append(self.starts, len(table)))
