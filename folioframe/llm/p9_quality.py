@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm.base import LANGS, python_stage, spread
-from folioframe.session import read_table
+from folioframe.session import durable, read_table
 
 # Frequent function words of the languages.
 FUNCTION_WORDS = {
@@ -33,15 +33,16 @@ FUNCTION_WORDS = {
     "ru": "и в не на я что он с как это по но из к у за от о же так для бы его все мы или при если то после их быть между чтобы этом кроме того до ли".split(),
     "zh": "的 了 是 在 和 有 不 这 我 也 就 对 与 可 以 为 会 及 并 且 第 个 中 上 下 而".split(),
 }
-CLASSES = ("letter", "digit", "space", "stop", "symbol", "other")
+CLASSES = ("lower", "upper", "han", "letter", "digit", "space", "line", "tab", "stop", "comma", "quote", "bracket", "bar", "dash", "bullet", "math", "symbol", "other")
 LINES = ("sentence", "item", "row", "noise", "formula", "heading")
-#: Structural profiles over the kinds of lines. Formulas and headings say little either way.
-PROFILES = {
-    "prose": {"sentence": 0.94, "item": 0.01, "row": 0.01, "noise": 0.01, "formula": 0.015, "heading": 0.015},
-    "list": {"sentence": 0.03, "item": 0.91, "row": 0.02, "noise": 0.01, "formula": 0.01, "heading": 0.02},
-    "table": {"sentence": 0.03, "item": 0.02, "row": 0.91, "noise": 0.01, "formula": 0.01, "heading": 0.02},
-    "junk": {"sentence": 0.02, "item": 0.01, "row": 0.01, "noise": 0.93, "formula": 0.02, "heading": 0.01},
-}
+SHAPES = ("prose", "list", "table", "junk")
+#: The kind of line that a shape is made of; formulas and headings say little either way.
+MAIN = dict(zip(SHAPES, LINES))
+#: A profile that few documents of a language stand for leans on the one of all languages, as if that
+#: were so many documents more.
+LEAN = 20.0
+#: Share of the lines' kinds, of the function words and of the character classes in the divergence.
+WEIGHTS = (0.6, 0.2, 0.2)
 _FW = {w for ws in FUNCTION_WORDS.values() for w in ws}
 _HAN = "㐀-鿿豈-﫿"
 _WORDS = re.compile(rf"[{_HAN}]|[^\W\d_{_HAN}]+(?:[-'’][^\W\d_{_HAN}]+)*")
@@ -69,9 +70,17 @@ def js(p: dict[str, float], q: dict[str, float]) -> float:
     return (total + sum([b for k, b in q.items() if not p.get(k)])) / 2
 
 
+#: Signs that tell shapes apart are classes of their own.
+_SIGNS = {c: k for k, cs in {"line": "\n\r\u2028", "tab": "\t", "stop": ".!?。！？…", "comma": ",;:，；：、", "quote": "'\"“”„’‘«»", "bracket": "()[]（）", "bar": "|&/", "dash": "-–—", "bullet": "•*‣▪◦·#", "math": "$\\^_{}=+<>~"}.items() for c in cs}
+
+
 @lru_cache(maxsize=65536)
 def _class(c: str) -> str:
-    return "letter" if c.isalpha() else "digit" if c.isdigit() else "space" if c.isspace() else "stop" if c in ".,;:!?'\"()-–—“”„’«»。、，！？…" else "symbol" if c.isprintable() else "other"
+    if c in _SIGNS:
+        return _SIGNS[c]
+    if c.isalpha():
+        return "lower" if c.islower() else "upper" if c.isupper() else "han" if _HANS.match(c) else "letter"
+    return "digit" if c.isdigit() else "space" if c.isspace() else "symbol" if c.isprintable() else "other"
 
 
 def char_classes(text: str) -> dict[str, float]:
@@ -241,69 +250,129 @@ def readable(ws: list[str]) -> bool:
     return sum(len(w) > 2 for w in ws) >= 0.5 * len(ws) and len(set(ws)) >= 0.5 * len(ws)
 
 
-def judge(text: str, profiles: dict[str, tuple[dict, dict]]) -> tuple[str, dict[str, float], str, float, float]:
-    """(shape, divergence from each structural profile, language, JS of function words, JS of character classes)"""
+def features(text: str) -> tuple[str, dict[str, float], dict[str, float], dict[str, float]]:
+    """(language, distribution over kinds of lines, over function words, over character classes)"""
     fws: Counter = Counter()
     kinds = line_kinds(text, fws)
     size = fws.pop(None, 0)
-    firm = sum(kinds.get(k, 0.0) for k in ("sentence", "item", "row", "noise"))
+    firm = sum(kinds.get(MAIN[s], 0.0) for s in SHAPES)
     if firm > 0:  # formulas and headings beside other lines do not decide
-        kinds = {k: (kinds.get(k, 0.0) / firm if k in ("sentence", "item", "row", "noise") else 0.0) for k in LINES}
-    lang = language([], fws)
-    words_js, class_js = 1.0, 1.0
-    if lang in profiles:
-        words_js, class_js = js(function_words(size, fws), profiles[lang][0]), js(char_classes(text), profiles[lang][1])
-    far = {s: js(kinds, p) for s, p in PROFILES.items()}
-    # prose has the function words and character classes of its language, junk has neither
-    far["prose"] += 0.25 * words_js + 0.25 * class_js
-    for s in ("list", "table", "junk"):
-        far[s] += 0.25 * (1 - words_js) * (0.5 if s != "junk" else 1.0) * 0.3
-    return min(far, key=lambda s: (far[s], s != "prose")), far, lang, words_js, class_js
+        kinds = {k: kinds.get(k, 0.0) / firm for k in MAIN.values()}
+    return language([], fws), kinds, function_words(size, fws), char_classes(text)
+
+
+def seed(kinds: dict[str, float]) -> str:
+    """The shape that a document stands for when profiles are taken: the one of most of its lines."""
+    return max(SHAPES, key=lambda s: (kinds.get(MAIN[s], 0.0), s == "prose"))
+
+
+class Profiles:
+    """Structural profiles of each language: the mean distributions of the documents that stand for a shape."""
+
+    def __init__(self, totals: dict[tuple[str, str, str, str], float]):
+        """totals: (language, shape, what, key) -> sum over documents; what is k, w, c, or n for their number."""
+        self.totals = totals
+        every: Counter = Counter()
+        for (_, s, what, key), n in totals.items():
+            every[s, what, key] += n
+        self.of: dict[tuple[str, str], tuple[dict, dict, dict]] = {}
+        mean = {s: tuple(self._share(every, (s,), what) for what in "kwc") for s in SHAPES}
+        for lang in sorted({k[0] for k in totals}) + [""]:
+            for s in SHAPES:
+                n = totals.get((lang, s, "n", ""), 0.0)
+                own = tuple(self._share(totals, (lang, s), what) for what in "kwc")
+                self.of[lang, s] = tuple({k: (n * o.get(k, 0.0) + LEAN * m.get(k, 0.0)) / (n + LEAN) for k in {*o, *m}} for o, m in zip(own, mean[s]))
+        self.known = {s for s in SHAPES if every[s, "n", ""]}
+
+    @staticmethod
+    def _share(totals: dict, head: tuple, what: str) -> dict[str, float]:
+        part = {k[-1]: n for k, n in totals.items() if k[:-2] == head and k[-2] == what and n > 0}
+        total = sum(part.values())
+        return {k: n / total for k, n in part.items()}
+
+    def far(self, lang: str | None, kinds: dict, words: dict, classes: dict) -> dict[str, tuple[float, float, float]]:
+        """Divergence from each shape's profile: of kinds of lines, function words and character classes."""
+        at = lang if (lang, "prose") in self.of else ""
+        return {s: tuple(js(x, y) for x, y in zip((kinds, words, classes), self.of[at, s])) if s in self.known else (1.0, 1.0, 1.0) for s in SHAPES}
+
+
+def nearest(far: dict[str, float]) -> str:
+    return min(SHAPES, key=lambda s: (round(far[s], 12), s != "prose"))
 
 
 # ---------------------------------------------------------------- operators
 
 
-def language_profiles(docs: DataFrame) -> dict[str, tuple[dict, dict]]:
-    """Function-word and character-class distributions per language, over all documents.
-    The language column is not read: each text counts for the language whose function words it has. Each Python task sends one row per language and key."""
+def measured(docs: DataFrame) -> DataFrame:
+    """The distributions of every document, read and cut into words once, and written once. A row without
+    ``doc_id`` holds the sums of one task, from which the profiles are taken: all documents count, labelled
+    with a language or not (the language is that of the function words)."""
 
-    def tally(batches):
+    def run(batches):
         import pyarrow as pa
 
-        total: Counter = Counter()
+        words, totals = pa.map_(pa.string(), pa.float64()), Counter()
+        types = (pa.int64(), pa.string(), pa.list_(pa.float64()), words, pa.list_(pa.float64()), words)
+        names = ["doc_id", "language", "kinds", "words", "classes", "totals"]
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ws = _WORDS.findall(text.lower())
-                fws = function_counts(ws)
-                lang = language(ws, fws)
-                for w, k in fws.items():
-                    total[lang, "w", w] += k
-                total[lang, "w", ""] += len(ws) - sum(fws.values())
-                for c, k in char_classes(text).items():
-                    total[lang, "c", c] += k * len(text)
-        if total:
-            rows = [(*k, float(v)) for k, v in sorted(total.items())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows)], names=["lang", "what", "key", "n"])
-
-    got = spread(docs.select("text")).where(F.col("text").rlike(r"\S")).mapInArrow(tally, "lang string, what string, key string, n double").groupBy("lang", "what", "key").agg(F.sum("n").alias("n")).collect()
-    out: dict[str, tuple[dict, dict]] = {}
-    for lang in {r["lang"] for r in got}:
-        pair = tuple({r["key"]: r["n"] for r in got if r["lang"] == lang and r["what"] == what} for what in "wc")
-        out[lang] = tuple({k: v / max(1.0, sum(d.values())) for k, v in d.items()} for d in pair)
-    return out
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                rows = []
+                for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    if not text.strip():
+                        rows.append((d, None, [], [], [], None))
+                        continue
+                    lang, kinds, fws, classes = features(text)
+                    s = seed(kinds)
+                    totals[lang, s, "n", ""] += 1
+                    for what, x in (("k", kinds), ("w", fws), ("c", classes)):
+                        for k, n in x.items():
+                            totals[lang, s, what, k] += n
+                    rows.append((d, lang, [kinds.get(k, 0.0) for k in LINES], list(fws.items()), [classes[c] for c in CLASSES], None))
+                if rows:
+                    yield out(rows)
+        if totals:
+            yield out([(None, None, None, None, None, [("\t".join(k), n) for k, n in sorted(totals.items())])])
+
+    source = spread(docs.select("doc_id", "text")).where("doc_id is not null and text is not null")
+    return durable(source.mapInArrow(run, "doc_id long, language string, kinds array<double>, words map<string,double>, classes array<double>, totals map<string,double>"))
+
+
+def profiles_of(rows: DataFrame) -> Profiles:
+    """Profiles from the tasks' sums: one number per language, shape and key comes to the driver."""
+    got = rows.where("totals is not null").select(F.explode("totals")).groupBy("key").agg(F.sum("value").alias("n")).collect()
+    return Profiles({tuple(r["key"].split("\t")): r["n"] for r in got})
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    profiles = language_profiles(docs)
+    """Every document's divergence from each structural profile of its language, and the nearest one."""
+    rows = measured(docs)
+    profiles = profiles_of(rows)
 
-    def rows(row: dict):
-        if row["text"] is None:
+    def judge(row: dict):
+        if not row["kinds"]:
+            yield row["doc_id"], "junk", "junk", None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0
             return
-        shape, far, lang, a, b = judge(row["text"], profiles) if row["text"].strip() else ("junk", {s: 1.0 for s in PROFILES}, None, 1.0, 1.0)
-        yield row["doc_id"], shape, lang, a, b, far["prose"], far["list"], far["table"], far["junk"]
+        kinds, words, classes = dict(zip(LINES, row["kinds"])), dict(row["words"]), dict(zip(CLASSES, row["classes"]))
+        parts = profiles.far(row["language"], kinds, words, classes)
+        far = {s: sum(w * x for w, x in zip(WEIGHTS, parts[s])) for s in SHAPES}
+        plain = {s: parts[s][1] + parts[s][2] for s in SHAPES}
+        yield row["doc_id"], nearest(far), nearest(plain), row["language"], parts["prose"][1], parts["prose"][2], *(far[s] for s in SHAPES)
+
+    return python_stage(
+        rows.where("doc_id is not null").select("doc_id", "language", "kinds", "words", "classes"),
+        "doc_id long, shape string, by_words_and_classes string, language string, word_js double, class_js double, far_prose double, far_list double, far_table double, far_junk double", judge)
+
 
-    return python_stage(docs.select("doc_id", "text"), "doc_id long, shape string, language string, word_js double, class_js double, far_prose double, far_list double, far_table double, far_junk double", rows)
+def p9_method(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document's nearest structural profile by function words and character classes alone, without
+    the kinds of lines, and its divergence from its language's prose."""
+    d = judged(read_table(spark, directory, "documents"))
+    return d.select("doc_id", "language", "word_js", "class_js", F.col("by_words_and_classes").alias("shape"))
 
 
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -346,5 +415,5 @@ SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(len(ws) AS BIGINT) AS n_
   CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda w: w IN ('the','of','and','to','in','a','is','that','it','for','on','with','as','by','are','this','from','an','at','not'))) / len(ws), 6) END AS common_words
 FROM d"""
 
-QUERIES = {"p9_found": p9_found, "p9_shapes": p9_shapes, "p9_stats": p9_stats}
+QUERIES = {"p9_method": p9_method, "p9_found": p9_found, "p9_shapes": p9_shapes, "p9_stats": p9_stats}
 ORACLE = {"p9_stats": P9_STATS_SQL}

@@ -310,6 +310,17 @@ def test_two_pieces_in_order_are_found():
     assert search({1: item}, turned) == set()
 
 
+def test_stock_language_is_no_passage():
+    rng = random.Random(8)
+    stock = _item(rng, 12)
+    items = {k: _item(rng, 15) + stock + _item(rng, 15) for k in range(4)}
+    items[9] = list(items[0])  # a copy of an item is not another item
+    docs = [(0, " ".join(_item(rng, 20) + stock + _item(rng, 3) + stock)), (1, " ".join(items[0])), (2, " ".join(_item(rng, 9) + items[1][4:19]))]
+    assert search(items, docs) == {(1, 0), (1, 9), (2, 1)}
+    short = {k: stock + ["v", "w", "x", f"y{k}"] for k in range(3)}  # nothing of their own: all phrases count
+    assert {k for _, k in search(short, [(0, " ".join(stock + ["v", "w", "x"]))])} == {0, 1, 2}
+
+
 def test_stored_postings_give_the_places_back():
     import zlib
 
@@ -388,7 +399,31 @@ def test_plan_fills_up():
 
 # ---------------------------------------------------------------- 9
 
-PROFILES = {k: (p9.function_words(10, p9.Counter({w: 1 for w in p9.FUNCTION_WORDS[k][:4]})), p9.char_classes("a word of it. ")) for k in p9.LANGS}
+SHAPED = {
+    "prose": ["We find that the operator of the process converges, because the scheme is dense. It stops.", "Die Werte sind nicht in der Reihe, und sie werden von der Messung mit dem Gerät auf die Probe gestellt.", "光滑的探测器可以放大电流的区域。线性的矩阵可以放大曲率的边界。"],
+    "list": ["- a dense scheme\n- an operator\n- the process", "1. a dense scheme\n2. an operator\n3. the process"],
+    "table": ["| a | b |\n|---|---|\n| x | 1.5 |\n| y | 2.5 |", "name,value,other\nx,1.5,2\ny,2.5,3\nz,3.5,4"],
+    "junk": ["Home | Login | Search | Help | Contact", "67 77 e5 11 da 64 73 74 98 a4 4f 72\nf3 b3 1b da 0e 1b 05 6d 74 88 58 83"]}
+
+
+def fitted(texts):
+    totals = p9.Counter()
+    for t in texts:
+        lang, *parts = p9.features(t)
+        s = p9.seed(parts[0])
+        totals[lang, s, "n", ""] += 1
+        for what, x in zip("kwc", parts):
+            for k, n in x.items():
+                totals[lang, s, what, k] += n
+    return p9.Profiles(totals)
+
+
+PROFILES = fitted([t for ts in SHAPED.values() for t in ts])
+
+
+def shape_of(text):
+    far = PROFILES.far(*p9.features(text))
+    return p9.nearest({s: sum(w * x for w, x in zip(p9.WEIGHTS, far[s])) for s in p9.SHAPES})
 
 
 @pytest.mark.parametrize("text,shape", [
@@ -398,7 +433,7 @@ PROFILES = {k: (p9.function_words(10, p9.Counter({w: 1 for w in p9.FUNCTION_WORD
     ("Home | Login | Search | Help | Contact", "junk"), ("67 77 e5 11 da 64 73 74 98 a4 4f 72\nf3 b3 1b da 0e 1b 05 6d 74 88 58 83", "junk"), ("T h e   s a m e   l a m i n a r   f l o w", "junk"), ("", "junk"),
     ("光滑的探测器可以放大电流的区域。线性的矩阵可以放大曲率的边界。", "prose")])
 def test_shapes(text, shape):
-    assert (p9.judge(text, PROFILES)[0] if text else "junk") == shape
+    assert (shape_of(text) if text else "junk") == shape
 
 
 def test_divergence():
@@ -406,7 +441,21 @@ def test_divergence():
     assert abs(p9.js({"a": 0.5, "b": 0.5}, {"a": 1.0}) - p9.js({"a": 1.0}, {"a": 0.5, "b": 0.5})) < 1e-12
 
 
+def test_profiles_decide(spark):
+    """The nearest profile by words and characters alone: other profiles, other shapes."""
+    text = SHAPED["list"][0]
+    far = PROFILES.far(*p9.features(text))
+    assert p9.nearest({s: x[1] + x[2] for s, x in far.items()}) == "list"
+    other = p9.Profiles({(lang, {"list": "junk", "junk": "list"}.get(s, s), what, k): n for (lang, s, what, k), n in PROFILES.totals.items()})
+    far = other.far(*p9.features(text))
+    assert p9.nearest({s: x[1] + x[2] for s, x in far.items()}) == "junk"
+
+
 def test_profiles_need_no_label(spark):
-    text = "Die Werte sind nicht in der Reihe, und sie werden von der Messung mit dem Gerät auf die Probe gestellt."
-    docs = spark.createDataFrame([(1, text, None), (2, text, "xx")], "doc_id long, text string, lang string")
-    assert set(p9.language_profiles(docs)) == {"de"}
+    text = SHAPED["prose"][1]
+    docs = spark.createDataFrame([(1, text, None), (2, text, "xx"), (3, " ", "de"), (4, None, "de"), (None, text, "de")], "doc_id long, text string, lang string")
+    got = p9.profiles_of(p9.measured(docs))
+    assert {k[0] for k in got.totals} == {"de"} and got.totals["de", "prose", "n", ""] == 2
+    rows = {r.doc_id: r for r in p9.judged(docs).collect()}
+    assert {d: r["shape"] for d, r in rows.items()} == {1: "prose", 2: "prose", 3: "junk"}
+    assert rows[1].word_js < 1e-9 and rows[3].language is None
