@@ -1,10 +1,10 @@
 """Markup residue: find HTML, Markdown, wiki and LaTeX markup and turn it into clean text.
 
 Method: maximum-scoring subsequence. A text is cut into words and markup tokens; every token
-class has a weight, positive for content and negative for markup, learnt as a smoothed log odds
-from labelled texts (a token is content where the block's own text has it). A linear scan
-(Kadane) finds the contiguous region with the highest sum; it is the content region. A record
-holds markup when the scan meets a token of a markup class.
+class has a weight, the smoothed log odds that its tokens stand in the block's own text, learnt from
+labelled records: words come out positive, tags negative. A linear scan (Kadane) finds the contiguous
+region with the highest sum, the content region; the same scan over the turned weights finds the
+region that is most markup, and a record holds markup when that region scores above zero.
 
 Defined results: null text gives no row in ``found`` and null columns in ``clean``; an empty text
 gives an empty region; texts are processed whole; repeated rows count once; unknown or null
@@ -176,14 +176,16 @@ def to_clean(text: str, kind: str | None = None) -> str:
     t = re.sub(r"(?m)^(\s*)[*#:;]{2,}(?=\s+\S)", r"\1•", t)
     # inline wiki, Markdown, LaTeX
     t = re.sub(r"(?is)<ref[^>]*/>|<ref[^>]*>.*?</ref>", "", t)
-    t = re.sub(r"(?s)\{\{[^{}]*\}\}", "", t)
+    n = 1
+    while n:
+        t, n = re.subn(r"(?s)\{\{[^{}]*\}\}", "", t)
     t = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", t)
     t = re.sub(r"\[https?://\S+\s+([^\]]+)\]", r"\1", t)
     t = re.sub(r"!?\[([^\]\n]*)\]\((?:https?:|#|/|\.|mailto:|\w+[./#])[^)\n]*\)", r"\1", t)
     t = re.sub(r"(?m)^\s{0,3}>+\s+", "", t)
     t = re.sub(r"\\(?:label|vspace|hspace|input|index|pagestyle)\*?\{[^{}]*\}", "", t)
     t = re.sub(r"\\(?:begin|end)\{[^}]*\}", "\n", t)
-    for _ in range(4):
+    while True:
         t, n = re.subn(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", t)
         t, k = re.subn(r"\{\\[a-zA-Z]+\s+([^{}]*)\}", r"\1", t)
         if not n + k:
@@ -218,70 +220,69 @@ def records(spark: SparkSession, directory: str, sampled: bool = False) -> DataF
 
 
 
-def learn_weights(recs: DataFrame) -> dict[str, float]:
-    """Log odds of each token class: how often its tokens are content of the labelled text.
+def label_tokens(text: str, label: str, kind: str | None) -> Counter:
+    """(class, does the block's own text have the token?) -> how many tokens of a record."""
+    own = plain(label)
+    tally: Counter = Counter()
+    for name, a, b in tokens(text, kind):
+        if name not in ("space", "plain"):
+            tally[name, text[a:b].strip() in own] += 1
+    return tally
+
+
+def odds(n: dict[tuple[str, bool], int]) -> dict[str, float]:
+    """Weights of the token classes from labelled tokens; spaces and single signs between words weigh nothing."""
+    learnt = {}
+    for c in CLASSES:
+        good, bad = n.get((c, True), 0), n.get((c, False), 0)
+        learnt[c] = 0.0 if c in ("plain", "space", "punct", "amp_cell") else math.log((good + 0.5) / (bad + 0.5)) / 4 if good + bad else PRIOR[c]
+    return learnt
 
-    A record is labelled where its block has a text of its own.
-    """
+
+def learn_weights(recs: DataFrame) -> dict[str, float]:
+    """Log odds of each token class. A record is labelled where its block has a text of its own."""
 
     def count(row: dict):
-        text, label = row["content"], row["label"]
-        have = set(plain(label).split())
-        tally: Counter = Counter()
-        for name, a, b in tokens(text, row["kind"]):
-            if name not in ("space", "plain"):
-                tally[name, name in CONTENT and (name != "word" or len(have) >= 40 or any(text[a:b] in w for w in have))] += 1
-        for (name, good), n in tally.items():
+        for (name, good), n in label_tokens(row["content"], row["label"], row["kind"]).items():
             yield name, good, n
 
     picked = recs.where(F.col("content").rlike(r"\S") & F.col("label").rlike(r"\S")).select("content", "label", "kind")
     seen = python_stage(picked, "name string, good boolean, n long", count).groupBy("name", "good").agg(F.sum("n").alias("n")).collect()
-    n = {(r["name"], r["good"]): r["n"] for r in seen}
-    learnt = {}
-    for c in CLASSES:
-        good, bad = n.get((c, True), 0), n.get((c, False), 0)
-        odds = math.log((good + 0.5) / (bad + 0.5)) / 4 if good + bad else PRIOR[c]
-        odds = max(-3.0, min(3.0, odds))
-        learnt[c] = 0.0 if c in ("plain", "space", "punct", "amp_cell") else max(odds, 0.1) if c in CONTENT else min(odds, -0.1)
-    return learnt
+    return odds({(r["name"], r["good"]): r["n"] for r in seen})
 
 
 _FIRST = re.compile(r"[^\W_]")
 
 
-def region_of(text: str, kind: str | None, weights: dict[str, float]) -> tuple[list[str], int, int, float, list]:
-    """Markup classes met, best region, its score, and the tokens where there is markup."""
+def region_of(text: str, kind: str | None, weights: dict[str, float]) -> tuple[list[str], tuple[int, int, float], tuple[int, int, float]]:
+    """(markup classes met, content region, region that is most markup); regions with their scores."""
     if not SIGNS.search(text):
         # only content, none of it negative: the region reaches from the first word to the last
         m = _FIRST.search(text)
         if m is None:
-            return [], 0, 0, 0.0, []
-        size = len(text.rstrip())
-        return [], m.start(), size, float(sum(weights["word"] for _ in text.split())), []
+            return [], (0, 0, 0.0), (0, 0, 0.0)
+        return [], (m.start(), len(text.rstrip()), float(sum(weights["word"] for _ in text.split()))), (0, 0, 0.0)
     toks = tokens(text, kind)
-    a, b, score = best_region(toks, weights)
-    return list(dict.fromkeys(n for n, _, _ in toks if n not in CONTENT and weights[n] < 0)), a, b, score, toks
+    marks = list(dict.fromkeys(n for n, _, _ in toks if n not in CONTENT and weights[n] < 0))
+    turned = {c: 0.0 if c in CONTENT and w < 0 else -w for c, w in weights.items()}
+    return marks, best_region(toks, weights), best_region(toks, turned)
 
 
 def scan(recs: DataFrame, weights: dict[str, float], convert: bool = True) -> DataFrame:
-    """The scan over every record: content region, its score, and the markup met on the way; with
-    ``convert`` the clean text too."""
+    """The scan over every record: content region, region that is most markup, scores, and the markup met on
+    the way; with ``convert`` the clean text of the whole record too."""
 
     def rows(row: dict):
         text = row["content"]
         if text is None:
-            yield row["paper"], row["block"], row["seq"], row["kind"], None, None, None, None, None
+            yield row["paper"], row["block"], row["seq"], row["kind"], *[None] * 8
             return
-        marks, a, b, score, toks = region_of(text, row["kind"], weights)
-        clean = None
-        if convert:
-            lead = [t for t in toks if t[2] <= a and t[0] not in CONTENT]
-            tail = [t for t in toks if t[1] >= b and t[0] not in CONTENT]
-            # markup that only opens or closes what the region holds goes with it
-            clean = to_clean(text[(lead[0][1] if lead else a):(tail[-1][2] if tail else b if not text[b:].strip() else len(text))], row["kind"])
-        yield row["paper"], row["block"], row["seq"], row["kind"], marks, a, b, score, clean
+        marks, own, markup = region_of(text, row["kind"], weights)
+        yield row["paper"], row["block"], row["seq"], row["kind"], marks, *own, *markup, to_clean(text, row["kind"]) if convert else None
 
-    return python_stage(recs.select("paper", "block", "seq", "kind", "content"), "paper string, block string, seq int, kind string, marks array<string>, region_start int, region_end int, score double, clean string", rows)
+    return python_stage(
+        recs.select("paper", "block", "seq", "kind", "content"),
+        "paper string, block string, seq int, kind string, marks array<string>, region_start int, region_end int, score double, markup_start int, markup_end int, markup_score double, clean string", rows)
 
 
 def weights_for(spark: SparkSession, directory: str) -> dict[str, float]:
@@ -291,13 +292,14 @@ def weights_for(spark: SparkSession, directory: str) -> dict[str, float]:
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     recs = records(spark, directory)
-    return scan(recs, weights_for(spark, directory), convert=False).where(F.size("marks") > 0).select("paper", "block", "seq").distinct()
+    return scan(recs, weights_for(spark, directory), convert=False).where("markup_score > 0").select("paper", "block", "seq").distinct()
 
 
 def p1_method(spark: SparkSession, directory: str) -> DataFrame:
-    """The scan's own result: the maximum-scoring region of every record that is not a formula."""
+    """The scan's own result: the maximum-scoring region of every record that is not a formula, and the region
+    that is most markup."""
     recs = records(spark, directory)
-    return scan(recs, weights_for(spark, directory), convert=False).select("paper", "block", "seq", "region_start", "region_end", "score")
+    return scan(recs, weights_for(spark, directory), convert=False).select("paper", "block", "seq", "region_start", "region_end", "score", "markup_start", "markup_end", "markup_score")
 
 
 def p1_clean(spark: SparkSession, directory: str) -> DataFrame:
@@ -312,4 +314,4 @@ def p1_kinds(spark: SparkSession, directory: str) -> DataFrame:
     return scan(recs, weights_for(spark, directory), convert=False).select("kind", F.explode("marks").alias("mark")).groupBy("kind", "mark").agg(F.count(F.lit(1)).alias("records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_method": p1_method, "p1_clean": p1_clean, "p1_kinds": p1_kinds}
+QUERIES = {"p1_method": p1_method, "p1_found": p1_found, "p1_clean": p1_clean, "p1_kinds": p1_kinds}
