@@ -1,14 +1,15 @@
 """Consensus of several engines' readings of a formula.
 
 Method: a community confusion model. Readings are brought to a canonical form; in a block, engines
-with the same form support one reading. An engine belongs to one of a few types; the engines of a
-type share a confusion matrix over what a reading is relative to the right one (right, one symbol
-off, several off, cut, blank-like), by kind of formula. Variational updates alternate between the
-posterior over each block's right reading and the posteriors over engine types and matrices, so
-that engines with few readings lean on their type. Engines of one family err together: equal wrong
-readings of one family count as one error plus cheap copies of it.
-
-Defined results: null and blank readings are not read; of an engine's repeated runs the highest
+with the same form support one reading. An engine belongs to one of a few communities; the engines of a
+community share a confusion matrix over what a reading is relative to the right one (right, one symbol
+off, several off, cut, blank-like), by kind of formula. Matrices and the communities' shares have Dirichlet
+priors; mean-field updates alternate between the posterior over each block's right reading, each engine's
+community and the Dirichlet posteriors, until the evidence lower bound no longer grows, so that engines with
+few readings lean on their community. Engines of one family err together: an equal wrong reading of one
+family is a copy with probability COPY, and counts against its engine only as far as it is none.
+
+Defined results: null and blank readings, and those of no engine, are not read; of an engine's repeated runs the highest
 ``seq`` is current; a null family is looked up in ``engines`` or, failing that, is the engine's own;
 ties fall to the reading with more families, then more engines, then the smaller text; a decision
 counts only when its latest state is ``resolved``; blocks with fewer than three current readings
@@ -43,7 +44,7 @@ def canonical(latex: str) -> tuple[str, ...]:
     """Tokens that stay when spacing, optional braces, outer delimiters, synonyms and look-alike
     characters are put aside. Sub- and superscripts come in one order."""
     t = latex.strip() if latex.isascii() else unicodedata.normalize("NFKC", INVISIBLE.sub("", latex)).translate(_FOLD).replace("−", "-").strip()
-    for _ in range(3):
+    while True:
         m = re.fullmatch(r"\s*(?:```(?:latex|math)?\s*(.*?)\s*```|\$\$(.*)\$\$|\$(.*)\$|\\\[(.*)\\\]|\\\((.*)\\\)|\\begin\{(?:equation|displaymath|math)\*?\}(.*)\\end\{(?:equation|displaymath|math)\*?\})\s*", t, re.S)
         if not m:
             break
@@ -148,81 +149,116 @@ def relation(reading: tuple[str, ...], right: tuple[str, ...]) -> str:
 
 # ---------------------------------------------------------------- the model
 
-#: Types of engines; prior readings that a type's matrix starts from (pseudo-counts).
-TYPES = 3
+#: What the matrices of the communities are expected to be, from the best to the worst, and as if from how
+#: many readings. The communities differ in this alone.
+EXPECTED = ((0.96, 0.025, 0.005, 0.005, 0.005), (0.88, 0.07, 0.015, 0.02, 0.015), (0.78, 0.13, 0.03, 0.035, 0.025), (0.65, 0.2, 0.05, 0.05, 0.05), (0.45, 0.28, 0.1, 0.09, 0.08))
 PRIOR_STRENGTH = 6.0
+#: Pseudo-count of each community's share of the engines.
+SHARE = 1.0
 #: Probability that an engine repeats its family's error instead of making its own.
 COPY = 0.5
 #: Ways in which an error of each relation can come out, for one that agrees with no other.
 WAYS = {"near": 40.0, "far": 400.0, "cut": 20.0, "blank": 6.0}
-ROUNDS = 8
+#: Updates end when a round adds less than this to the bound, per reading, and after so many at the latest.
+GAIN, MOST_ROUNDS = 1e-6, 60
+
+
+def digamma(x: float) -> float:
+    """Derivative of log gamma, for x > 0."""
+    low = 0.0
+    while x < 8:
+        low -= 1 / x
+        x += 1
+    y = 1 / (x * x)
+    return low + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+
+
+def dirichlet_divergence(a: list[float], b: list[float]) -> float:
+    """KL(Dir(a) || Dir(b))"""
+    top = digamma(sum(a))
+    return math.lgamma(sum(a)) - math.lgamma(sum(b)) + sum(math.lgamma(y) - math.lgamma(x) + (x - y) * (digamma(x) - top) for x, y in zip(a, b))
 
 
 class Community:
-    """Posterior over engine types and their confusion matrices; a few hundred numbers in all."""
+    """Posteriors over the engines' communities, their confusion matrices and shares; a few hundred numbers."""
 
     def __init__(self, engines: list[str], kinds: list[str]):
         self.engines, self.kinds = engines, kinds
-        start = ((0.9, 0.06, 0.01, 0.02, 0.01), (0.75, 0.15, 0.03, 0.04, 0.03), (0.55, 0.25, 0.07, 0.05, 0.08))
-        self.matrix = {(t, k): dict(zip(RELATIONS, start[t])) for t in range(TYPES) for k in kinds}
-        self.belongs = {e: [1 / TYPES] * TYPES for e in engines}
+        self.prior = [[PRIOR_STRENGTH * x for x in row] for row in EXPECTED]
+        self.matrix = {(c, k): list(row) for c, row in enumerate(self.prior) for k in kinds}
+        self.share = [SHARE] * len(EXPECTED)
+        self.belongs = {e: [1 / len(EXPECTED)] * len(EXPECTED) for e in engines}
         self.rate: dict = {}
-        self._spread()
+        self._expect()
 
-    def _spread(self) -> None:
+    def _expect(self) -> None:
+        """Expected log probability of each relation, by community and by engine."""
+        self.log = {ck: [digamma(x) - digamma(sum(row)) for x in row] for ck, row in self.matrix.items()}
         for e in self.engines:
             for k in self.kinds:
-                for r in RELATIONS:
-                    self.rate[e, k, r] = math.log(max(1e-6, sum(w * self.matrix[t, k][r] for t, w in enumerate(self.belongs[e]))))
+                for i, r in enumerate(RELATIONS):
+                    self.rate[e, k, r] = sum(w * self.log[c, k][i] for c, w in enumerate(self.belongs[e]))
 
     def update(self, counts: dict[tuple[str, str, str], float]) -> None:
-        """One variational step from expected counts (engine, kind, relation)."""
+        """One mean-field step from expected counts (engine, kind, relation)."""
+        n = {(e, k): [counts.get((e, k, r), 0.0) for r in RELATIONS] for e in self.engines for k in self.kinds}
+        shares = [digamma(x) - digamma(sum(self.share)) for x in self.share]
         for e in self.engines:
-            logs = [sum(n * math.log(max(1e-6, self.matrix[t, k][r])) for k in self.kinds for r in RELATIONS if (n := counts.get((e, k, r), 0.0))) for t in range(TYPES)]
+            logs = [shares[c] + sum(x * y for k in self.kinds for x, y in zip(n[e, k], self.log[c, k])) for c in range(len(EXPECTED))]
             top = max(logs)
-            ws = [math.exp(min(0.0, x - top)) for x in logs]
+            ws = [math.exp(x - top) for x in logs]
             self.belongs[e] = [w / sum(ws) for w in ws]
-        for t in range(TYPES):
-            for k in self.kinds:
-                mass = {r: sum(self.belongs[e][t] * counts.get((e, k, r), 0.0) for e in self.engines) for r in RELATIONS}
-                total = sum(mass.values())
-                self.matrix[t, k] = {r: (mass[r] + PRIOR_STRENGTH * self.matrix[t, k][r]) / (total + PRIOR_STRENGTH) for r in RELATIONS}
-        # an engine's own matrix, shrunk towards its types'
-        for e in self.engines:
-            for k in self.kinds:
-                total = sum(counts.get((e, k, r), 0.0) for r in RELATIONS)
-                for r in RELATIONS:
-                    base = sum(w * self.matrix[t, k][r] for t, w in enumerate(self.belongs[e]))
-                    self.rate[e, k, r] = math.log(max(1e-6, (counts.get((e, k, r), 0.0) + PRIOR_STRENGTH * base) / (total + PRIOR_STRENGTH)))
+        self.share = [SHARE + sum(b[c] for b in self.belongs.values()) for c in range(len(EXPECTED))]
+        for c, k in self.matrix:
+            self.matrix[c, k] = [p + sum(self.belongs[e][c] * n[e, k][i] for e in self.engines) for i, p in enumerate(self.prior[c])]
+        self._expect()
 
+    def bound(self, of_blocks: float) -> float:
+        """The evidence lower bound, given the blocks' part of it under the present posteriors."""
+        shares = [digamma(x) - digamma(sum(self.share)) for x in self.share]
+        out = of_blocks - dirichlet_divergence(self.share, [SHARE] * len(self.share))
+        out -= sum(dirichlet_divergence(row, self.prior[c]) for (c, _), row in self.matrix.items())
+        return out - sum(w * (math.log(w) - shares[c]) for b in self.belongs.values() for c, w in enumerate(b) if w > 0)
 
-def posterior(model: Community, kind: str, readings: list[tuple[str, str, int]], relations: list[list[str]], fixed: int | None) -> list[float]:
-    """P(reading g is the right one) for each distinct reading.
+
+def infer(model: Community, kind: str, readings: list[tuple[str, str, int]], relations: list[list[str]], fixed: int | None) -> tuple[list[float], float, list[tuple[str, str, float]]]:
+    """(P(reading g is the right one) for each distinct reading, the block's part of the bound, expected
+    counts (engine, relation, n)).
 
     readings: (engine, family, group); relations[g][h]: what group h is if g is right.
     """
-    groups = len(relations)
-    if fixed is not None:
-        return [1.0 if g == fixed else 0.0 for g in range(groups)]
-    logs = []
-    for g in range(groups):
+    logs, own = [], []
+    order = sorted(readings)
+    for g in range(len(relations)):
         total = 0.0
         seen: set[tuple[str, int]] = set()
-        heads: Counter = Counter(h for _, _, h in readings)
-        for e, f, h in sorted(readings):
+        parts = []
+        for e, f, h in order:
             r = relations[g][h]
-            p = model.rate[e, kind, r]
+            p, weight = model.rate[e, kind, r], 1.0
             if r != "right":
                 if (f, h) in seen:
-                    p = math.log(COPY + (1 - COPY) * math.exp(p))
+                    alone = (1 - COPY) * math.exp(p)
+                    p, weight = math.log(COPY + alone), alone / (COPY + alone)
                 else:
                     p -= math.log(WAYS[r])
                 seen.add((f, h))
             total += p
+            parts.append((e, r, weight))
         logs.append(total)
-    top = max(logs)
-    ws = [math.exp(x - top) for x in logs]
-    return [w / sum(ws) for w in ws]
+        own.append(parts)
+    if fixed is not None:
+        post, bound = [float(g == fixed) for g in range(len(logs))], logs[fixed]
+    else:
+        top = max(logs)
+        ws = [math.exp(x - top) for x in logs]
+        post, bound = [w / sum(ws) for w in ws], top + math.log(sum(ws)) - math.log(len(ws))
+    return post, bound, [(e, r, p * w) for p, parts in zip(post, own) if p > 0 for e, r, w in parts]
+
+
+def posterior(model: Community, kind: str, readings: list[tuple[str, str, int]], relations: list[list[str]], fixed: int | None) -> list[float]:
+    """P(reading g is the right one) for each distinct reading."""
+    return infer(model, kind, readings, relations, fixed)[0]
 
 
 # ---------------------------------------------------------------- operators
@@ -234,7 +270,7 @@ def current_readings(spark: SparkSession, directory: str) -> DataFrame:
     kinds = blocks_of(spark, directory).where(F.col("kind").isin(*MATH_KINDS)).select("paper", F.col("id").alias("block"), "kind")
     latest = (
         candidates_of(spark, directory).groupBy("paper", "block", "engine").agg(F.max(F.struct("seq", "family", "content", "meta")).alias("c"), F.max("family").alias("said"))
-        .select("paper", "block", "engine", F.coalesce("c.family", "said").alias("family"), F.col("c.content").alias("content")).where(F.col("content").rlike(r"\S"))
+        .select("paper", "block", "engine", F.coalesce("c.family", "said").alias("family"), F.col("c.content").alias("content")).where(F.col("content").rlike(r"\S") & F.col("engine").isNotNull())
     )
     decided = (
         read_table(spark, directory, "decisions").groupBy("paper", "block").agg(F.max(F.struct(F.col("decided_at").alias("at"), "status", "value")).alias("d"))
@@ -274,34 +310,38 @@ def patterns(readings: DataFrame) -> DataFrame:
     return python_stage(grouped, "paper string, block string, kind string, readings array<struct<engine:string,family:string,g:int>>, relations array<array<string>>, fixed int, texts array<string>", rows)
 
 
-def fit(pats: DataFrame, rounds: int = ROUNDS) -> Community:
+def fit(pats: DataFrame, rounds: int = MOST_ROUNDS) -> Community:
     """Variational fit. Blocks with the same pattern are one row with a count, and each round sends
-    back expected counts by engine, kind and relation only."""
-    names = [r[0] for r in pats.select(F.explode("readings.engine").alias("e")).distinct().collect()]
+    back expected counts by engine, kind and relation, and the blocks' part of the bound."""
+    names = [r[0] for r in pats.select(F.explode("readings.engine").alias("e")).where("e is not null").distinct().collect()]
     model = Community(sorted(names), list(MATH_KINDS))
     small = durable(pats.groupBy("kind", "readings", "relations", "fixed").agg(F.count(F.lit(1)).alias("n")))
+    last = -math.inf
     for _ in range(rounds):
         now = model
 
         def expect(batches, now=now):
-            import pandas as pd
+            import pyarrow as pa
 
             counts: dict = defaultdict(float)
             for b in batches:
                 for row in b.to_pylist():
                     read = [(x["engine"], x["family"], x["g"]) for x in row["readings"]]
-                    post = posterior(now, row["kind"], read, row["relations"], row["fixed"])
-                    for e, _, h in read:
-                        for g, p in enumerate(post):
-                            if p > 1e-4:
-                                counts[e, row["kind"], row["relations"][g][h]] += p * row["n"]
+                    _, bound, own = infer(now, row["kind"], read, row["relations"], row["fixed"])
+                    for e, r, n in own:
+                        counts[e, row["kind"], r] += n * row["n"]
+                    counts["", "", "bound"] += bound * row["n"]
+                    counts["", "", "readings"] += len(read) * row["n"]
             if counts:
-                import pyarrow as pa
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*((*k, v) for k, v in sorted(counts.items())))], names=["engine", "kind", "relation", "n"])
 
-                yield pa.RecordBatch.from_pandas(pd.DataFrame([(*k, v) for k, v in sorted(counts.items())], columns=["engine", "kind", "relation", "n"]), preserve_index=False)
-
-        got = small.mapInArrow(expect, "engine string, kind string, relation string, n double").groupBy("engine", "kind", "relation").agg(F.sum("n").alias("n")).collect()
-        model.update({(r["engine"], r["kind"], r["relation"]): r["n"] for r in got})
+        got = {(r["engine"], r["kind"], r["relation"]): r["n"] for r in small.mapInArrow(expect, "engine string, kind string, relation string, n double").groupBy("engine", "kind", "relation").agg(F.sum("n").alias("n")).collect()}
+        size = got.pop(("", "", "readings"), 0.0)
+        bound = model.bound(got.pop(("", "", "bound"), 0.0))
+        if bound - last < GAIN * size or not size:
+            break
+        last = bound
+        model.update(got)
     return model
 
 

@@ -44,7 +44,24 @@ def test_best_region_equals_brute_force():
 
 @pytest.mark.parametrize("text", ["Text\n:: item", ";; item", "a\n;: item"])
 def test_lists_of_colons_are_scanned(text):
-    assert p1.region_of(text, "text", p1.PRIOR)[0] == ["wiki_list"]
+    marks, _, markup = p1.region_of(text, "text", p1.PRIOR)
+    assert marks == ["wiki_list"] and markup[2] > 0
+
+
+def test_weights_are_learnt_and_decide():
+    seen = p1.label_tokens("<b>a</b> **dense** scheme 12", "a dense scheme 12", "text")
+    assert seen["html_tag", False] == 2 and seen["md_strong", False] == 2 and seen["word", True] == 3 and seen["number", True] == 1
+    weights = p1.odds({("html_tag", False): 50, ("md_list", True): 60, ("md_list", False): 2, ("word", True): 90})
+    assert weights["html_tag"] < 0 < weights["word"] and weights["md_list"] > 0
+    found = lambda t, w: p1.region_of(t, "text", w)[2][2] > 0
+    assert found("- a <b>b</b>", weights) and not found("- a\n- b", weights) and found("- a\n- b", p1.PRIOR)
+    assert not found("- a <b>b</b>", {c: abs(w) for c, w in weights.items()})
+
+
+def test_nothing_is_lost_outside_the_region():
+    text = "Short lead text here." + "<div>" * 6 + "The body of the text stands in the middle and is much longer than the rest of it." + "</div>" * 6 + "Trailing words."
+    words = p1.to_clean(text).split()
+    assert words[:3] == ["Short", "lead", "text"] and words[-2:] == ["Trailing", "words."]
 
 
 def test_method_gives_the_best_region_of_every_record(spark, data):
@@ -177,6 +194,35 @@ def test_reliability_is_learnt():
     assert m.rate["good", "inline_math", "right"] > m.rate["bad", "inline_math", "right"]
 
 
+def test_bound_never_falls_and_few_readings_lean():
+    rng = random.Random(4)
+    engines = {"a": 0.95, "b": 0.95, "c": 0.6, "d": 0.6, "new": 0.95}
+    rel = [["right", "near"], ["near", "right"]]
+    blocks = []
+    for i in range(300):
+        who = [e for e in engines if e != "new" or i < 4]
+        blocks.append([(e, e, int(rng.random() > engines[e])) for e in who])
+    m = p4.Community(sorted(engines), ["inline_math"])
+    bounds = []
+    for _ in range(25):
+        counts, total = {}, 0.0
+        for read in blocks:
+            _, bound, own = p4.infer(m, "inline_math", read, rel, None)
+            total += bound
+            for e, r, n in own:
+                counts[e, "inline_math", r] = counts.get((e, "inline_math", r), 0.0) + n
+        bounds.append(m.bound(total))
+        m.update(counts)
+    assert all(y >= x - 1e-6 for x, y in zip(bounds, bounds[1:])) and bounds[-1] > bounds[0] + 10
+    rate = {e: m.rate[e, "inline_math", "right"] for e in engines}
+    assert min(rate["a"], rate["b"]) > max(rate["c"], rate["d"]) and abs(rate["new"] - rate["a"]) < abs(rate["new"] - rate["c"])
+
+
+def test_digamma():
+    assert abs(p4.digamma(1.0) + 0.5772156649015329) < 1e-9 and abs(p4.digamma(0.5) + 1.9635100260214235) < 1e-9
+    assert abs(p4.dirichlet_divergence([2.0, 3.0], [2.0, 3.0])) < 1e-12 < p4.dirichlet_divergence([2.0, 3.0], [1.0, 1.0])
+
+
 # ---------------------------------------------------------------- 5
 
 
