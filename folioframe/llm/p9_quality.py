@@ -57,17 +57,18 @@ _MENU = set("home next previous prev login logout search help contact about shar
 
 def js(p: dict[str, float], q: dict[str, float]) -> float:
     """Jensen-Shannon divergence in bits."""
-    total = 0.0
-    log2 = math.log2
+    total, left = 0.0, sum(q.values())
+    log2, get = math.log2, q.get
     for k, a in p.items():
-        b = q.get(k, 0.0)
+        b = get(k, 0.0)
         if a > 0:
             if b > 0:
+                left -= b
                 m = (a + b) / 2
                 total += a * log2(a / m) + b * log2(b / m)
             else:
                 total += a
-    return (total + sum([b for k, b in q.items() if not p.get(k)])) / 2
+    return (total + max(0.0, left)) / 2
 
 
 #: Signs that tell shapes apart are classes of their own.
@@ -175,12 +176,12 @@ def line_kinds(text: str, count: Counter | None = None) -> dict[str, float]:
             marks.append(("sentence", s))  # what all later tests would say of it
             continue
         han = len(_HANS.findall(s))
-        letters = sum(c.isalpha() for c in s)
+        letters = sum(map(str.isalpha, s))
         if re.fullmatch(r"(?s)\$+.*\$+|\\\[.*\\\]|\\begin\{(?:equation|align).*", s):
             kind = "formula"
         elif _TOC.search(s) and letters >= 4:
             kind = "item"
-        elif sum(c.isalnum() for c in s) < 0.4 * len(re.sub(r"\s", "", s)) and _columns(s) != 99:
+        elif sum(map(str.isalnum, s)) < 0.4 * len(re.sub(r"\s", "", s)) and _columns(s) != 99:
             kind = "noise"
         elif torn(s) or _JUNK.search(s) or letters < 0.35 * len(s.replace(" ", "")) and not _columns(s) and not _TOC.search(s) and not _BULLET.match(s):
             kind = "noise"
