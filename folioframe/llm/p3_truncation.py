@@ -2,13 +2,18 @@
 
 Method: a trie over the corpus vocabulary, held as a distributed table of nodes (prefix, is it a
 word, how many words go on from it), flags final tokens that are unknown proper prefixes of known
-words. This is combined with length evidence: lengths at which an engine's texts pile up, what
-``meta`` admits, and how far the block's own text and the other engines' readings go.
+words. This is combined with length evidence: lengths at which an engine's texts pile up. Both are
+counted in bits and added (``p3_method``).
+
+A text that is cut between words, in a row of a table or in a formula ends in no unknown prefix, and
+an engine that loses its connection cuts at no fixed length. ``p3_found`` therefore also weighs what
+``meta`` admits, and how far the block's own text and the other engines' readings go on.
 
 Defined results: null or blank content is no case; headings and other texts that need no end mark
 are cases only where other evidence shows that they go on; a paragraph that itself runs on is
 none; repeated rows count once; unreadable ``meta`` counts as no evidence; blocks that are missing
-from ``blocks`` are judged without kind and text; texts are compared whole.
+from ``blocks`` are judged without kind and text; texts are compared whole; a final token of more than
+``LONGEST`` letters is no prefix of a word.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ SENTENCE_KINDS = ("text", "list", "footnote", "reference")
 END = re.compile(r"[.!?。！？…:;](?:[\"'”’»)\]）】]|\s|￼)*$")
 #: A length is a limit of an engine when this share of its texts, and this many, have exactly it.
 LIMIT_SHARE, LIMIT_COUNT, LIMIT_PEAK = 0.004, 4, 6.0
+#: Letters of a final token that is looked up in the trie, at most.
+LONGEST = 64
+#: Bits of evidence from which ``p3_method`` calls a text cut.
+CUT_BITS = 3.0
 #: Characters by which another reading must go on.
 GOES_ON = 3
 
@@ -115,7 +124,7 @@ def judge_formula(rows: list[dict]) -> list[dict]:
             or (dangling and (limit or short or r["limit"] or len(rows) == 1 or not any(o[-1:] == k[-1:] for o, q in zip(keys, rows) if q is not r)))
             or (unclosed and (limit or short or r["limit"]))
         )
-        out.append({"cut": cut, "prefix": bool(partly), "goes_on": goes, "at_limit": bool(r["limit"]), "admitted": limit or short})
+        out.append({"cut": cut, "prefix": bool(partly) or bool(r["prefix"]), "goes_on": goes, "at_limit": bool(r["limit"]), "admitted": limit or short})
     return out
 
 
@@ -169,7 +178,7 @@ def judge_text(rows: list[dict], kind: str | None, block: str | None) -> list[di
             elif goes == 0 or (same and not r["limit"]):
                 cut = False  # the others end here too: it runs on, or needs no end mark
             elif kind in SENTENCE_KINDS:
-                cut = prefix or hard or from_block < 0
+                cut = True  # it needs an end mark, has none, and no text shows that it ends here
             else:
                 cut = (prefix and hard) or bool(r["limit"])
         else:
@@ -186,15 +195,16 @@ def trie_nodes(words: DataFrame) -> DataFrame:
 
     ``words`` has (word, n). Words seen once are left out: a cut word is such a word itself.
     """
-    w = words.where("n > 1").where(F.length("word") <= 64)
+    w = words.where("n > 1")
     return (
-        w.select("word", "n", F.explode(F.expr("transform(sequence(1, length(word)), i -> left(word, i))")).alias("node"))
+        w.select("word", "n", F.explode(F.expr(f"transform(sequence(1, least(length(word), {LONGEST})), i -> left(word, i))")).alias("node"))
         .groupBy("node").agg(F.sum(F.when(F.col("node") == F.col("word"), F.col("n")).otherwise(0)).alias("n_word"), F.sum(F.when(F.col("node") != F.col("word"), F.col("n")).otherwise(0)).alias("n_longer"))
     )
 
 
 def limits(cands: DataFrame) -> DataFrame:
-    """(engine, unit, length): lengths at which an engine's texts pile up.
+    """(engine, unit, length, bits): lengths at which an engine's texts pile up, and by how many bits more
+    of them have it than the lengths around it.
 
     Each row of the result holds at least ``LIMIT_SHARE`` of its engine's records, so that there are
     at most 1 / LIMIT_SHARE rows per engine and unit, however many records there are.
@@ -204,35 +214,44 @@ def limits(cands: DataFrame) -> DataFrame:
         F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x")).where("x.length >= 40").groupBy("engine", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy("engine", "unit").agg(F.sum("n").alias("all"))
     near = n.select("engine", "unit", F.explode(F.expr("sequence(length - 5, length + 5)")).alias("length"), "n").groupBy("engine", "unit", "length").agg(F.sum("n").alias("near"))
+    around = (F.col("near") - F.col("n")) / 10
     return (
         n.join(total, ["engine", "unit"]).join(near, ["engine", "unit", "length"])
-        .where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_SHARE * F.col("all")) & (F.col("n") >= LIMIT_PEAK * (F.col("near") - F.col("n")) / 10))
-        .select("engine", "unit", "length")
+        .where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_SHARE * F.col("all")) & (F.col("n") >= LIMIT_PEAK * around))
+        .select("engine", "unit", "length", F.log2(F.col("n") / F.greatest(around, F.lit(0.5))).alias("bits"))
     )
 
 
-def judged(spark: SparkSession, directory: str) -> DataFrame:
-    """Every candidate with non-blank content, the evidence, and whether it is cut.
-
-    Contents are shuffled once, by block; what is counted over all records (vocabulary, lengths, final
-    tokens) travels without them.
-    """
-    blocks = blocks_of(spark, directory)
-    raw = read_table(spark, directory, "candidates").where(F.col("content").rlike(r"\S"))
+def evidence(spark: SparkSession, directory: str) -> DataFrame:
+    """(paper, block, seq, prefix_bits, limit_bits) of the candidates that end in an unknown prefix or at a
+    length where texts pile up. What is counted over all records travels without contents."""
+    raw = filled(spark, directory)
     last = F.lower(F.regexp_extract("content", r"(\p{L}{2,})\z", 1))
     small = durable(raw.select("paper", "block", "seq", "engine", F.length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes"), last.alias("last")).distinct())
     seen = raw.select(F.col("content").alias("text")).unionByName(read_table(spark, directory, "blocks").select("text"))
     vocabulary = seen.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    finals = small.where("last <> ''").select(F.col("last").alias("node")).distinct()
-    nodes = trie_nodes(vocabulary).join(finals, "node", "left_semi").where("n_longer > 0 and n_word * 4 < n_longer").select(F.col("node").alias("last"), F.lit(True).alias("prefix"))
+    ends = small.where("last <> ''")
+    nodes = trie_nodes(vocabulary).join(ends.select(F.col("last").alias("node")).distinct(), "node", "left_semi").where("n_longer > 0 and n_word * 4 < n_longer").select(F.col("node").alias("last"), F.log2((F.col("n_longer") + 1) / (F.col("n_word") + 1)).alias("bits"))
     lim = durable(limits(small))
-    chars, byts = (lim.where(F.col("unit") == u).select("engine", F.col("length").alias(f"n_{u}"), F.lit(True).alias(f"at_{u}")) for u in ("chars", "bytes"))
-    flags = (
-        small.join(F.broadcast(chars), ["engine", "n_chars"], "left").join(F.broadcast(byts), ["engine", "n_bytes"], "left").join(nodes, "last", "left")
-        .where("at_chars or at_bytes or prefix").groupBy("paper", "block").agg(F.collect_list(F.struct("seq", F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("limit"), F.coalesce("prefix", F.lit(False)).alias("prefix"))).alias("flags"))
-    )
+    chars, byts = (lim.where(F.col("unit") == u).select("engine", F.col("length").alias(f"n_{u}"), F.col("bits").alias(f"at_{u}")) for u in ("chars", "bytes"))
+    nothing = F.lit(0.0)
+    # records without a final word don't take part in the join on it
+    at_limit = small.join(F.broadcast(chars), ["engine", "n_chars"], "left").join(F.broadcast(byts), ["engine", "n_bytes"], "left").where("at_chars is not null or at_bytes is not null").select("paper", "block", "seq", nothing.alias("prefix_bits"), F.greatest("at_chars", "at_bytes").alias("limit_bits"))
+    in_word = ends.join(nodes, "last").select("paper", "block", "seq", F.col("bits").alias("prefix_bits"), nothing.alias("limit_bits"))
+    return at_limit.unionByName(in_word).groupBy("paper", "block", "seq").agg(F.max("prefix_bits").alias("prefix_bits"), F.max("limit_bits").alias("limit_bits"))
+
+
+def filled(spark: SparkSession, directory: str) -> DataFrame:
+    return read_table(spark, directory, "candidates").where(F.col("content").rlike(r"\S"))
+
+
+def judged(spark: SparkSession, directory: str) -> DataFrame:
+    """Every candidate with non-blank content, the evidence, and whether it is cut. Contents are shuffled
+    once, by block."""
+    blocks = blocks_of(spark, directory)
+    flags = evidence(spark, directory).groupBy("paper", "block").agg(F.collect_list(F.struct("seq", (F.col("limit_bits") > 0).alias("limit"), (F.col("prefix_bits") > 0).alias("prefix"))).alias("flags"))
     rows = (
-        raw.select("paper", "block", F.struct("seq", "engine", "content", "meta").alias("r")).repartition("paper", "block")
+        filled(spark, directory).select("paper", "block", F.struct("seq", "engine", "content", "meta").alias("r")).repartition("paper", "block")
         .groupBy("paper", "block").agg(F.array_sort(F.collect_set("r")).alias("rows")).join(flags, ["paper", "block"], "left")
     )
     both = rows.join(blocks.select("paper", F.col("id").alias("block"), "kind", "text"), ["paper", "block"], "left")
@@ -247,6 +266,12 @@ def judged(spark: SparkSession, directory: str) -> DataFrame:
     return python_stage(both, "paper string, block string, seq int, engine string, kind string, cut boolean, unknown_prefix boolean, goes_on int, at_limit boolean, admitted boolean", judge)
 
 
+def p3_method(spark: SparkSession, directory: str) -> DataFrame:
+    """What trie and lengths say alone: the bits of evidence of every candidate that has any, and whether
+    they suffice."""
+    return evidence(spark, directory).withColumn("cut", F.col("prefix_bits") + F.col("limit_bits") >= CUT_BITS)
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return judged(spark, directory).where("cut").select("paper", "block", "seq").distinct()
 
@@ -258,4 +283,4 @@ def p3_rates(spark: SparkSession, directory: str) -> DataFrame:
         F.count_if(F.col("cut") & F.col("admitted")).alias("cut_and_admitted"), F.count_if(~F.col("cut") & F.col("admitted")).alias("admitted_only"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates}
+QUERIES = {"p3_method": p3_method, "p3_found": p3_found, "p3_rates": p3_rates}

@@ -151,6 +151,25 @@ def test_goes_on():
     assert p3._goes_on("abcdefghij", "abcdefghijklm") == 3 and p3._goes_on("abc", "abc") == 0
 
 
+def test_method_by_trie_and_lengths(spark, data, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def row(i, content, engine="e"):
+        return {"paper": "p", "block": f"b{i}", "seq": 0, "engine": engine, "content": content}
+
+    line = "the spectrum of a dense operator converges, and the scheme stops there. "
+    rows = [row(i, line) for i in range(40)] + [row(40, "and the spec"), row(41, "and the"), row(42, None), row(43, " "), row(44, "x" * 900)]
+    rows += [row(50 + i, (line * 3)[i:][:100], "f") for i in range(12)]
+    for name, rs in (("candidates", rows + rows[40:41]), ("blocks", [])):
+        schema = pq.read_schema(f"{data}/{name}.parquet")
+        pq.write_table(pa.Table.from_pylist([{n: r.get(n) for n in schema.names} for r in rs], schema), tmp_path / f"{name}.parquet")
+    got = {r.block: r for r in p3.p3_method(spark, str(tmp_path)).collect()}
+    assert got["b40"].cut and got["b40"].prefix_bits > p3.CUT_BITS and got["b40"].limit_bits == 0
+    assert "b41" not in got and "b42" not in got and "b43" not in got and "b44" not in got
+    assert all(got[f"b{50 + i}"].limit_bits > 3 for i in range(12))
+
+
 # ---------------------------------------------------------------- 4
 
 
