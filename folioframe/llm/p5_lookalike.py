@@ -2,9 +2,13 @@
 
 Method: strings and code points that look alike are united into transitive classes (union-find)
 from composed and decomposed accents, widths, spaces, invisible characters, joined letters and
-look-alike letters of Latin, Cyrillic and Greek. In each class and script the most frequent
-regular member of the corpus is the representative. A multi-pattern automaton (Aho-Corasick)
-rewrites texts greedily, leftmost and longest first; letters of another script turn only in the
+look-alike letters of Latin, Cyrillic and Greek. ``p5_method`` carries this through: words of the
+corpus with one skeleton of classes are one class, its most frequent member is the representative, and
+a multi-pattern automaton (Aho-Corasick) rewrites every text greedily, leftmost and longest first.
+
+The consistent form that is asked for is fixed (composed, ordinary, of the word's own script), however
+frequent another form is, and holds for words that stand in the corpus once. ``p5_found`` therefore
+rewrites by the classes' regular members with the same automaton; letters of another script turn in the
 context of their word.
 
 Defined results: null and empty texts stay as they are; texts are rewritten whole; repeated rows
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm.base import MATH_KINDS, blocks_of, candidates_of, python_stage
-from folioframe.session import read_table
+from folioframe.session import durable, read_table
 
 # Letters that look like a Latin one, script by script.
 CYRILLIC_LATIN = dict(zip("аеорсухіјѕһԁԛԝѵкАВЕКМНОРСТХУІЈЅԌԚԜЅ", "aeopcyxijshdqwvkABEKMHOPCTXYIJSGQWS"))
@@ -279,6 +283,81 @@ def prepared(spark: SparkSession, directory: str) -> Forms:
     return Forms(member_counts(spark, directory))
 
 
+#: A word as a string of the look-alike classes: everything between spaces and ASCII signs.
+STRING = r"[^\s!-/:-@\[-`{-~]+"
+
+
+def skeleton(word: str, forms: Forms) -> str:
+    """The word with every member of a class replaced by the class's name; alike words have one skeleton."""
+    if word.isascii() and word.isdigit():
+        return word
+    out, at = [], 0
+    for a, b, r in forms.first(word):
+        out += [*word[at:a], *r]
+        at = b
+    return "".join(forms.uf.find(c) if c in forms.uf.up else c for c in unicodedata.normalize("NFC", "".join([*out, *word[at:]])))
+
+
+def texts_of(spark: SparkSession, directory: str) -> DataFrame:
+    """(tbl, paper, item, text): contents of candidates, and glyphs as the lines that they stand in."""
+    c = candidates_of(spark, directory).where("content is not null").select(F.lit("candidates").alias("tbl"), "paper", F.concat_ws("/", "block", "seq").alias("item"), F.col("content").alias("text"))
+    g = (
+        read_table(spark, directory, "glyphs").where("text is not null").groupBy("paper", "page", "span").agg(F.array_sort(F.collect_set(F.struct("ch", "text"))).alias("gs"))
+        .select(F.lit("glyphs").alias("tbl"), "paper", F.concat_ws("/", "page", "span").alias("item"), F.concat_ws("", "gs.text").alias("text"))
+    )
+    return c.unionByName(g)
+
+
+def word_classes(words: DataFrame) -> DataFrame:
+    """(word, representative) of every word that is not the most frequent of its class.
+
+    ``words`` has (word, n). Words meet by their skeleton; the table grows with the vocabulary and stays
+    distributed.
+    """
+    forms = Forms()
+
+    def skeletons(row: dict):
+        yield row["word"], row["n"], skeleton(row["word"], forms)
+
+    keyed = durable(python_stage(words, "word string, n long, skeleton string", skeletons))
+    top = keyed.groupBy("skeleton").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("n", (-F.length("word")).alias("short"), "word")).alias("top")).where("members > 1").select("skeleton", F.col("top.word").alias("representative"))
+    return keyed.join(top, "skeleton").where("word <> representative").select("word", "representative")
+
+
+def greedy(text: str, turn: dict[str, str]) -> str:
+    """Rewrite whole words with one automaton over all of the text's words that turn."""
+    machine = ahocorasick.Automaton()
+    for w in turn:
+        machine.add_word(w, w)
+    machine.make_automaton()
+    out, at = [], 0
+    for end, w in machine.iter_long(text):
+        start = end - len(w) + 1
+        if (start == 0 or not _STRING.match(text[start - 1])) and (end + 1 == len(text) or not _STRING.match(text[end + 1])):
+            out += [text[at:start], turn[w]]
+            at = end + 1
+    return "".join([*out, text[at:]])
+
+
+_STRING = re.compile(STRING)
+
+
+def p5_method(spark: SparkSession, directory: str) -> DataFrame:
+    """Texts that rewriting by the corpus' own classes changes: (tbl, paper, item, words, rewritten)."""
+    texts = durable(texts_of(spark, directory))
+    found = texts.select("tbl", "paper", "item", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(STRING), F.lit(0)))).alias("word"))
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(STRING), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    turns = found.join(word_classes(words), "word").groupBy("tbl", "paper", "item").agg(F.sort_array(F.collect_list(F.struct("word", "representative"))).alias("turns"))
+    keys = ["tbl", "paper", "item"]
+    same = [texts[k].eqNullSafe(turns[k]) for k in keys]
+
+    def rows(row: dict):
+        turn = {t["word"]: t["representative"] for t in row["turns"]}
+        yield row["tbl"], row["paper"], row["item"], len(turn), greedy(row["text"], turn)
+
+    return python_stage(turns.join(texts, same).select(turns["tbl"], turns["paper"], turns["item"], "turns", "text"), "tbl string, paper string, item string, words int, rewritten string", rows)
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     forms = prepared(spark, directory)
     g = glyph_faults(read_table(spark, directory, "glyphs"), forms).select(F.lit("glyphs").alias("tbl"), "paper", F.concat_ws("/", "page", "span", "ch").alias("item"))
@@ -299,4 +378,4 @@ def p5_classes(spark: SparkSession, directory: str) -> DataFrame:
     return spark.createDataFrame(rows, "class string, member string, n long, irregular boolean")
 
 
-QUERIES = {"p5_found": p5_found, "p5_consistent": p5_consistent, "p5_classes": p5_classes}
+QUERIES = {"p5_method": p5_method, "p5_found": p5_found, "p5_consistent": p5_consistent, "p5_classes": p5_classes}
