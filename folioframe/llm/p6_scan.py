@@ -1,11 +1,15 @@
 """Noise in text from scanned pages: broken words, misread characters, running heads, page numbers.
 
-Method: joint word segmentation. The lines of a block are taken off, furniture lines set aside,
-and the character stream is decoded by dynamic programming over a lexicon: a word may be read as it
-stands, with confused characters, over a hyphen and a line end, split in two, or merged with its
-neighbour; each way has a cost in bits, words cost by their corpus frequency. The cheapest path
-gives the continuous text and, by the ways it took, the defects. A second dynamic programme over
-the lines chooses paragraph boundaries.
+Method: joint word segmentation. The lines of a block are taken off and the character stream is
+decoded by dynamic programming over a lexicon: a word may be read as it stands, with confused
+characters, over a hyphen and a line end, split in two, or merged with its neighbour; each way has a
+cost in bits, words cost by their corpus frequency. The cheapest path gives the continuous text and,
+by the ways it took, the defects. A second dynamic programme over the lines chooses paragraph
+boundaries.
+
+Which words are a running head or a page number does not follow from words and their frequencies: a
+head is made of ordinary words. ``p6_found`` therefore sets furniture lines aside, by comparison with the
+paper's own, before it decodes; ``p6_method`` decodes every line.
 
 The lexicon is a table. Blocks ask it for the strings that they may need; unknown strings are
 turned into their possible originals (confusions undone) and looked up again. Only what a block
@@ -13,7 +17,9 @@ asked for comes back to it, so no vocabulary is collected.
 
 Defined results: null and empty texts give no rows; blocks on pages without a known text layer are
 treated as scanned, blocks of good pages are left alone; repeated rows count once; words are
-compared without case; slots of formulas stay where they are; extra columns are not read.
+compared without case; strings of more than 60 letters are read as they stand; of the wide strings of one
+word (rn for m) eight at most are narrowed together; slots of formulas stay where they are; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -359,17 +365,16 @@ def boundaries(lines: list[str], marks: list[tuple[bool, bool]]) -> list[int]:
         return keep
     inside = [0.0 if len(lines[i]) >= 0.7 * full else 3.0 + (4.0 if _ENDS.search(lines[i]) else -1.0) for i in keep]
     ends = [0.0 if _ENDS.search(lines[i]) else 9.0 for i in keep]
-    best = [0.0] + [math.inf] * len(keep)
-    back = [0] * (len(keep) + 1)
+    # best[j]: cost of the first j lines; what lies inside a paragraph is a difference of sums, so that the
+    # best start of the last paragraph is kept on the way
+    best, back, within = 0.0, [0] * (len(keep) + 1), 0.0
+    start, first = math.inf, 0
     for j in range(1, len(keep) + 1):
-        run = 0.0
-        for i in range(j - 1, -1, -1):
-            c = best[i] + 4.0 + run + (ends[j - 1] if j < len(keep) else 0.0)
-            if c < best[j]:
-                best[j], back[j] = c, i
-            run += inside[i - 1] if i > 0 else 0.0
-            if run > 60:
-                break
+        if best - within <= start:
+            start, first = best - within, j - 1
+        best = start + within + 4.0 + (ends[j - 1] if j < len(keep) else 0.0)
+        back[j] = first
+        within += inside[j - 1]
     out, j = [], len(keep)
     while j > 0:
         out.append(keep[j - 1])
@@ -438,10 +443,12 @@ def lexicon_counts(spark: SparkSession, directory: str) -> DataFrame:
     return whole.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def repaired(spark: SparkSession, directory: str) -> DataFrame:
-    """(paper, id, kind, text, defects) of every scanned block: continuous text and what was wrong."""
+def repaired(spark: SparkSession, directory: str, aside: bool = True) -> DataFrame:
+    """(paper, id, kind, text, defects) of every scanned block: continuous text and what was wrong.
+    ``aside``: furniture lines are set aside before decoding."""
+
     def mark(row: dict):
-        marks = _marked(row)[3]
+        marks = _marked(row)[3] if aside else [(False, False)] * len(row["text"].split("\n"))
         yield row["paper"], row["id"], row["kind"], row["text"], [h for h, _ in marks], [n for _, n in marks]
 
     blocks = durable(python_stage(scanned_blocks(spark, directory), "paper string, id string, kind string, text string, head_lines array<boolean>, number_lines array<boolean>", mark))
@@ -479,7 +486,7 @@ def repaired(spark: SparkSession, directory: str) -> DataFrame:
     split = (
         python_stage(strings.where("n < 1").select("word"), "word string, a string, b string", halves)
         .join(known.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(known.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
-        .where("na >= 50 and nb >= 50").select("word", F.concat_ws(" ", "a", "b").alias("alt"), F.lit(1.5).alias("steps"), F.least("na", "nb").alias("k"))
+        .where("na >= 50 and nb >= 50").select("word", F.concat_ws(" ", "a", "b").alias("alt"), F.lit(1.5).alias("steps"), F.least("na", "nb").alias("k"), (1.5 * 5.5 + math.log2(total + 1e5) - 2 * F.log2(F.least("na", "nb") + 0.05)).alias("cost"))
     )
     letters = F.col("word").rlike(r"\p{L}")
     folded = python_stage(known.where(letters & (F.length("word") >= 3)).select("word", "n"), "alt string, k double, s string", fold)
@@ -487,9 +494,9 @@ def repaired(spark: SparkSession, directory: str) -> DataFrame:
     # unknown strings and known words meet by key; only pairs that confusions explain stay
     meant = python_stage(asking.join(folded, "s").where(f"word <> alt and k >= {TIMES} * greatest(n, 1)").select("word", "n", "alt", "k").distinct(), "word string, alt string, steps double, k double", close)
     alts = (
-        meant.select("word", "alt", "steps", "k").unionByName(split)
-        # of all possible originals the likeliest few: by steps, then by frequency
-        .groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct((F.col("steps") * 5.5 - F.log2("k")).alias("cost"), "alt", "k", "steps"))), 1, 6).alias("alts"))
+        meant.select("word", "alt", "steps", "k", (F.col("steps") * 5.5 - F.log2(F.col("k") + 0.05)).alias("cost")).unionByName(split)
+        # of all possible originals the few that cost the decoder least; it takes the cheapest
+        .groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", "alt", "k", "steps"))), 1, 6).alias("alts"))
     )
     lexicon = strings.join(alts, "word", "left")
     per_block = asked.join(lexicon, "word").groupBy("paper", "id").agg(F.collect_list(F.struct("word", "n", "alts")).alias("lexicon"))
@@ -502,6 +509,12 @@ def repaired(spark: SparkSession, directory: str) -> DataFrame:
     return python_stage(blocks.join(per_block, ["paper", "id"], "left"), "paper string, id string, kind string, text string, defects array<string>", fix)
 
 
+def p6_method(spark: SparkSession, directory: str) -> DataFrame:
+    """What decoding alone gives, no line set aside: text in paragraphs, their number, and the defects."""
+    d = repaired(spark, directory, aside=False)
+    return d.select("paper", "id", "text", F.size(F.split("text", "\n\n")).alias("paragraphs"), "defects")
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return repaired(spark, directory).select("paper", "id", F.explode("defects").alias("defect")).distinct()
 
@@ -511,4 +524,4 @@ def p6_text(spark: SparkSession, directory: str) -> DataFrame:
     return repaired(spark, directory)
 
 
-QUERIES = {"p6_found": p6_found, "p6_text": p6_text}
+QUERIES = {"p6_method": p6_method, "p6_found": p6_found, "p6_text": p6_text}

@@ -263,6 +263,15 @@ def test_union_find_is_transitive():
     assert u.find("a") == u.find("c") and u.find("d") == "d" and sorted(map(len, u.classes().values())) == [1, 3]
 
 
+def test_method_takes_the_frequent_member(spark):
+    f = p5.Forms()
+    assert p5.skeleton("dеnѕіty", f) == p5.skeleton("density", f) == p5.skeleton("den\u200bsity", f) != p5.skeleton("intensity", f)
+    assert p5.skeleton("cafe\u0301", f) == p5.skeleton("café", f) and p5.skeleton("ﬁrst", f) == p5.skeleton("first", f)
+    words = spark.createDataFrame([("density", 9), ("dеnѕіty", 2), ("ａｘ", 5), ("ax", 3), ("alone", 1)], "word string, n long")
+    assert {tuple(r) for r in p5.word_classes(words).collect()} == {("dеnѕіty", "density"), ("ax", "ａｘ")}
+    assert p5.greedy("ax, axe (ax) dеnѕіty", {"ax": "ａｘ", "dеnѕіty": "density"}) == "ａｘ, axe (ａｘ) density" and p5.greedy("", {"a": "b"}) == ""
+
+
 # ---------------------------------------------------------------- 6
 
 COUNTS = {w: 100 for w in "the scheme converges while this dense operator describes a periodic process and stops".split()} | {"mean-field": 50, "mean": 80, "field": 80, "modern": 60}
@@ -299,6 +308,25 @@ def test_confusion_distance_is_symmetric_to_enumeration():
     assert p6.steps_between("abc", "xyz") is None
 
 
+def test_boundaries_equal_brute_force():
+    rng = random.Random(12)
+
+    def cost(lines, cuts):
+        full, total, a = max(map(len, lines)), 0.0, 0
+        for b in [*cuts, len(lines)]:
+            total += 4.0 + (0.0 if b == len(lines) or p6._ENDS.search(lines[b - 1]) else 9.0)
+            total += sum(0.0 if len(x) >= 0.7 * full else 7.0 if p6._ENDS.search(x) else 2.0 for x in lines[a:b - 1])
+            a = b
+        return total
+
+    for _ in range(150):
+        lines = ["word " * rng.randint(1, 9) + rng.choice(["ends.", "goes on"]) for _ in range(rng.randint(2, 8))]
+        got = [i + 1 for i in p6.boundaries(lines, [(False, False)] * len(lines))][:-1]
+        want = min(cost(lines, c) for n in range(len(lines)) for c in itertools.combinations(range(1, len(lines)), n))
+        assert abs(cost(lines, got) - want) < 1e-9
+    assert len(p6.boundaries(["a short line"] * 5000, [(False, False)] * 5000)) >= 1
+
+
 def test_misread_is_the_same_at_ten_times_the_rows(spark, data, tmp_path, monkeypatch):
     import pyarrow as pa
     import pyarrow.parquet as pq
