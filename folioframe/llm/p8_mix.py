@@ -48,12 +48,14 @@ def encoder(path: str):
 
 
 def sized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens) of every document."""
+    """(doc_id, source, n_tokens) of every document. Tokens are counted where the texts stand; only numbers
+    are shuffled. Of several rows with one ``doc_id`` the least (source, tokens) holds."""
 
     def rows(row: dict):
         yield row["doc_id"], row["source"], len(encoder(tokenizer).encode_ordinary(row["text"])) if row["text"] else 0
 
-    return python_stage(docs.select("doc_id", "source", "text").dropDuplicates(["doc_id"]), "doc_id long, source string, n_tokens long", rows)
+    counted = python_stage(docs.select("doc_id", "source", "text").where("doc_id is not null"), "doc_id long, source string, n_tokens long", rows)
+    return counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens")
 
 
 def plan(sizes: dict[str, int], targets: dict[str, tuple[float, float]], total: float | None = None) -> dict[str, float]:

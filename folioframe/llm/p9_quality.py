@@ -385,35 +385,38 @@ def p9_shapes(spark: SparkSession, directory: str) -> DataFrame:
     return judged(read_table(spark, directory, "documents"))
 
 
+#: Words that count as common, a score of each language.
+COMMON = tuple(dict.fromkeys(w for k in LANGS for w in FUNCTION_WORDS[k][:20]))
+
+
 def p9_stats(spark: SparkSession, directory: str) -> DataFrame:
-    """Basic counts, in the JVM alone. Words are runs of letters; common ones are English."""
+    """Basic counts, in the JVM alone. Words are runs of letters of any script; a Chinese character is one."""
     d = read_table(spark, directory, "documents").where("text is not null").select("doc_id", "text")
-    common = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "with", "as", "by", "are", "this", "from", "an", "at", "not")
     parts = d.select(
         "doc_id", F.length("text").alias("n_chars"),
-        F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)").alias("ws"),
+        F.regexp_extract_all(F.lower("text"), F.lit(r"\p{IsHan}|[\p{L}&&[^\p{IsHan}]]+"), F.lit(0)).alias("ws"),
         F.expr(r"filter(split(text, '\n'), x -> trim(x) <> '')").alias("ls"),
-        F.length(F.regexp_replace("text", r"[A-Za-z0-9 \n]", "")).alias("n_symbols"),
+        F.length(F.regexp_replace("text", r"[\p{L}\p{N}\p{M} \n]", "")).alias("n_symbols"),
     )
     return parts.select(
         "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.size("ws").cast("bigint").alias("n_words"),
         F.when(F.size("ws") > 0, F.round(F.expr("aggregate(ws, 0L, (s, w) -> s + length(w))") / F.size("ws"), 6)).alias("mean_word_length"),
         F.when(F.col("n_chars") > 0, F.round(F.col("n_symbols") / F.col("n_chars"), 6)).alias("symbol_ratio"),
         F.size("ls").cast("bigint").alias("n_lines"),
-        F.when(F.size("ls") > 0, F.round(F.expr("size(filter(ls, x -> rlike(rtrim(x), '[.!?:;]$')))") / F.size("ls"), 6)).alias("ended_lines"),
-        F.when(F.size("ws") > 0, F.round(F.size(F.filter("ws", lambda w: w.isin(*common))) / F.size("ws"), 6)).alias("common_words"),
+        F.when(F.size("ls") > 0, F.round(F.expr("size(filter(ls, x -> rlike(rtrim(x), '[.!?:;。！？…]$')))") / F.size("ls"), 6)).alias("ended_lines"),
+        F.when(F.size("ws") > 0, F.round(F.size(F.filter("ws", lambda w: w.isin(*COMMON))) / F.size("ws"), 6)).alias("common_words"),
     )
 
 
-P9_STATS_SQL = """
-WITH d AS (SELECT doc_id, text, length(text) AS n_chars, regexp_extract_all(lower(text), '[a-z]+') AS ws,
-  list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls, length(regexp_replace(text, '[A-Za-z0-9 \\n]', '', 'g')) AS n_symbols
+P9_STATS_SQL = f"""
+WITH d AS (SELECT doc_id, text, length(text) AS n_chars, regexp_extract_all(lower(text), '\\p{{Han}}|[^\\P{{L}}\\p{{Han}}]+') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls, length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\p{{M}} \\n]', '', 'g')) AS n_symbols
   FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(len(ws) AS BIGINT) AS n_words,
   CASE WHEN len(ws) > 0 THEN round(list_sum(list_transform(ws, lambda w: length(w))) / len(ws), 6) END AS mean_word_length,
   CASE WHEN n_chars > 0 THEN round(n_symbols / n_chars, 6) END AS symbol_ratio, CAST(len(ls) AS BIGINT) AS n_lines,
-  CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '[.!?:;]$'))) / len(ls), 6) END AS ended_lines,
-  CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda w: w IN ('the','of','and','to','in','a','is','that','it','for','on','with','as','by','are','this','from','an','at','not'))) / len(ws), 6) END AS common_words
+  CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '[.!?:;。！？…]$'))) / len(ls), 6) END AS ended_lines,
+  CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda w: w IN ({", ".join(f"'{w}'" for w in COMMON)}))) / len(ws), 6) END AS common_words
 FROM d"""
 
 QUERIES = {"p9_method": p9_method, "p9_found": p9_found, "p9_shapes": p9_shapes, "p9_stats": p9_stats}
