@@ -439,8 +439,8 @@ def lexicon_counts(spark: SparkSession, directory: str) -> DataFrame:
     # compounds and their parts in one pass; combined before the shuffle
     token = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}\p{M}]+(?:[-‐’'!|][\p{L}\p{N}]+)*"), F.lit(0))
     whole = texts.select(F.explode(token).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    parts = whole.where(F.col("word").rlike("[-‐]")).select(F.explode(F.split("word", "[-‐]")).alias("word"), "n")
-    return whole.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"))
+    parts = F.when(F.col("word").rlike("[-‐]"), F.split("word", "[-‐]")).otherwise(F.array().cast("array<string>"))
+    return whole.select(F.explode(F.concat(F.array("word"), parts)).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def repaired(spark: SparkSession, directory: str, aside: bool = True) -> DataFrame:
