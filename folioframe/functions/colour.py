@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BASE = 40
+# Digits per channel, steps of a channel (none of them black), and how far a channel may be off.
+BASE, STEPS = 40, 41
 TOLERANCE = 0.08
 
 
 def encode(n: Column) -> Column:
     m = n + 1
-    digit = lambda k: ((F.floor(m / (BASE**k)) % BASE) / (BASE - 1.0)).cast("double")
-    return F.struct(digit(2).alias("r"), digit(1).alias("g"), digit(0).alias("b"))
+    channel = lambda k: ((F.floor(m / (BASE**k)) % BASE + 1) / float(STEPS)).cast("double")
+    return F.struct(channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
 
 
 def decode(r: Column, g: Column, b: Column) -> Column:
-    """The number, or null for black and for channels off the grid by more than the tolerance."""
-    value = lambda c: F.round(c * (BASE - 1)).cast("long")
-    off = lambda c: F.abs(c * (BASE - 1) - F.round(c * (BASE - 1))) > TOLERANCE
-    n = value(r) * BASE * BASE + value(g) * BASE + value(b)
-    return F.when(off(r) | off(g) | off(b) | (n == 0), None).otherwise(n - 1)
+    """The number, or null for channels outside the grid or off it by more than the tolerance, and for none."""
+    step = lambda c: F.round(c * STEPS)
+    bad = lambda c: (F.abs(c * STEPS - step(c)) > TOLERANCE) | (step(c) < 1) | (step(c) > BASE)
+    n = sum(((step(c) - 1).cast("long") * BASE**k for c, k in ((r, 2), (g, 1), (b, 0))), F.lit(-1))
+    return F.when(bad(r) | bad(g) | bad(b) | (n < 0), None).otherwise(n)

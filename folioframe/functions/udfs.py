@@ -12,6 +12,7 @@ from folioframe.functions import atoms as A
 from folioframe.functions import latex as L
 from folioframe.functions import tables as T
 from folioframe.functions import tex as X
+from folioframe.functions.lines import clean
 
 
 def lazily(make: Callable) -> Callable:
@@ -71,6 +72,7 @@ clean_output = column("struct<latex:string,error:string>", lambda t: dict(zip(("
 atoms = column("struct<n:int,symbols:array<string>,unsupported:array<string>>", lambda t: (lambda r: {"n": len(r["atoms"]), "symbols": [a["text"] for a in r["atoms"]], "unsupported": r["unsupported"]})(A.atoms(t)))
 matrix_rows = column("struct<status:string,rows:int>", A.matrix_rows)
 table = column("string", T.render_table)
+clean_text = column("string", clean)
 segments = column("array<struct<start:int,end:int,delim:string,env:string,body:string,line:int>>", X.segments)
 score = column2("struct<strict:boolean,layout:boolean,loose:boolean,similarity:double,empty:boolean>", L.score)
 compare = column2("struct<body:string,number:string,difference_count:int>", lambda a, b: {k: v for k, v in L.compare(a, b).items() if k != "differences"})

@@ -38,15 +38,15 @@ def symbol_counts(candidates: DataFrame) -> DataFrame:
 def count_differences(glyphs: DataFrame, blocks: DataFrame, candidates: DataFrame) -> DataFrame:
     """Symbols that text layer and candidate show a different number of times; formulas with
     unreliable glyphs are left out."""
-    seen = glyphs_in_formulas(glyphs, blocks)
-    bad = seen.where("suspicious").select("paper", F.col("id").alias("block")).distinct()
-    have = seen.where(F.col("symbol").isin(*COMPARABLE)).groupBy("paper", F.col("id").alias("block"), "symbol").agg(F.count(F.lit(1)).alias("source"))
-    read = symbol_counts(candidates)
-    keys = read.select("paper", "block", "seq").distinct().join(have.select("paper", "block").distinct(), ["paper", "block"], "left_semi").join(bad, ["paper", "block"], "left_anti")
-    want = keys.join(have, ["paper", "block"])
-    got = read.join(keys, ["paper", "block", "seq"], "left_semi")
-    both = want.join(got, ["paper", "block", "seq", "symbol"], "full_outer")
-    return both.select("paper", "block", "seq", "symbol", F.coalesce("source", F.lit(0)).alias("source_count"), F.coalesce("n", F.lit(0)).alias("candidate_count")).where("source_count <> candidate_count")
+    comparable = F.col("symbol").isin(*COMPARABLE)
+    # one row per formula: the counts of its symbols, and whether any glyph is unreliable
+    per_symbol = glyphs_in_formulas(glyphs, blocks).groupBy("paper", F.col("id").alias("block"), "symbol").agg(F.count(F.lit(1)).alias("n"), F.max("suspicious").alias("bad"))
+    pairs = lambda: F.map_from_entries(F.collect_list(F.when(comparable, F.struct("symbol", "n"))))
+    have = per_symbol.groupBy("paper", "block").agg(pairs().alias("source"), F.max("bad").alias("bad")).where("not bad and size(source) > 0").drop("bad")
+    read = symbol_counts(candidates).groupBy("paper", "block", "seq").agg(pairs().alias("read"))
+    both = read.join(have, ["paper", "block"]).select("paper", "block", "seq", "source", "read", F.explode(F.array_union(F.map_keys("source"), F.map_keys("read"))).alias("symbol"))
+    count = lambda c: F.coalesce(F.try_element_at(c, F.col("symbol")), F.lit(0))
+    return both.select("paper", "block", "seq", "symbol", count("source").alias("source_count"), count("read").alias("candidate_count")).where("source_count <> candidate_count")
 
 
 def mapping_conflicts(glyphs: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ MATH_FONT = r"(?i)(MI\d|SY\d|EX\d|math)"
 
 
 def unique(glyphs: DataFrame) -> DataFrame:
-    return glyphs.dropDuplicates(list(KEY))
+    """One row per glyph; rows of one key are exact copies. Glyphs are spread by page, so that the removal of
+    copies, joins with a page's boxes and grouping by page or line share one shuffle."""
+    return glyphs.repartition("paper", "page").dropDuplicates(list(KEY))
 
 
 def is_visible(with_space_test: bool = True) -> Column:

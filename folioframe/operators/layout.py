@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 def unique(blocks: DataFrame) -> DataFrame:
+    """One row per block; rows of one key are exact copies."""
     return blocks.dropDuplicates(["paper", "id"])
 
 
@@ -33,13 +34,19 @@ def children(blocks: DataFrame) -> DataFrame:
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Rank of every top-level block in its paper; captions and footnotes follow their owner.
 
-    The rank is a window per paper. Blocks per paper are bounded by its pages, not by the corpus.
+    Blocks are ranked within a page, the page of their owner, and a page's ranks begin where the pages before
+    it end: no window holds the blocks of a whole paper, only one number for each of its pages.
     """
     b = with_order(blocks).where("parent is null or kind in ('caption', 'footnote')")
     owner = F.coalesce(F.try_element_at("links", F.lit("caption_of")), F.try_element_at("links", F.lit("footnote_of")))
     b = b.withColumn("owner", owner)
     o = b.select(F.col("paper").alias("op"), F.col("id").alias("oid"), F.col("page").alias("opage"), F.col("place").alias("oplace"), F.col("seq").alias("oseq"), F.col("kind").alias("okind"))
     j = b.join(o, (F.col("paper") == F.col("op")) & (F.col("owner") == F.col("oid")), "left")
-    kept = j.where("kind <> 'furniture' and (owner is null or (oid is not null and okind <> 'furniture'))")
-    keys = [F.coalesce("opage", "page"), F.coalesce("oplace", "place"), F.coalesce("oseq", "seq"), F.coalesce("oid", "id"), F.col("owner").isNotNull(), "page", "place", "seq", "id"]
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("paper").orderBy(*keys))).select("paper", "id", "page", "kind", "owner", "rank")
+    kept = j.where("kind <> 'furniture' and (owner is null or (oid is not null and okind <> 'furniture'))").withColumn("at", F.coalesce("opage", "page"))
+    keys = [F.coalesce("oplace", "place"), F.coalesce("oseq", "seq"), F.coalesce("oid", "id"), F.col("owner").isNotNull(), "page", "place", "seq", "id"]
+    on_page = kept.withColumn("nth", F.row_number().over(Window.partitionBy("paper", "at").orderBy(*keys))).select("paper", "at", "id", "page", "kind", "owner", "nth")
+    sizes = on_page.groupBy("paper", "at").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("paper").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("paper").alias("sp"), F.col("at").alias("sat"), F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = on_page.join(starts, F.col("paper").eqNullSafe(F.col("sp")) & F.col("at").eqNullSafe(F.col("sat")))
+    return ranked.select("paper", "id", "page", "kind", "owner", (F.col("before") + F.col("nth")).cast("int").alias("rank"))

@@ -24,15 +24,17 @@ def boxes(blocks: DataFrame, prefix: str = "b_") -> DataFrame:
     return blocks.dropDuplicates(["paper", "id"]).select("paper", "page", F.col("id").alias(prefix + "id"), F.col("kind").alias(prefix + "kind"), F.col("parent").alias(prefix + "parent"), F.col("seq").alias(prefix + "seq"), *[F.col(c).alias(prefix + c) for c in ("x0", "y0", "x1", "y1")])
 
 
-def glyph_owner(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(key..., owner): the smallest top-level claiming block around each visible glyph, else null."""
+def glyph_owner(glyphs: DataFrame, blocks: DataFrame, *carried: Column) -> DataFrame:
+    """(key..., owner, carried...): the smallest top-level claiming block around each visible glyph, else null.
+    ``carried`` columns of the glyph come along, so that nobody has to join them back."""
     cx, cy = center()
-    g = unique(glyphs).where(is_visible()).select(*KEY, cx.alias("cx"), cy.alias("cy"))
+    g = unique(glyphs).where(is_visible()).select(*KEY, cx.alias("cx"), cy.alias("cy"), *carried)
+    names = [c for c in g.columns if c not in (*KEY, "cx", "cy")]
     b = boxes(blocks).where(F.col("b_kind").isin(*CLAIMING_KINDS) & F.col("b_parent").isNull()).withColumn("b_area", area("b_x0", "b_y0", "b_x1", "b_y1"))
     b = b.withColumnsRenamed({"paper": "bp", "page": "bpage"})
     inside = (F.col("paper") == F.col("bp")) & (F.col("page") == F.col("bpage")) & F.col("cx").between(F.col("b_x0") - PAD, F.col("b_x1") + PAD) & F.col("cy").between(F.col("b_y0") - PAD, F.col("b_y1") + PAD)
     hit = g.join(b, inside, "left")
-    return hit.groupBy(*KEY).agg(F.min_by("b_id", F.struct("b_area", "b_seq", "b_id")).alias("owner"))
+    return hit.groupBy(*KEY).agg(F.min_by("b_id", F.struct("b_area", "b_seq", "b_id")).alias("owner"), *[F.first(n).alias(n) for n in names])
 
 
 def region_evidence(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import lines as L
 from folioframe.functions.udfs import lazily
-from folioframe.operators.glyphs import KEY, is_visible, unique
 from folioframe.operators.layout import children, reading_order, unique as unique_blocks
 from folioframe.operators.spatial import glyph_owner
 
@@ -17,10 +16,9 @@ _GLYPH = "struct<text:string,font:string,size:double,x0:double,y0:double,x1:doub
 
 def block_glyphs(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(paper, owner, glyphs): each block's visible glyphs in drawing order; a block is a bounded group."""
-    g = unique(glyphs).where(is_visible())
-    owned = glyph_owner(glyphs, blocks).where("owner is not null")
     item = F.struct("span", "ch", F.struct("text", "font", F.col("size_pt").alias("size"), "x0", "y0", "x1", "y1", "ox", "oy").alias("g"))
-    return g.join(owned, list(KEY)).groupBy("paper", "owner").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["g"]).alias("glyphs"))
+    owned = glyph_owner(glyphs, blocks, item.alias("item")).where("owner is not null")
+    return owned.groupBy("paper", "owner").agg(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["g"]).alias("glyphs"))
 
 
 def _compose(column: pd.Series) -> pd.DataFrame:
@@ -66,9 +64,9 @@ def block_markdown(blocks: DataFrame) -> DataFrame:
 
 
 def documents(blocks: DataFrame) -> DataFrame:
-    """One Markdown text per paper in reading order."""
-    ranked = reading_order(blocks).join(block_markdown(blocks), ["paper", "id"]).groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("rank", "markdown"))).alias("parts"))
-    return ranked.select("paper", F.array_join(F.transform("parts", lambda p: p["markdown"]), "\n\n").alias("markdown"), F.size("parts").cast("long").alias("n_blocks"))
+    """(paper, rank, markdown): a paper's Markdown as its blocks in reading order. A paper may be of any size,
+    so it never stands in one value; written sorted by rank, with blank lines between, the rows are its file."""
+    return reading_order(blocks).join(block_markdown(blocks), ["paper", "id"]).select("paper", "rank", "id", "markdown")
 
 
 def context_mask(blocks: DataFrame) -> DataFrame:

@@ -20,12 +20,15 @@ def with_family(candidates: DataFrame, engines: DataFrame) -> DataFrame:
 
 def simple_key(content: Column) -> Column:
     """A normal form that SQL can express: outer dollars and spaces off, single scripts braced, aliases one."""
-    t = F.regexp_replace(content, r"^\s*(\$\$?|\\\[|\\\()|(\$\$?|\\\]|\\\))\s*$", "")
+    # commands that begin like a shorter one are set apart meanwhile
+    t = F.regexp_replace(content, r"\\([lg])eq(q|slant)", r"\\$1E$2")
+    t = F.regexp_replace(t, r"^\s*(\$\$?|\\\[|\\\()|(\$\$?|\\\]|\\\))\s*$", "")
     t = F.regexp_replace(t, r"\\leq", r"\\le")
     t = F.regexp_replace(t, r"\\geq", r"\\ge")
     t = F.regexp_replace(t, r"\\(dfrac|tfrac)", r"\\frac")
     t = F.regexp_replace(t, r"(\\[,;:!]|\s)", "")
-    return F.regexp_replace(t, r"([_^])([A-Za-z0-9])", "$1{$2}")
+    t = F.regexp_replace(t, r"([_^])([A-Za-z0-9])", "$1{$2}")
+    return F.regexp_replace(t, r"\\([lg])E(q|slant)", r"\\$1eq$2")
 
 
 def decide(votes: DataFrame) -> DataFrame:
@@ -54,5 +57,5 @@ def decide(votes: DataFrame) -> DataFrame:
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """The state that holds per block: the latest, and of equals the greatest by status and value."""
-    return decisions.groupBy("paper", "block").agg(F.max(F.struct("decided_at", "status", "value", "rule", "by")).alias("d")).select("paper", "block", "d.*")
+    """The state that holds per block: the latest, and of equals the greatest by status, value, rule, author and evidence."""
+    return decisions.groupBy("paper", "block").agg(F.max(F.struct("decided_at", "status", "value", "rule", "by", "evidence")).alias("d")).select("paper", "block", "d.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.functions import colour, udfs
+from folioframe.functions import udfs
 from folioframe.operators import constraints, glyphs, layout, score, spatial, text, vote
 from folioframe.session import durable, read_table
 from folioframe.sources import models, regions
@@ -24,10 +24,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from folioframe.plans import stage_queries  # noqa: F401  (registers its own)
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from folioframe.plans import stage_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -90,12 +94,12 @@ def mapping_conflicts(t):
     return constraints.mapping_conflicts(t("glyphs"))
 
 
-@query(f"""WITH {_G}, c AS (SELECT paper, font_xref, glyph_id, max(text) AS confirmed FROM g WHERE NOT suspicious_encoding AND font_xref % 2 = 0 GROUP BY ALL)
+@query(f"""WITH {_G}, c AS (SELECT paper, font_xref, glyph_id, max(text) AS confirmed FROM g WHERE NOT suspicious_encoding GROUP BY ALL)
 SELECT g.paper, page, span, ch, coalesce(confirmed, nullif(mapped_text, ''), text) AS symbol, CASE WHEN confirmed IS NOT NULL THEN 'confirmed' WHEN mapped_text IS NOT NULL THEN 'font_table' END AS source
 FROM g LEFT JOIN c USING (paper, font_xref, glyph_id)""")
 def mapping_precedence(t):
     g = t("glyphs")
-    known = g.where("not suspicious_encoding and font_xref % 2 = 0").select("paper", "font_xref", "glyph_id", "text")
+    known = g.where("not suspicious_encoding").select("paper", "font_xref", "glyph_id", "text")
     return constraints.apply_mapping(g, known)
 
 
@@ -114,8 +118,7 @@ def glyph_owner_argmin(t):
 
 @query(f"WITH {_G}, {_B}, {_OWNER} SELECT paper, page, CAST(count(*) AS BIGINT) AS unassigned, left(string_agg(text, '' ORDER BY span, ch), 500) AS sample FROM w WHERE r = 1 AND owner IS NULL GROUP BY ALL")
 def glyph_unassigned(t):
-    alone = spatial.glyph_owner(t("glyphs"), t("blocks")).where("owner is null")
-    g = glyphs.unique(t("glyphs")).select(*glyphs.KEY, "text").join(alone, list(glyphs.KEY), "left_semi")
+    g = spatial.glyph_owner(t("glyphs"), t("blocks"), F.col("text")).where("owner is null")
     return g.groupBy("paper", "page").agg(F.count(F.lit(1)).alias("unassigned"), F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "ch", "text"))), lambda x: x["text"]), ""), F.lit(500)).alias("sample"))
 
 
@@ -166,10 +169,13 @@ def block_children(t):
     return layout.children(t("blocks"))
 
 
-@query(f"""WITH {_B}, {_PLACE}, q AS (SELECT *, coalesce(links['caption_of'], links['footnote_of']) AS owner FROM p WHERE parent IS NULL OR kind IN ('caption', 'footnote')),
-j AS (SELECT q.*, o.id AS oid, o.page AS opage, o.place AS oplace, o.seq AS oseq, o.kind AS okind FROM q LEFT JOIN q o ON q.paper = o.paper AND q.owner = o.id)
-SELECT paper, id, page, kind, owner, CAST(row_number() OVER (PARTITION BY paper ORDER BY coalesce(opage, page), coalesce(oplace, place), coalesce(oseq, seq), coalesce(oid, id), owner IS NOT NULL, page, place, seq, id) AS INT) AS rank
-FROM j WHERE kind <> 'furniture' AND (owner IS NULL OR (oid IS NOT NULL AND okind <> 'furniture'))""")
+_RANKED = """q AS (SELECT *, coalesce(links['caption_of'], links['footnote_of']) AS owner FROM p WHERE parent IS NULL OR kind IN ('caption', 'footnote')),
+j AS (SELECT q.*, o.id AS oid, o.page AS opage, o.place AS oplace, o.seq AS oseq, o.kind AS okind FROM q LEFT JOIN q o ON q.paper = o.paper AND q.owner = o.id),
+ranked AS (SELECT paper, id, page, kind, owner, CAST(row_number() OVER (PARTITION BY paper ORDER BY coalesce(opage, page), coalesce(oplace, place), coalesce(oseq, seq), coalesce(oid, id), owner IS NOT NULL, page, place, seq, id) AS INT) AS rank
+FROM j WHERE kind <> 'furniture' AND (owner IS NULL OR (oid IS NOT NULL AND okind <> 'furniture')))"""
+
+
+@query(f"WITH {_B}, {_PLACE}, {_RANKED} SELECT * FROM ranked")
 def reading_order(t):
     return layout.reading_order(t("blocks"))
 
@@ -183,7 +189,7 @@ def block_cube(t):
 
 _C = "u AS (SELECT DISTINCT ON (paper, block, seq) * FROM candidates), c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY paper, block, engine ORDER BY seq DESC) = 1)"
 _F = "e AS (SELECT engine, min(formula_family) AS known, min(pref) AS pref FROM engines GROUP BY ALL), f AS (SELECT c.* REPLACE (coalesce(c.family, known, c.engine) AS family), pref FROM c LEFT JOIN e USING (engine))"
-_KEY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '^\s*(\$\$?|\\\[|\\\()|(\$\$?|\\\]|\\\))\s*$', '', 'g'), '\\leq', '\le', 'g'), '\\geq', '\ge', 'g'), '\\(dfrac|tfrac)', '\frac', 'g'), '(\\[,;:!]|\s)', '', 'g'), '([_^])([A-Za-z0-9])', '\1{\2}', 'g')"""
+_KEY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\\([lg])eq(q|slant)', '\\\1E\2', 'g'), '^\s*(\$\$?|\\\[|\\\()|(\$\$?|\\\]|\\\))\s*$', '', 'g'), '\\leq', '\le', 'g'), '\\geq', '\ge', 'g'), '\\(dfrac|tfrac)', '\frac', 'g'), '(\\[,;:!]|\s)', '', 'g'), '([_^])([A-Za-z0-9])', '\1{\2}', 'g'), '\\([lg])E(q|slant)', '\\\1eq\2', 'g')"""
 _KEY = _KEY.replace(r"'\le'", r"'\\le'").replace(r"'\ge'", r"'\\ge'").replace(r"'\frac'", r"'\\frac'")
 _V = f"k AS (SELECT f.*, {_KEY} AS key FROM f WHERE format = 'latex' AND trim(content, ' \\t\\n') <> '' AND regexp_matches(content, '\\S'))"
 
@@ -203,12 +209,15 @@ def family_lookup(t):
     return vote.with_family(vote.current(t("candidates")), t("engines")).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("engine").alias("engines"))
 
 
-@query(f"""WITH {_C}, {_F}, {_V}, s AS (SELECT paper, block, count(*) AS n_candidates FROM k GROUP BY ALL),
+_VOTED = """s AS (SELECT paper, block, count(*) AS n_candidates FROM k GROUP BY ALL),
 g AS (SELECT paper, block, key, list_sort(list_distinct(list(family))) AS fams, min(lpad(CAST(coalesce(pref, 2147483647) AS VARCHAR), 12, '0') || engine) AS best, arg_min(content, lpad(CAST(coalesce(pref, 2147483647) AS VARCHAR), 12, '0') || engine) AS value FROM k GROUP BY ALL),
-w AS (SELECT *, row_number() OVER o AS place, count(*) OVER (PARTITION BY paper, block) AS groups, lead(len(fams)) OVER o AS second FROM g WINDOW o AS (PARTITION BY paper, block ORDER BY len(fams) DESC, best))
-SELECT s.paper, s.block, CASE WHEN len(fams) >= 2 AND (groups = 1 OR len(fams) > coalesce(second, 0)) THEN 'accepted' WHEN groups = 1 THEN 'unverified' WHEN n_candidates >= 2 THEN 'conflict' ELSE 'unverified' END AS status, value,
+w AS (SELECT *, row_number() OVER o AS place, count(*) OVER (PARTITION BY paper, block) AS groups, lead(len(fams)) OVER o AS second FROM g WINDOW o AS (PARTITION BY paper, block ORDER BY len(fams) DESC, best)),
+v AS (SELECT s.paper, s.block, CASE WHEN len(fams) >= 2 AND (groups = 1 OR len(fams) > coalesce(second, 0)) THEN 'accepted' WHEN groups = 1 THEN 'unverified' WHEN n_candidates >= 2 THEN 'conflict' ELSE 'unverified' END AS status, value,
 CASE WHEN len(fams) >= 2 AND groups = 1 THEN 'unanimous:' || array_to_string(fams, '+') WHEN len(fams) >= 2 AND len(fams) > coalesce(second, 0) THEN 'majority:' || array_to_string(fams, '+') WHEN groups = 1 THEN 'single_family:' || fams[1] WHEN n_candidates >= 2 THEN 'disagreement' ELSE 'single_candidate' END AS rule,
-CAST(n_candidates AS BIGINT) AS n_candidates, CAST(coalesce(groups, 0) AS BIGINT) AS n_groups FROM s LEFT JOIN w ON s.paper = w.paper AND s.block = w.block AND place = 1""")
+CAST(n_candidates AS BIGINT) AS n_candidates, CAST(coalesce(groups, 0) AS BIGINT) AS n_groups FROM s LEFT JOIN w ON s.paper = w.paper AND s.block = w.block AND place = 1)"""
+
+
+@query(f"WITH {_C}, {_F}, {_V}, {_VOTED} SELECT * FROM v")
 def vote_decisions(t):
     """Votes with the normal form that SQL can express, without rejections."""
     return vote.decide(_votes(t))
@@ -225,12 +234,14 @@ def vote_families(t):
     return _votes(t).groupBy("paper", "block", "key").agg(F.count_distinct("family").alias("families"), F.count(F.lit(1)).alias("engines"))
 
 
-@query("""SELECT paper, block, d.status AS status, d.value AS value, d.rule AS rule FROM (SELECT paper, block, max_by(struct_pack(status := status, value := value, rule := rule), decided_at) AS d FROM decisions GROUP BY ALL HAVING count(DISTINCT decided_at) = count(DISTINCT (decided_at, status, value, rule)))""")
+_D = '''d AS (SELECT paper, block, status, value, rule, "by", evidence, decided_at FROM decisions QUALIFY row_number() OVER (PARTITION BY paper, block
+ORDER BY decided_at DESC NULLS LAST, status DESC NULLS LAST, value DESC NULLS LAST, rule DESC NULLS LAST, "by" DESC NULLS LAST, evidence DESC NULLS LAST) = 1)'''
+
+
+@query(f"WITH {_D} SELECT paper, block, status, value, rule FROM d")
 def decision_latest(t):
-    """The state that holds, for blocks without two different states at one time."""
-    d = t("decisions")
-    clear = d.select("paper", "block", "decided_at", "status", "value", "rule").distinct().groupBy("paper", "block").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("decided_at").alias("m")).where("n = m")
-    return vote.latest_decisions(d).join(clear, ["paper", "block"], "left_semi").select("paper", "block", "status", "value", "rule")
+    """The state that holds of each block."""
+    return vote.latest_decisions(t("decisions")).select("paper", "block", "status", "value", "rule")
 
 
 @query(f"WITH {_C} SELECT left(sha256(coalesce(engine, chr(0)) || chr(31) || coalesce(content, chr(0))), 32) AS key, CAST(count(*) AS BIGINT) AS items FROM c GROUP BY ALL")
@@ -370,24 +381,32 @@ def context_mask(t):
     return text.context_mask(t("blocks"))
 
 
-@query(f"""WITH {_B}, {_KIDS}, w AS (SELECT b.paper, b.id, b.kind, b.level, {_WOVEN} AS prose FROM b LEFT JOIN kid ON kid.paper = b.paper AND kid.owner = b.id)
-SELECT paper, id, CASE kind WHEN 'title' THEN '# ' || prose WHEN 'heading' THEN repeat('#', CAST(greatest(2, least(6, coalesce(level, 2))) AS BIGINT)) || ' ' || prose WHEN 'display_math' THEN '$$' || chr(10) || prose || chr(10) || '$$'
-WHEN 'code' THEN '```' || chr(10) || prose || chr(10) || '```' WHEN 'algorithm' THEN '```' || chr(10) || prose || chr(10) || '```' WHEN 'footnote' THEN '> ' || prose ELSE prose END AS markdown FROM w WHERE prose <> ''""")
+_MARKDOWN = f"""w AS (SELECT b.paper, b.id, b.kind, b.level, {_WOVEN} AS prose FROM b LEFT JOIN kid ON kid.paper = b.paper AND kid.owner = b.id),
+md AS (SELECT paper, id, CASE kind WHEN 'title' THEN '# ' || prose WHEN 'heading' THEN repeat('#', CAST(greatest(2, least(6, coalesce(level, 2))) AS BIGINT)) || ' ' || prose WHEN 'display_math' THEN '$$' || chr(10) || prose || chr(10) || '$$'
+WHEN 'code' THEN '```' || chr(10) || prose || chr(10) || '```' WHEN 'algorithm' THEN '```' || chr(10) || prose || chr(10) || '```' WHEN 'footnote' THEN '> ' || prose ELSE prose END AS markdown FROM w WHERE prose <> '')"""
+
+
+@query(f"WITH {_B}, {_KIDS}, {_MARKDOWN} SELECT * FROM md")
 def markdown_blocks(t):
     return text.block_markdown(t("blocks"))
 
 
-@query()
+@query(f"WITH {_B}, {_PLACE}, {_RANKED}, {_KIDS}, {_MARKDOWN} SELECT ranked.paper, rank, ranked.id, markdown FROM ranked JOIN md ON md.paper = ranked.paper AND md.id = ranked.id")
 def markdown_documents(t):
     return text.documents(t("blocks"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl') AS text FROM documents")
+_LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("￼", ""))
+_CLEANED = "text"
+for _a, _b in _LIGATURES:
+    _CLEANED = f"replace({_CLEANED}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT doc_id, nfc_normalize({_CLEANED}) AS text FROM documents")
 def ligature_clean(t):
-    c = F.col("text")
-    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return t("documents").select("doc_id", c.alias("text"))
+    """Ligatures opened, slots taken out, accents composed."""
+    plain = F.col("text").rlike(r"^[\x00-\x7f]*$")
+    return t("documents").select("doc_id", F.when(plain, F.col("text")).otherwise(udfs.clean_text("text")).alias("text"))
 
 
 @query("SELECT DISTINCT path, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', ''), '[^A-Za-z0-9_.\\-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'paper') AS key FROM papers WHERE path IS NOT NULL")
@@ -479,11 +498,3 @@ def inline_precision_recall(t):
     """Glyphs in math fonts against the glyphs of target regions."""
     g = glyphs.unique(t("glyphs"))
     return score.precision_recall(g.where(glyphs.is_math_font()), g.where("in_target"), list(glyphs.KEY))
-
-
-@query("SELECT DISTINCT o_orderkey AS n, o_orderkey % 63999 AS decoded FROM orders")
-def color_codec_roundtrip(t):
-    """Numbers to colours and back."""
-    n = t("orders").select(F.col("o_orderkey").alias("n")).distinct()
-    c = n.withColumn("c", colour.encode(F.col("n") % 63999))
-    return c.select("n", colour.decode(F.col("c.r"), F.col("c.g"), F.col("c.b")).alias("decoded"))

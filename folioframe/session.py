@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,18 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that executors share; a local one only where the session names none."""
-    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The folder that executors share. On one machine a folder of its own will do; on a cluster the session
+    has to name one."""
+    context = spark.sparkContext
+    set_already = context._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "folioframe-checkpoints")
-    spark.sparkContext.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        folder = os.path.join(os.environ.get("FOLIOFRAME_CHECKPOINTS") or tempfile.gettempdir(), "folioframe-checkpoints")
+    context.setCheckpointDir(folder)
     return folder
 
 
@@ -28,10 +35,3 @@ def durable(df: DataFrame) -> DataFrame:
     recompute it nor depend on an executor that may be lost."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def scale_partitions(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Spread a small, Python-heavy input over the cluster: Parquet splits follow bytes,
-    but the work of the text operators follows characters."""
-    want = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
