@@ -145,3 +145,59 @@ def expand(latex: str, known: dict[str, tuple[int, str | None, str]]) -> tuple[s
             text += " "
         work = work[:a] + text + work[end:]
     return work, False
+
+
+# ---------------------------------------------------------------- sources of a project
+
+# Environments in which a row break may end the body.
+ALIGNED = frozenset(e + s for e in "align gather eqnarray flalign alignat multline".split() for s in ("", "*"))
+_INCLUDED = re.compile(r"\\(?:input|include|subfile)\s*\{(?P<file>[^}]+)\}|\\(?:sub)?import\s*\{(?P<folder>[^}]*)\}\s*\{(?P<part>[^}]+)\}")
+_COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)%[^\n]*")
+_BEGIN = re.compile(r"\\begin\s*\{document\}")
+_LAST_BREAK = re.compile(r"\\\\\s*(?:\[[^\]]*\])?\s*\Z")
+
+
+def include_names(text: str, body_only: bool = False) -> list[str]:
+    """Files that a source includes, as they are named; ``body_only``: from its document body."""
+    plain = _COMMENT.sub(r"\1", text)
+    if body_only:
+        begin = _BEGIN.search(plain)
+        plain = plain[begin.end():] if begin else ""
+    return [m["file"] or (m["folder"] or "") + m["part"] for m in _INCLUDED.finditer(plain)]
+
+
+def marker_positions(text: str, segment: dict) -> tuple[int, int]:
+    """Where a marker opens and closes inside a segment's body: before a row break that ends an aligned one."""
+    begin = text.index(segment["body"], segment["start"])
+    body = segment["body"]
+    last = _LAST_BREAK.search(body) if segment["env"] in ALIGNED else None
+    return begin, begin + (last.start() if last else len(body))
+
+
+def instrument(text: str, first: int = 0, main: bool = False, preamble: str = "") -> tuple[str, list[dict]]:
+    """A source with a marker around every math segment, and the segments by number. Of a main file only the
+    body is marked, and ``preamble`` goes before it."""
+    begin = _BEGIN.search(text) if main else None
+    if main and not begin:
+        raise ValueError("a main file without a document body")
+    head = text[:begin.start()] + preamble + text[begin.start():begin.end()] if begin else ""
+    rest = text[begin.end():] if begin else text
+    out, at, records = [head], 0, []
+    for n, s in enumerate(segments(rest), first):
+        a, b = marker_positions(rest, s)
+        out += [rest[at:a], f"\\markB{{{n}}}", rest[a:b], "\\markE "]
+        at = b
+        records.append({"id": n, "delim": s["delim"], "env": s["env"], "line": s["line"] + (text.count("\n", 0, begin.end()) if begin else 0), "latex": s["body"]})
+    return "".join([*out, rest[at:]]), records
+
+
+_UNSUPPORTED = re.compile(r"\\(?:(?:New|Renew|Provide|Declare)(?:Document|Expandable(?:Document)?)Command|[exg]def)\s*\{?\s*\\([a-zA-Z@]+)")
+
+
+def unsupported(text: str) -> set[str]:
+    """Macros whose definitions are not followed."""
+    return set(_UNSUPPORTED.findall(_COMMENT.sub(r"\1", text)))
+
+
+def used_unsupported(latex: str, names: set[str]) -> list[str]:
+    return sorted(names.intersection(re.findall(r"\\([a-zA-Z@]+)", latex)))

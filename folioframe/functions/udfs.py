@@ -76,3 +76,4 @@ clean_text = column("string", clean)
 segments = column("array<struct<start:int,end:int,delim:string,env:string,body:string,line:int>>", X.segments)
 score = column2("struct<strict:boolean,layout:boolean,loose:boolean,similarity:double,empty:boolean>", L.score)
 compare = column2("struct<body:string,number:string,difference_count:int>", lambda a, b: {k: v for k, v in L.compare(a, b).items() if k != "differences"})
+patch = column2("struct<latex:string,error:string>", lambda a, b: dict(zip(("latex", "error"), L.patch_equation(a, b))))

@@ -79,6 +79,11 @@ def formula_glyphs(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
 def _per_row(returns: str, f):
     """``f`` over two columns of one row."""
     def make():
+        if returns.startswith("struct"):
+            def rows(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+                return pd.DataFrame([f(_plain(x), _plain(y)) for x, y in zip(a, b)], columns=[p.split(":")[0] for p in returns[7:-1].split(",")])
+            return F.pandas_udf(rows, returns)
+
         def two(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([f(_plain(x), _plain(y)) for x, y in zip(a, b)], dtype=object)
         return F.pandas_udf(two, returns)
@@ -96,6 +101,15 @@ _labels = _per_row("array<struct<id:string,status:string,numbers:array<string>>>
 _edges = _per_row("array<struct<trim:string,prose:string,first:int,last:int>>", G.edge_prose)
 
 
+_matrices = _per_row("struct<status:string,rows:int,source_rows:int>", G.matrix_findings)
+
+
+def matrix_checks(glyphs: DataFrame, blocks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(paper, block, seq, status, rows, source_rows) of readings that may hold a matrix."""
+    j = formula_glyphs(glyphs, blocks).withColumnRenamed("id", "block").join(candidates, ["paper", "block"])
+    return j.select("paper", "block", "seq", _matrices("glyphs", "content").alias("m")).select("paper", "block", "seq", "m.*")
+
+
 def script_findings(glyphs: DataFrame, blocks: DataFrame, candidates: DataFrame) -> DataFrame:
     """Symbols that text layer and candidate place in different scripts."""
     j = formula_glyphs(glyphs, blocks).withColumnRenamed("id", "block").join(candidates, ["paper", "block"])

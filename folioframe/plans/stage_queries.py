@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioframe.operators import glyphs, layout, stages, vote
-from folioframe.plans.registry import _B, _C, _D, _F, _G, _NAME, _SHOWN, _V, _VOTED, query
+from folioframe.functions import udfs
+from folioframe.operators import constraints, delivery, glyphs, layout, stages, vote
+from folioframe.plans.registry import _B, _C, _D, _F, _G, _KIDS, _MARKDOWN, _NAME, _PLACE, _RANKED, _SHOWN, _V, _VOTED, query
 
 _MATH = "kind IN ('display_math', 'inline_math')"
 _FINAL = "coalesce(status IN ('accepted', 'resolved'), false)"
@@ -232,3 +233,52 @@ def color_codec_roundtrip(t):
 
     n = t("orders").select((F.col("o_orderkey") % 63999).alias("n")).distinct().withColumn("c", colour.encode(F.col("n")))
     return n.select("n", *[F.round(f"c.{k}", 6).alias(k) for k in "rgb"], colour.decode(F.col("c.r"), F.col("c.g"), F.col("c.b")).alias("decoded"))
+
+
+# ---------------------------------------------------------------- text and delivery
+
+
+@query()
+def engine_text(t):
+    """Prose as engines read it, with a slot for every formula."""
+    return delivery.engine_text(t("blocks"), t("candidates")).select("paper", "id", "text", F.array_join("formulas", "|").alias("formulas"), "source")
+
+
+@query()
+def text_stage(t):
+    """Prose of every block from the text layer where it can be read, else from an engine."""
+    return delivery.text_stage(t("blocks"), t("glyphs"), t("candidates")).select("paper", "id", "text", F.array_join("formulas", "|").alias("formulas"), "source")
+
+
+@query(f"""WITH {_STATES}, {_PLACE}, {_RANKED}, {_KIDS}, {_MARKDOWN} SELECT ranked.paper, rank, ranked.id, printf('<!-- %s p%d %s -->', ranked.id, st.page + 1, st.kind) || chr(10) || markdown
+|| CASE WHEN st.kind = 'display_math' AND NOT {_FINAL} THEN printf('<!--unresolved %s-->', ranked.id) ELSE '' END AS markdown
+FROM ranked JOIN md ON md.paper = ranked.paper AND md.id = ranked.id JOIN st ON st.paper = ranked.paper AND st.block = ranked.id""")
+def working_markdown(t):
+    return delivery.working_markdown(t("blocks"), t("decisions"))
+
+
+@query(f"""WITH {_B}, {_PLACE} SELECT paper, '---' || chr(10) || 'title: ' || to_json(title) || chr(10) || '---' || chr(10) AS front FROM
+(SELECT paper, arg_min(text, (page, place, seq, id)) AS title FROM p WHERE kind = 'title' AND text IS NOT NULL GROUP BY ALL)""")
+def front_matter(t):
+    return delivery.front_matter(t("blocks"))
+
+
+@query()
+def display_latex(t):
+    numbers = constraints.number_association(t("glyphs"), t("blocks"))
+    return delivery.display_latex(t("blocks"), t("decisions"), numbers)
+
+
+@query()
+def equation_patches(t):
+    """Each reading of a displayed formula as a patch of the decided one: what it would become, or why it may not."""
+    d = vote.latest_decisions(t("decisions")).where("value is not null").select("paper", "block", "value")
+    b = layout.unique(t("blocks")).where("kind = 'display_math'").select("paper", F.col("id").alias("block"))
+    c = vote.current(t("candidates")).where("format = 'latex' and content is not null").select("paper", "block", "engine", "content")
+    return c.join(b, ["paper", "block"]).join(d, ["paper", "block"]).select("paper", "block", "engine", udfs.patch("value", "content").alias("p")).select("paper", "block", "engine", "p.*")
+
+
+@query()
+def matrix_checks(t):
+    """Rows of each reading's matrix against the baselines of the text layer."""
+    return constraints.matrix_checks(t("glyphs"), t("blocks"), t("candidates").dropDuplicates(["paper", "block", "seq"]).where("content like '%matrix%' or content like '%array%'").select("paper", "block", "seq", "content"))
