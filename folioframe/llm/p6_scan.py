@@ -409,20 +409,26 @@ def repair(text: str, heads: list[str], numbers: set[str], lexicon: dict, total:
 # ---------------------------------------------------------------- operators
 
 
+#: Pages of one stretch of a paper. A running head is looked for on the pages of its stretch and of the two
+#: beside it, so that no row holds the heads of a whole volume.
+STRETCH = 32
+
+
 def scanned_blocks(spark: SparkSession, directory: str) -> DataFrame:
-    """Blocks of scanned pages that may hold prose, with the paper's heads and the page's numbers."""
+    """Blocks of scanned pages that may hold prose, with the heads around them and the page's numbers."""
     blocks = blocks_of(spark, directory)
     pages = read_table(spark, directory, "pages").groupBy("paper", "page").agg(F.max("text_layer.status").alias("status"))
-    heads = (
-        blocks.where(F.col("kind") == "furniture").select("paper", F.trim("text").alias("h")).where(F.col("h").rlike(r"\p{L}{3,}"))
-        .unionByName(read_table(spark, directory, "papers").select("paper", F.col("title").alias("h")).where("h is not null"))
-        .groupBy("paper", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("paper").agg(F.collect_set("h").alias("heads"))
-    )
-    numbers = blocks.where((F.col("kind") == "furniture") & F.lower("text").rlike(r"^\W*([0-9]{1,4}|[ivxlcdm]+)\W*$")).groupBy("paper", "page").agg(F.collect_set(F.regexp_extract(F.lower("text"), "([0-9]{1,4}|[ivxlcdm]+)", 1)).alias("numbers"))
+    furniture = blocks.where("kind = 'furniture'")
+    stretch = F.floor(F.col("page") / STRETCH).cast("int")
+    around = F.explode(F.array(*[stretch + i for i in (-1, 0, 1)])).alias("stretch")
+    heads = furniture.select("paper", F.trim("text").alias("h"), around).where(F.col("h").rlike(r"\p{L}{3,}")).groupBy("paper", "stretch").agg(F.collect_set("h").alias("heads"))
+    titles = read_table(spark, directory, "papers").where("title is not null").groupBy("paper").agg(F.min("title").alias("title"))
+    numbers = furniture.where(F.lower("text").rlike(r"^\W*([0-9]{1,4}|[ivxlcdm]+)\W*$")).groupBy("paper", "page").agg(F.collect_set(F.regexp_extract(F.lower("text"), "([0-9]{1,4}|[ivxlcdm]+)", 1)).alias("numbers"))
+    none = F.array().cast("array<string>")
     return (
         blocks.where(F.col("kind").isin(*KINDS) & F.col("text").rlike(r"\S")).join(pages, ["paper", "page"], "left")
-        .where(F.coalesce(F.col("status"), F.lit("none")).isin(*SCANNED)).join(heads, "paper", "left").join(numbers, ["paper", "page"], "left")
-        .select("paper", "id", "page", "kind", "text", "heads", "numbers")
+        .where(F.coalesce(F.col("status"), F.lit("none")).isin(*SCANNED)).withColumn("stretch", stretch).join(heads, ["paper", "stretch"], "left").join(titles, "paper", "left").join(numbers, ["paper", "page"], "left")
+        .select("paper", "id", "page", "kind", "text", F.concat(F.coalesce("heads", none), F.when(F.col("title").isNotNull(), F.array("title")).otherwise(none)).alias("heads"), "numbers")
     )
 
 
