@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,24 @@ def words(text: str) -> list[str]:
     return WORD.findall(text)
 
 
+def to_python(column: pa.Array) -> list:
+    """The values of an Arrow column as Python's, nested ones by whole columns."""
+    kind = column.type
+    if pa.types.is_struct(kind):
+        names = [f.name for f in kind]
+        out = [dict(zip(names, v)) for v in zip(*map(to_python, column.flatten()))] if names else column.to_pylist()
+        return [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist())] if column.null_count else out
+    if pa.types.is_list(kind):
+        values, out, at = to_python(column.flatten()), [], 0
+        for n in pc.list_value_length(column).to_pylist():
+            out.append(None if n is None else values[at:at + n])
+            at += n or 0
+        return out
+    if pa.types.is_string(kind) or not column.null_count and pa.types.is_primitive(kind) and not pa.types.is_temporal(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def python_stage(df: DataFrame, schema: str, rows: Callable[[dict], Iterable[tuple]]) -> DataFrame:
     """Apply ``rows`` to every row (a dict) of ``df`` in Arrow batches; what it yields are the new rows."""
     from pyspark.sql.types import StructType
@@ -37,7 +56,8 @@ def python_stage(df: DataFrame, schema: str, rows: Callable[[dict], Iterable[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
-                out = [r for row in batch.slice(start, 2048).to_pylist() for r in rows(row)]
+                part = batch.slice(start, 2048)
+                out = [r for values in zip(*map(to_python, part.columns)) for r in rows(dict(zip(part.schema.names, values)))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), target)], schema=target)
 

@@ -149,56 +149,85 @@ def to_clean(text: str, kind: str | None = None) -> str:
     def cell(s: str) -> str:
         return html.unescape(re.sub(r"<[^<>]*>", "", s)).strip()
 
-    t = text
-    t = re.sub(r"<!--.*?(?:-->|\Z)", "", t, flags=re.S)
-    t = re.sub(r"(?is)<(?:pre|syntaxhighlight)[^>]*>(?:\s*<code[^>]*>)?(.*?)(?:</code>\s*)?(?:</(?:pre|syntaxhighlight)>|\Z)", lambda m: "\n" + keep(html.unescape(m[1].strip("\n"))) + "\n", t)
-    t = re.sub(r"(?s)(```|~~~)[\w+-]*\n(.*?)(?:\n?\1|\Z)", lambda m: "\n" + keep(m[2]) + "\n", t)
-    t = re.sub(r"(?s)\\begin\{(?:verbatim|lstlisting|minted)\}(?:\{[^}]*\}|\[[^\]]*\])*\n?(.*?)(?:\\end\{(?:verbatim|lstlisting|minted)\}|\Z)", lambda m: "\n" + keep(m[1].strip("\n")) + "\n", t)
+    t = text  # every pattern is tried where a sign of it stands
+    if "<!--" in t:
+        t = re.sub(r"<!--.*?(?:-->|\Z)", "", t, flags=re.S)
+    if "<" in t:
+        t = re.sub(r"(?is)<(?:pre|syntaxhighlight)[^>]*>(?:\s*<code[^>]*>)?(.*?)(?:</code>\s*)?(?:</(?:pre|syntaxhighlight)>|\Z)", lambda m: "\n" + keep(html.unescape(m[1].strip("\n"))) + "\n", t)
+    if "```" in t or "~~~" in t:
+        t = re.sub(r"(?s)(```|~~~)[\w+-]*\n(.*?)(?:\n?\1|\Z)", lambda m: "\n" + keep(m[2]) + "\n", t)
+    if "\\begin" in t:
+        t = re.sub(r"(?s)\\begin\{(?:verbatim|lstlisting|minted)\}(?:\{[^}]*\}|\[[^\]]*\])*\n?(.*?)(?:\\end\{(?:verbatim|lstlisting|minted)\}|\Z)", lambda m: "\n" + keep(m[1].strip("\n")) + "\n", t)
     if kind in CODE_KINDS:
         t = html.unescape(re.sub(rf"(?i)</?{_NAME}{_ATTR}\s*/?>", "", t))
         return re.sub(r"\ue0f0(\d+)\ue0f1", lambda m: kept[int(m[1])], t).strip("\n")
-    t = re.sub(r"[A-Za-z]:(?:\\[\w.-]+)+", lambda m: keep(m[0]), t)
-    t = re.sub(r"(?is)<table[^>]*>(.*?)(?:</table>|\Z)", lambda m: table(["\t".join(cell(c) for c in re.split(r"(?i)<t[dh][^>]*>", r)[1:]) for r in re.split(r"(?i)<tr[^>]*>", m[1])]), t)
-    t = re.sub(r"(?ms)^\s*\{\|[^\n]*\n(.*?)(?:^\s*\|\}|\Z)", lambda m: table([_cells(re.sub(r"^\s*[|!]", "", r), r"\|\||!!") for r in m[1].split("\n") if not re.match(r"\s*\|[-+]", r)]), t)
-    t = re.sub(r"(?s)\\begin\{(?:tabular|array)\*?\}(?:\{[^}]*\})*(.*?)(?:\\end\{(?:tabular|array)\*?\}|\Z)", lambda m: table([_cells(re.sub(r"\\(?:hline|toprule|midrule|bottomrule)", "", r), r"(?<!\\)&") for r in re.split(r"\\\\", m[1])]), t)
-    t = re.sub(r"(?m)(?:^\s*\|.*(?:\n|\Z))+", lambda m: table([_cells(r, r"(?<!\\)\|") for r in m[0].split("\n") if not re.fullmatch(r"[\s|:-]*", r)]), t)
+    if ":\\" in t:
+        t = re.sub(r"[A-Za-z]:(?:\\[\w.-]+)+", lambda m: keep(m[0]), t)
+    if "<" in t:
+        t = re.sub(r"(?is)<table[^>]*>(.*?)(?:</table>|\Z)", lambda m: table(["\t".join(cell(c) for c in re.split(r"(?i)<t[dh][^>]*>", r)[1:]) for r in re.split(r"(?i)<tr[^>]*>", m[1])]), t)
+    if "{|" in t:
+        t = re.sub(r"(?ms)^\s*\{\|[^\n]*\n(.*?)(?:^\s*\|\}|\Z)", lambda m: table([_cells(re.sub(r"^\s*[|!]", "", r), r"\|\||!!") for r in m[1].split("\n") if not re.match(r"\s*\|[-+]", r)]), t)
+    if "\\begin" in t:
+        t = re.sub(r"(?s)\\begin\{(?:tabular|array)\*?\}(?:\{[^}]*\})*(.*?)(?:\\end\{(?:tabular|array)\*?\}|\Z)", lambda m: table([_cells(re.sub(r"\\(?:hline|toprule|midrule|bottomrule)", "", r), r"(?<!\\)&") for r in re.split(r"\\\\", m[1])]), t)
+    if "|" in t:
+        t = re.sub(r"(?m)(?:^\s*\|.*(?:\n|\Z))+", lambda m: table([_cells(r, r"(?<!\\)\|") for r in m[0].split("\n") if not re.fullmatch(r"[\s|:-]*", r)]), t)
     # formulas
-    t = re.sub(r"(?s)\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|\$([^\s$](?:[^$\n]*?[^\s$\\])?)\$(?!\d)|\\begin\{(?:equation|align|gather)\*?\}(.+?)\\end\{(?:equation|align|gather)\*?\}", lambda m: keep(next(g for g in m.groups() if g is not None).strip()), t)
+    if "$" in t or "\\" in t:
+        t = re.sub(r"(?s)\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|\$([^\s$](?:[^$\n]*?[^\s$\\])?)\$(?!\d)|\\begin\{(?:equation|align|gather)\*?\}(.+?)\\end\{(?:equation|align|gather)\*?\}", lambda m: keep(next(g for g in m.groups() if g is not None).strip()), t)
     # headings
-    t = re.sub(r"(?is)<h[1-6][^>]*>(.*?)(?:</h[1-6]>|\n|\Z)", r"\n\n\1\n\n", t)
-    t = re.sub(r"(?m)^\s{0,3}#{1,6}\s+(.*?)#*\s*$", r"\n\n\1\n\n", t)
-    t = re.sub(r"(?m)^\s*={2,6}\s*([^=\n]+?)\s*(?:={2,6})?\s*$", r"\n\n\1\n\n", t)
-    t = re.sub(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph|title|caption)\*?\s*\{([^{}]*)\}", r"\n\n\1\n\n", t)
+    if "<" in t:
+        t = re.sub(r"(?is)<h[1-6][^>]*>(.*?)(?:</h[1-6]>|\n|\Z)", r"\n\n\1\n\n", t)
+    if "#" in t:
+        t = re.sub(r"(?m)^\s{0,3}#{1,6}\s+(.*?)#*\s*$", r"\n\n\1\n\n", t)
+    if "==" in t:
+        t = re.sub(r"(?m)^\s*={2,6}\s*([^=\n]+?)\s*(?:={2,6})?\s*$", r"\n\n\1\n\n", t)
+    if "\\" in t:
+        t = re.sub(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph|title|caption)\*?\s*\{([^{}]*)\}", r"\n\n\1\n\n", t)
     # lists
-    t = re.sub(r"(?i)<li[^>]*>", "\n• ", t)
-    t = re.sub(r"\\item(?:\[([^\]]*)\])?\s*", lambda m: f"\n• {m[1] or ''}".rstrip() + " ", t)
+    if "<" in t:
+        t = re.sub(r"(?i)<li[^>]*>", "\n• ", t)
+    if "\\item" in t:
+        t = re.sub(r"\\item(?:\[([^\]]*)\])?\s*", lambda m: f"\n• {m[1] or ''}".rstrip() + " ", t)
     t = re.sub(r"(?m)^(\s*)[-+*](?=\s+\S)", r"\1•", t)
     t = re.sub(r"(?m)^(\s*)[*#:;]{2,}(?=\s+\S)", r"\1•", t)
     # inline wiki, Markdown, LaTeX
-    t = re.sub(r"(?is)<ref[^>]*/>|<ref[^>]*>.*?</ref>", "", t)
-    n = 1
+    if "<" in t:
+        t = re.sub(r"(?is)<ref[^>]*/>|<ref[^>]*>.*?</ref>", "", t)
+    n = "{{" in t
     while n:
         t, n = re.subn(r"(?s)\{\{[^{}]*\}\}", "", t)
-    t = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", t)
-    t = re.sub(r"\[https?://\S+\s+([^\]]+)\]", r"\1", t)
-    t = re.sub(r"!?\[([^\]\n]*)\]\((?:https?:|#|/|\.|mailto:|\w+[./#])[^)\n]*\)", r"\1", t)
-    t = re.sub(r"(?m)^\s{0,3}>+\s+", "", t)
-    t = re.sub(r"\\(?:label|vspace|hspace|input|index|pagestyle)\*?\{[^{}]*\}", "", t)
-    t = re.sub(r"\\(?:begin|end)\{[^}]*\}", "\n", t)
-    while True:
+    if "[[" in t:
+        t = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", t)
+    if "[http" in t:
+        t = re.sub(r"\[https?://\S+\s+([^\]]+)\]", r"\1", t)
+    if "](" in t:
+        t = re.sub(r"!?\[([^\]\n]*)\]\((?:https?:|#|/|\.|mailto:|\w+[./#])[^)\n]*\)", r"\1", t)
+    if ">" in t:
+        t = re.sub(r"(?m)^\s{0,3}>+\s+", "", t)
+    if "\\" in t:
+        t = re.sub(r"\\(?:label|vspace|hspace|input|index|pagestyle)\*?\{[^{}]*\}", "", t)
+        t = re.sub(r"\\(?:begin|end)\{[^}]*\}", "\n", t)
+    while "\\" in t:
         t, n = re.subn(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", t)
         t, k = re.subn(r"\{\\[a-zA-Z]+\s+([^{}]*)\}", r"\1", t)
         if not n + k:
             break
-    t = re.sub(r"\\[a-zA-Z]+\*?\s?", "", t)
-    t = re.sub(r"(?i)<br\s*/?>|</?(?:p|div|ul|ol|dl|tr|section|blockquote)\b[^>]*>", "\n", t)
-    t = re.sub(rf"(?i)</?{_INLINE}{_ATTR}\s*/?>|</?{_NAME}{_ATTR}\s*/?>", "", t)
+    if "\\" in t:
+        t = re.sub(r"\\[a-zA-Z]+\*?\s?", "", t)
+    if "<" in t:
+        t = re.sub(r"(?i)<br\s*/?>|</?(?:p|div|ul|ol|dl|tr|section|blockquote)\b[^>]*>", "\n", t)
+        t = re.sub(rf"(?i)</?{_INLINE}{_ATTR}\s*/?>|</?{_NAME}{_ATTR}\s*/?>", "", t)
     t = re.sub(r"'{2,5}|\*\*|(?<!\w)__|__(?!\w)|`+|\[\[|\]\]|\{\{|\}\}|[{}]", "", t)
-    t = re.sub(r"(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*(?![\w*])|(?<!\w)_(?=\S)([^_\n]+?)(?<=\S)_(?!\w)", lambda m: m[1] or m[2], t)
-    t = re.sub(r"\\([&%$#_{}])", r"\1", t)
-    t = re.sub(r"(?<=[^\W_\d])~(?=[^\W_])|(?<=\.)~(?=[^\W_])", " ", t)
-    t = re.sub(r"\\\\", "\n", t)
-    t = html.unescape(t)
+    if "*" in t or "_" in t:
+        t = re.sub(r"(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*(?![\w*])|(?<!\w)_(?=\S)([^_\n]+?)(?<=\S)_(?!\w)", lambda m: m[1] or m[2], t)
+    if "\\" in t:
+        t = re.sub(r"\\([&%$#_{}])", r"\1", t)
+    if "~" in t:
+        t = re.sub(r"(?<=[^\W_\d])~(?=[^\W_])|(?<=\.)~(?=[^\W_])", " ", t)
+    if "\\" in t:
+        t = re.sub(r"\\\\", "\n", t)
+    if "&" in t:
+        t = html.unescape(t)
     t = re.sub(r"[ \t]*\n[ \t]*(?=[^•\s]|$)", "\n", t)
     t = re.sub(r"\n{3,}", "\n\n", t)
     t = re.sub(r"\ue0f0(\d+)\ue0f1", lambda m: kept[int(m[1])], t)

@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import INVISIBLE, MATH_KINDS, blocks_of, candidates_of, python_stage
+from folioframe.llm.base import INVISIBLE, MATH_KINDS, blocks_of, candidates_of, python_stage, to_python
 from folioframe.llm.p5_lookalike import LATIN_OF
 from folioframe.session import durable, read_table
 
@@ -325,13 +325,13 @@ def fit(pats: DataFrame, rounds: int = MOST_ROUNDS) -> Community:
 
             counts: dict = defaultdict(float)
             for b in batches:
-                for row in b.to_pylist():
-                    read = [(x["engine"], x["family"], x["g"]) for x in row["readings"]]
-                    _, bound, own = infer(now, row["kind"], read, row["relations"], row["fixed"])
+                for kind, readings, relations, fixed, times in zip(*(to_python(b.column(c)) for c in ("kind", "readings", "relations", "fixed", "n"))):
+                    read = [(x["engine"], x["family"], x["g"]) for x in readings]
+                    _, bound, own = infer(now, kind, read, relations, fixed)
                     for e, r, n in own:
-                        counts[e, row["kind"], r] += n * row["n"]
-                    counts["", "", "bound"] += bound * row["n"]
-                    counts["", "", "readings"] += len(read) * row["n"]
+                        counts[e, kind, r] += n * times
+                    counts["", "", "bound"] += bound * times
+                    counts["", "", "readings"] += len(read) * times
             if counts:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*((*k, v) for k, v in sorted(counts.items())))], names=["engine", "kind", "relation", "n"])
 

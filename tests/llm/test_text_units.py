@@ -15,6 +15,21 @@ from folioframe.llm import p7_leak as p7
 from folioframe.llm import p8_mix as p8
 from folioframe.llm import p9_quality as p9
 
+def test_columns_come_out_as_python():
+    import pyarrow as pa
+
+    from folioframe.llm.base import to_python
+
+    kinds = [
+        (pa.list_(pa.struct([("a", pa.int32()), ("b", pa.string()), ("c", pa.list_(pa.string()))])), [[{"a": 1, "b": "x", "c": ["y", None]}, {"a": None, "b": None, "c": None}], None, [], [None], [{"a": 2, "b": "", "c": []}]]),
+        (pa.string(), ["a", None, "", "é", "b"]), (pa.int64(), [1, None, 3, 4, 5]), (pa.int64(), [1, 2, 3, 4, 5]), (pa.float64(), [1.5, 2.0, 3.0, 4.0, 5.0]), (pa.bool_(), [True, False, None, True, True]), (pa.bool_(), [True, False, True, True, False]),
+        (pa.struct([("x", pa.int32())]), [{"x": 1}, None, {"x": None}, {"x": 4}, {"x": 5}])]
+    for kind, values in kinds:
+        column = pa.array(values, kind)
+        assert to_python(column) == values and to_python(column.slice(1, 3)) == values[1:4] and to_python(column.slice(5)) == []
+        assert all(type(a) is type(b) for a, b in zip(to_python(column), values))
+
+
 # ---------------------------------------------------------------- 1
 
 
