@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.operators import layout, vote
-from folioframe.operators.spatial import PROSE_KINDS
+from folioframe.operators.glyphs import center, is_visible, symbol
+from folioframe.operators.glyphs import unique as unique_glyphs
+from folioframe.operators.spatial import PAD, PROSE_KINDS, boxes
 
 # States, kinds and limits that the results depend on.
 MATH_KINDS = ("display_math", "inline_math")
@@ -217,3 +219,50 @@ def font_table(glyphs: DataFrame) -> DataFrame:
     capital, letter = F.col("text").rlike("^[A-Z]$"), F.col("text").rlike(r"^[\p{L}\p{N}]$") | F.lit(OML_SYMBOLS).contains(F.col("text"))
     fits = F.when(F.col("t.encoding").isin("OMS", "UMSB", "EUS", "RSFS"), capital).when(F.col("t.encoding") == "EUF", F.col("text").rlike(r"^[\x00-\x7f]$")).otherwise(letter)
     return g.where(fits).select("paper", "page", "span", "ch", F.col("text").alias("symbol"), F.col("t.styles").alias("styles")).distinct()
+
+
+# ---------------------------------------------------------------- what the text layer says of a formula
+
+
+def in_formulas(glyphs: DataFrame, blocks: DataFrame, *carried: Column) -> DataFrame:
+    """(paper, id, span, ch, carried...): visible glyphs whose centre lies in a formula's box."""
+    cx, cy = center()
+    g = unique_glyphs(glyphs).where(is_visible(False)).select(F.col("paper").alias("gp"), F.col("page").alias("gpage"), "span", "ch", cx.alias("cx"), cy.alias("cy"), *carried)
+    names = [c for c in g.columns if c not in ("gp", "gpage", "cx", "cy")]
+    b = boxes(blocks).where(F.col("b_kind").isin(*MATH_KINDS))
+    inside = (F.col("gp") == F.col("paper")) & (F.col("gpage") == F.col("page")) & F.col("cx").between(F.col("b_x0") - PAD, F.col("b_x1") + PAD) & F.col("cy").between(F.col("b_y0") - PAD, F.col("b_y1") + PAD)
+    return b.join(g, inside).select("paper", F.col("b_id").alias("id"), *names)
+
+
+def is_extension_font() -> Column:
+    """Fonts of large delimiters and operators, whose glyphs stand where they are drawn in pieces."""
+    return F.coalesce(font_family().rlike("EX$") | font_family().isin("TEX_CM_MATHS_EXTENSION", "MATHEXTRA"), F.lit(False))
+
+
+def geometry_reliable(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(paper, id, reliable): whether a formula's glyphs are all known well enough to compare their places."""
+    unmapped = F.coalesce(F.col("mapped_text"), F.lit("")) == ""
+    doubtful = (F.coalesce("suspicious_encoding", F.lit(False)) | (F.coalesce("font", F.lit("")) == "")) & unmapped & ~is_extension_font()
+    return in_formulas(glyphs, blocks, doubtful.alias("doubtful")).groupBy("paper", "id").agg((~F.bool_or("doubtful")).alias("reliable"))
+
+
+def prose_mixed_in(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(paper, id, source_text): formulas whose glyphs hold a citation of a figure or table."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "ch", "s"))), lambda x: x["s"]), "")
+    return in_formulas(glyphs, blocks, symbol().alias("s")).groupBy("paper", "id").agg(text.alias("source_text")).where(F.col("source_text").rlike(r"(?:Fig(?:ure)?\.|Table)\s*\d"))
+
+
+def style_counts(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(paper, id, symbol, style, n): how many glyphs of a letter a formula shows in each style that LaTeX has a
+    command for; a bold font counts as bold."""
+    bold = F.array(F.when(F.col("font_flags").bitwiseAND(16) != 0, "bold"))
+    styles = F.array_distinct(F.array_compact(F.concat(F.coalesce("mapped_styles", F.array().cast("array<string>")), bold)))
+    g = in_formulas(glyphs, blocks, symbol().alias("symbol"), styles.alias("styles")).where(F.col("symbol").rlike(r"^\p{L}+$"))
+    return g.select("paper", "id", "symbol", F.explode("styles").alias("style")).where(F.col("style").isin(*STYLES)).groupBy("paper", "id", "symbol", "style").agg(F.count(F.lit(1)).alias("n"))
+
+
+def review(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(paper, id, reasons): formulas that someone has to look at, and why."""
+    doubt = geometry_reliable(glyphs, blocks).where("not reliable").select("paper", "id", F.lit("unreliable_geometry").alias("reason"))
+    prose = prose_mixed_in(glyphs, blocks).select("paper", "id", F.lit("prose_in_formula").alias("reason"))
+    return doubt.unionByName(prose).groupBy("paper", "id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))

@@ -308,8 +308,15 @@ def alias_normalise(t):
     return _latex(t).select("paper", "block", "seq", udfs.normal_form("content").alias("normal"))
 
 
-@query()
+_STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_TAG = r"\\tag\s*(\*?)\s*\{((?:[^{}]|\{[^{}]*\})*)\}"
+_BARE = " ".join(f"WHEN starts_with(s, '{a}') AND ends_with(s, '{b}') AND length(s) >= {2 * n} THEN s[{n + 1}:-{n + 1}]" for a, b, n in (("$$", "$$", 2), ("\\[", "\\]", 2), ("\\(", "\\)", 2), ("$", "$", 1)))
+
+
+@query(f"""WITH {_M}, s AS (SELECT paper, block, seq, {_STRIPPED.format('content')} AS s FROM m), w AS (SELECT paper, block, seq, {_STRIPPED.format(f"CASE {_BARE} ELSE s END")} AS t FROM s)
+SELECT paper, block, seq, {_STRIPPED.format(f"regexp_replace(t, '{_TAG}', ' ', 'g')")} AS body, array_to_string(regexp_extract_all(t, '{_TAG}', 2), ',') AS tags FROM w""")
 def split_tags(t):
+    """Bodies and equation tags; the SQL takes tags with braces one deep, outside groups."""
     return _latex(t).select("paper", "block", "seq", udfs.tags("content").alias("t")).select("paper", "block", "seq", "t.body", F.array_join("t.tags", ",").alias("tags"))
 
 

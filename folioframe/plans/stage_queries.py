@@ -282,3 +282,36 @@ def equation_patches(t):
 def matrix_checks(t):
     """Rows of each reading's matrix against the baselines of the text layer."""
     return constraints.matrix_checks(t("glyphs"), t("blocks"), t("candidates").dropDuplicates(["paper", "block", "seq"]).where("content like '%matrix%' or content like '%array%'").select("paper", "block", "seq", "content"))
+
+
+# ---------------------------------------------------------------- what the text layer says of a formula
+
+_FAMILY = f"upper(regexp_replace({_NAME}, '[0-9]+$', ''))"
+_IN = f"""g2 AS (SELECT DISTINCT paper, page, span, ch, text, font, font_flags, mapped_text, mapped_styles, suspicious_encoding, x0, y0, x1, y1 FROM glyphs WHERE {_SHOWN}),
+fg AS (SELECT b.paper, b.id, span, ch, coalesce(nullif(mapped_text, ''), g2.text) AS symbol, font, font_flags, mapped_text, mapped_styles, suspicious_encoding FROM b JOIN g2 ON g2.paper = b.paper AND g2.page = b.page
+AND (g2.x0 + g2.x1) / 2 BETWEEN b.x0 - 1 AND b.x1 + 1 AND (g2.y0 + g2.y1) / 2 BETWEEN b.y0 - 1 AND b.y1 + 1 WHERE {_MATH}),
+rel AS (SELECT paper, id, NOT bool_or((coalesce(suspicious_encoding, false) OR coalesce(font, '') = '') AND coalesce(mapped_text, '') = ''
+AND NOT coalesce(ends_with({_FAMILY}, 'EX') OR {_FAMILY} IN ('TEX_CM_MATHS_EXTENSION', 'MATHEXTRA'), false)) AS reliable FROM fg GROUP BY ALL),
+mix AS (SELECT paper, id, string_agg(symbol, '' ORDER BY span, ch) AS source_text FROM fg GROUP BY ALL HAVING regexp_matches(string_agg(symbol, '' ORDER BY span, ch), '(Fig(ure)?\\.|Table)\\s*[0-9]'))"""
+
+
+@query(f"WITH {_B}, {_IN} SELECT * FROM rel")
+def geometry_reliable(t):
+    return stages.geometry_reliable(t("glyphs"), t("blocks"))
+
+
+@query(f"WITH {_B}, {_IN} SELECT * FROM mix")
+def prose_in_formulas(t):
+    return stages.prose_mixed_in(t("glyphs"), t("blocks"))
+
+
+@query(f"""WITH {_B}, {_IN}, s AS (SELECT paper, id, symbol, unnest(list_distinct(list_concat(coalesce(mapped_styles, []), CASE WHEN font_flags & 16 <> 0 THEN ['bold'] ELSE [] END))) AS style FROM fg WHERE regexp_full_match(symbol, '\\p{{L}}+'))
+SELECT paper, id, symbol, style, CAST(count(*) AS BIGINT) AS n FROM s WHERE style IN ({", ".join(f"'{s}'" for s in stages.STYLES)}) GROUP BY ALL""")
+def font_style_counts(t):
+    return stages.style_counts(t("glyphs"), t("blocks"))
+
+
+@query(f"""WITH {_B}, {_IN}, r AS (SELECT paper, id, 'unreliable_geometry' AS reason FROM rel WHERE NOT reliable UNION ALL SELECT paper, id, 'prose_in_formula' FROM mix)
+SELECT paper, id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY ALL""")
+def formulas_to_review(t):
+    return stages.review(t("glyphs"), t("blocks"))

@@ -125,3 +125,23 @@ def test_export_needs_final_formulas(spark, tmp_path):
     assert marked["f"] == "<!-- f p1 display_math -->\n$$\nx\n$$<!--unresolved f-->" and "unresolved" not in marked["t"]
     numbers = spark.createDataFrame([("p", "f", "associated_by_layout", "3")], "paper string, id string, status string, numbers string")
     assert delivery.display_latex(blocks, state("accepted"), numbers).first().latex == r"x \tag{3}"
+
+
+def test_command_line(capsys):
+    from folioframe.__main__ import main
+
+    assert main(["list"]) == 0 and "batch_status" in capsys.readouterr().out.split()
+    assert main(["run", "no_such_query", "a", "b"]) == 2 and main([]) == 2
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from folioframe.session import checkpoint_dir
+
+    unset = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))), setCheckpointDir=lambda folder: None)
+    session = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(master=master, **vars(unset)), conf=SimpleNamespace(get=lambda key, default: default))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(session(master))
+    assert checkpoint_dir(session("local[4]")).endswith("folioframe-checkpoints")
