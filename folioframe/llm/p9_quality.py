@@ -84,10 +84,16 @@ def _class(c: str) -> str:
     return "digit" if c.isdigit() else "space" if c.isspace() else "symbol" if c.isprintable() else "other"
 
 
+_ASCII = bytes(CLASSES.index(_class(chr(i))) if i < 128 else 255 for i in range(256))
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+
+
 def char_classes(text: str) -> dict[str, float]:
-    n = dict.fromkeys(CLASSES, 0)
-    for c, k in Counter(text).items():
-        n[_class(c)] += k
+    own = text.encode("ascii", "ignore").translate(_ASCII)
+    n = {k: own.count(i) for i, k in enumerate(CLASSES)}
+    if len(own) < len(text):
+        for c, k in Counter(_BEYOND.findall(text)).items():
+            n[_class(c)] += k
     size = max(1, len(text))
     return {k: v / size for k, v in n.items()}
 
@@ -154,11 +160,13 @@ def line_kinds(text: str, count: Counter | None = None) -> dict[str, float]:
     text = re.sub(r"(?s)\$\$(?:(?!\n\s*\n|\$\$).)*\$\$", lambda m: m[0].replace("\n", " "), text)
     raw = [x for x in re.split(r"\r\n?|\n", text) if x.strip()]
     # lines of wrapped prose are read together
+    last = ""
     for x in raw:
-        if paragraphs and not _END.search(paragraphs[-1][-6:]) and not _BULLET.match(x) and not _columns(x) and len(paragraphs[-1].split("\n")[-1]) >= 45 and not _END.search(paragraphs[-1]) and not _columns(paragraphs[-1].split("\n")[-1]) and not _TOC.search(paragraphs[-1]) and (len(x.split()) > 2 or _END.search(x)):
+        if len(last) >= 45 and not _END.search(last[-40:]) and not _BULLET.match(x) and not _columns(x) and not _columns(last) and not _TOC.search(last) and (x.count(" ") > 3 or len(x.split()) > 2 or _END.search(x)):
             paragraphs[-1] += "\n" + x
         else:
             paragraphs.append(x)
+        last = x
     marks: list[tuple[str, str]] = []
     widths = Counter(c for x in paragraphs if (c := _columns(x)) and c != 99)
     number_rows = sum(1 for x in paragraphs if _columns(x) and cells_with_numbers(x))
@@ -312,9 +320,10 @@ def measured(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        words, totals = pa.map_(pa.string(), pa.float64()), Counter()
-        types = (pa.int64(), pa.string(), pa.list_(pa.float64()), words, pa.list_(pa.float64()), words)
-        names = ["doc_id", "language", "kinds", "words", "classes", "totals"]
+        totals: Counter = Counter()
+        shares = pa.list_(pa.float64())
+        types = (pa.int64(), pa.string(), shares, pa.list_(pa.string()), shares, shares, pa.map_(pa.string(), pa.float64()))
+        names = ["doc_id", "language", "kinds", "words", "shares", "classes", "totals"]
 
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -325,7 +334,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 rows = []
                 for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     if not text.strip():
-                        rows.append((d, None, [], [], [], None))
+                        rows.append((d, None, [], [], [], [], None))
                         continue
                     lang, kinds, fws, classes = features(text)
                     s = seed(kinds)
@@ -333,14 +342,14 @@ def measured(docs: DataFrame) -> DataFrame:
                     for what, x in (("k", kinds), ("w", fws), ("c", classes)):
                         for k, n in x.items():
                             totals[lang, s, what, k] += n
-                    rows.append((d, lang, [kinds.get(k, 0.0) for k in LINES], list(fws.items()), [classes[c] for c in CLASSES], None))
+                    rows.append((d, lang, [kinds.get(k, 0.0) for k in LINES], list(fws), list(fws.values()), [classes[c] for c in CLASSES], None))
                 if rows:
                     yield out(rows)
         if totals:
-            yield out([(None, None, None, None, None, [("\t".join(k), n) for k, n in sorted(totals.items())])])
+            yield out([(*[None] * 6, [("\t".join(k), n) for k, n in sorted(totals.items())])])
 
     source = spread(docs.select("doc_id", "text")).where("doc_id is not null and text is not null")
-    return durable(source.mapInArrow(run, "doc_id long, language string, kinds array<double>, words map<string,double>, classes array<double>, totals map<string,double>"))
+    return durable(source.mapInArrow(run, "doc_id long, language string, kinds array<double>, words array<string>, shares array<double>, classes array<double>, totals map<string,double>"))
 
 
 def profiles_of(rows: DataFrame) -> Profiles:
@@ -358,14 +367,14 @@ def judged(docs: DataFrame) -> DataFrame:
         if not row["kinds"]:
             yield row["doc_id"], "junk", "junk", None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0
             return
-        kinds, words, classes = dict(zip(LINES, row["kinds"])), dict(row["words"]), dict(zip(CLASSES, row["classes"]))
+        kinds, words, classes = dict(zip(LINES, row["kinds"])), dict(zip(row["words"], row["shares"])), dict(zip(CLASSES, row["classes"]))
         parts = profiles.far(row["language"], kinds, words, classes)
         far = {s: sum(w * x for w, x in zip(WEIGHTS, parts[s])) for s in SHAPES}
         plain = {s: parts[s][1] + parts[s][2] for s in SHAPES}
         yield row["doc_id"], nearest(far), nearest(plain), row["language"], parts["prose"][1], parts["prose"][2], *(far[s] for s in SHAPES)
 
     return python_stage(
-        rows.where("doc_id is not null").select("doc_id", "language", "kinds", "words", "classes"),
+        rows.where("doc_id is not null").select("doc_id", "language", "kinds", "words", "shares", "classes"),
         "doc_id long, shape string, by_words_and_classes string, language string, word_js double, class_js double, far_prose double, far_list double, far_table double, far_junk double", judge)
 
 
