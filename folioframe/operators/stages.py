@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.operators import layout, vote
-from folioframe.operators.glyphs import center, is_visible, symbol
+from folioframe.operators.glyphs import center, is_math_font, is_visible, symbol
 from folioframe.operators.glyphs import unique as unique_glyphs
-from folioframe.operators.spatial import PAD, PROSE_KINDS, boxes
+from folioframe.operators.spatial import PAD, PROSE_KINDS, area, boxes
 
 # States, kinds and limits that the results depend on.
 MATH_KINDS = ("display_math", "inline_math")
@@ -266,3 +266,34 @@ def review(glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
     doubt = geometry_reliable(glyphs, blocks).where("not reliable").select("paper", "id", F.lit("unreliable_geometry").alias("reason"))
     prose = prose_mixed_in(glyphs, blocks).select("paper", "id", F.lit("prose_in_formula").alias("reason"))
     return doubt.unionByName(prose).groupBy("paper", "id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def math_runs(glyphs: DataFrame, factor: float = 1.0) -> DataFrame:
+    """(paper, page, span, run, x0, y0, x1, y1): stretches of glyphs in math fonts on a line, with their boxes."""
+    line = Window.partitionBy("paper", "page", "span").orderBy("x0", "ch")
+    g = unique_glyphs(glyphs).where(is_visible() & is_math_font())
+    broken = F.when(F.col("x0") - F.lag("x1").over(line) > factor * F.col("size_pt"), 1).otherwise(0)
+    run = g.withColumn("b", broken).withColumn("run", F.sum("b").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy("paper", "page", "span", "run").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def run_proposals(glyphs: DataFrame, blocks: DataFrame, least: float = 0.5) -> DataFrame:
+    """(paper, page, span, run, id, iou): the inline formula that a layout engine proposed at a run, the one that
+    overlaps it best; runs that none overlaps by ``least`` have no row."""
+    p = boxes(blocks, "p_").where("p_kind = 'inline_math'").withColumnsRenamed({"paper": "pp", "page": "ppage"})
+    meets = (F.col("paper") == F.col("pp")) & (F.col("page") == F.col("ppage")) & (F.col("x0") < F.col("p_x1")) & (F.col("p_x0") < F.col("x1")) & (F.col("y0") < F.col("p_y1")) & (F.col("p_y0") < F.col("y1"))
+    j = math_runs(glyphs).join(p, meets)
+    inter = (F.least("x1", "p_x1") - F.greatest("x0", "p_x0")) * (F.least("y1", "p_y1") - F.greatest("y0", "p_y0"))
+    both = area() + area("p_x0", "p_y0", "p_x1", "p_y1") - inter
+    best = j.withColumn("iou", F.when(both > 0, inter / both).otherwise(0.0)).where(F.col("iou") >= least)
+    return best.groupBy("paper", "page", "span", "run").agg(F.max_by("p_id", F.struct("iou", -F.col("p_seq"), "p_id")).alias("id"), F.round(F.max("iou"), 6).alias("iou"))
+
+
+def alignment(read: DataFrame, glyphs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(paper, block, seq, symbol, status): whether each symbol of a reading stands in the text layer of its
+    formula, and if one can be told from the others. ``read``: (paper, block, seq, symbol, n)."""
+    seen = in_formulas(glyphs, blocks, symbol().alias("symbol")).groupBy("paper", F.col("id").alias("block"), "symbol").agg(F.count(F.lit(1)).alias("seen"))
+    known = seen.select("paper", "block").distinct()
+    j = read.join(known, ["paper", "block"], "left_semi").join(seen, ["paper", "block", "symbol"], "left")
+    status = F.when(F.col("seen").isNull(), "not_in_text_layer").when((F.col("seen") == 1) & (F.col("n") == 1), "unique_symbol").otherwise("ambiguous")
+    return j.select("paper", "block", "seq", "symbol", status.alias("status"))

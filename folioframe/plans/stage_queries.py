@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import udfs
 from folioframe.operators import constraints, delivery, glyphs, layout, stages, vote
-from folioframe.plans.registry import _B, _C, _D, _F, _G, _KIDS, _MARKDOWN, _NAME, _PLACE, _RANKED, _SHOWN, _V, _VOTED, query
+from folioframe.plans.registry import _B, _C, _D, _F, _G, _KIDS, _MARKDOWN, _NAME, _PLACE, _RANKED, _SHOWN, _V, _VISIBLE, _VOTED, query
 
 _MATH = "kind IN ('display_math', 'inline_math')"
 _FINAL = "coalesce(status IN ('accepted', 'resolved'), false)"
@@ -315,3 +315,21 @@ def font_style_counts(t):
 SELECT paper, id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY ALL""")
 def formulas_to_review(t):
     return stages.review(t("glyphs"), t("blocks"))
+
+
+@query(f"""WITH {_G}, {_B}, m AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w > size_pt THEN 1 ELSE 0 END AS b FROM g WHERE {_VISIBLE} AND regexp_matches({_NAME}, '(?i)(MI[0-9]|SY[0-9]|EX[0-9]|math)') WINDOW w AS (PARTITION BY paper, page, span ORDER BY x0, ch)),
+n AS (SELECT *, sum(b) OVER (PARTITION BY paper, page, span ORDER BY x0, ch ROWS UNBOUNDED PRECEDING) AS run FROM m),
+r AS (SELECT paper, page, span, CAST(run AS BIGINT) AS run, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM n GROUP BY paper, page, span, run),
+j AS (SELECT r.*, b.id, b.seq, (least(r.x1, b.x1) - greatest(r.x0, b.x0)) * (least(r.y1, b.y1) - greatest(r.y0, b.y0)) AS w, (r.x1 - r.x0) * (r.y1 - r.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s
+FROM r JOIN b ON b.paper = r.paper AND b.page = r.page AND b.kind = 'inline_math' AND r.x0 < b.x1 AND b.x0 < r.x1 AND r.y0 < b.y1 AND b.y0 < r.y1),
+k AS (SELECT *, w / (s - w) AS iou FROM j WHERE w / (s - w) >= 0.5)
+SELECT paper, page, span, run, arg_max(id, (iou, -seq, id)) AS id, round(max(iou), 6) AS iou FROM k GROUP BY ALL""")
+def run_proposals(t):
+    return stages.run_proposals(t("glyphs"), t("blocks"))
+
+
+@query()
+def glyph_alignment(t):
+    """Symbols of the readings in the text layer of their formula."""
+    c = t("candidates").dropDuplicates(["paper", "block", "seq"]).where("format = 'latex' and content is not null").select("paper", "block", "seq", "content")
+    return stages.alignment(constraints.symbol_counts(c), t("glyphs"), t("blocks"))
