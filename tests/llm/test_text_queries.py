@@ -72,6 +72,25 @@ def test_empty_tables(spark, empty, name):
     assert queries()[name](spark, empty).count() == 0
 
 
+METHODS = {
+    "p1_method": ["paper", "block", "seq", "region_start", "region_end", "score", "markup_start", "markup_end", "markup_score"], "p3_method": ["paper", "block", "seq", "prefix_bits", "limit_bits", "cut"],
+    "p5_method": ["tbl", "paper", "item", "words", "rewritten"], "p6_method": ["paper", "id", "text", "paragraphs", "defects"], "p9_method": ["doc_id", "language", "word_js", "class_js", "shape"]}
+
+
+@pytest.mark.parametrize("name", sorted(METHODS))
+def test_methods_on_hard_and_empty_tables(spark, hard, empty, name):
+    got = queries()[name](spark, hard)
+    assert got.columns == METHODS[name] and got.count() >= 0
+    assert queries()[name](spark, empty).count() == 0
+
+
+def test_methods_stand_first():
+    """Where a method has a query of its own, it is the problem's first."""
+    names = list(queries())
+    for n in METHODS:
+        assert next(x for x in names if x.startswith(n.split("_")[0] + "_")) == n
+
+
 def test_mixture_reaches_shares(spark, data):
     rows = queries()["p8_shares"](spark, data).collect()
     mixed = queries()["p8_mixture"](spark, data).toPandas()
