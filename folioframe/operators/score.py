@@ -29,3 +29,16 @@ def precision_recall(predicted: DataFrame, gold: DataFrame, keys: list[str]) ->
     g = gold.select(*keys).distinct().withColumn("g", F.lit(True))
     n = p.join(g, keys, "full_outer").agg(F.count_if(F.col("p") & F.col("g")).alias("tp"), F.count_if(F.col("p") & F.col("g").isNull()).alias("fp"), F.count_if(F.col("g") & F.col("p").isNull()).alias("fn"))
     return n.select("tp", "fp", "fn", F.round(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")), 6).alias("precision"), F.round(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double")), 6).alias("recall"))
+
+
+def benchmark(scores: DataFrame, gold: DataFrame) -> DataFrame:
+    """Per engine over all reference formulas: how many it answered, with blanks, right, and not at all.
+    ``scores``: (paper, block, engine, correct, empty); ``gold``: (paper, block)."""
+    all_ = gold.distinct().agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
+    own = scores.groupBy("engine").agg(F.count(F.lit(1)).alias("answered"), F.count_if("empty").alias("empty"), F.count_if("correct").alias("correct")).withColumn("k", F.lit(1))
+    return own.join(all_, "k").select("engine", "n", "answered", "empty", "correct", (F.col("n") - F.col("answered")).alias("missing"))
+
+
+def table(rows: DataFrame, name: str, *counts: str) -> DataFrame:
+    """Rows as lines of a console table: the name to the left, counts to the right."""
+    return rows.select(name, F.format_string("%-24s" + " %8d" * len(counts), name, *counts).alias("line"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.functions import udfs
-from folioframe.operators import constraints, delivery, glyphs, layout, stages, vote
-from folioframe.plans.registry import _B, _C, _D, _F, _G, _KIDS, _MARKDOWN, _NAME, _PLACE, _RANKED, _SHOWN, _V, _VISIBLE, _VOTED, query
+from folioframe.operators import constraints, delivery, glyphs, layout, score, stages, vote
+from folioframe.plans.registry import _B, _C, _D, _F, _G, _KIDS, _MARKDOWN, _NAME, _PLACE, _RANKED, _S, _SHOWN, _V, _VISIBLE, _VOTED, _scores, query
 
 _MATH = "kind IN ('display_math', 'inline_math')"
 _FINAL = "coalesce(status IN ('accepted', 'resolved'), false)"
@@ -333,3 +333,24 @@ def glyph_alignment(t):
     """Symbols of the readings in the text layer of their formula."""
     c = t("candidates").dropDuplicates(["paper", "block", "seq"]).where("format = 'latex' and content is not null").select("paper", "block", "seq", "content")
     return stages.alignment(constraints.symbol_counts(c), t("glyphs"), t("blocks"))
+
+
+_BENCH = f"""{_S}, gold AS (SELECT count(*) AS n FROM d JOIN bk USING (paper, block) WHERE kind IN ('display_math', 'inline_math')),
+q AS (SELECT engine, n, count(*) AS answered, count(*) FILTER (key = '') AS empty, count(*) FILTER (correct) AS correct FROM s, gold GROUP BY ALL)"""
+
+
+def _benchmark(t):
+    d = t("decisions").where("value is not null and status in ('accepted', 'resolved')").select("paper", "block")
+    b = layout.unique(t("blocks")).where(F.col("kind").isin(*stages.MATH_KINDS)).select("paper", F.col("id").alias("block"))
+    return score.benchmark(_scores(t), d.join(b, ["paper", "block"], "left_semi"))
+
+
+@query(f"WITH {_BENCH} SELECT engine, CAST(n AS BIGINT) AS n, CAST(answered AS BIGINT) AS answered, CAST(empty AS BIGINT) AS empty, CAST(correct AS BIGINT) AS correct, CAST(n - answered AS BIGINT) AS missing FROM q")
+def formula_benchmark(t):
+    """Every engine against all decided formulas; what it did not answer counts as missing."""
+    return _benchmark(t)
+
+
+@query(f"WITH {_BENCH} SELECT engine, printf('%-24s %8d %8d %8d', engine, n, answered, correct) AS line FROM q")
+def benchmark_table(t):
+    return score.table(_benchmark(t), "engine", "n", "answered", "correct")
