@@ -487,6 +487,14 @@ def test_item_in_a_third_of_the_documents(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("every", [100, 20, 5, 1])
+def test_no_item_is_too_widely_leaked(every):
+    rng = random.Random(10)
+    item = _item(rng, 40)
+    docs = [(d, " ".join(_item(rng, 20) + (item if d % every == 0 else []) + _item(rng, 5))) for d in range(400)]
+    assert search({1: item}, docs, 512) == {(d, 1) for d in range(0, 400, every)}
+
+
 # ---------------------------------------------------------------- 8
 
 
