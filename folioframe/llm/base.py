@@ -61,19 +61,15 @@ def python_stage(df: DataFrame, schema: str, rows: Callable[[dict], Iterable[tup
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), target)], schema=target)
 
-    return spread(df).mapInArrow(run, schema)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a plain table scan of few splits over all cores: splits follow bytes, the work of a
-    Python stage follows characters. Scans of many splits, and what comes out of a shuffle or a
-    written table, stay as they are."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    if "Relation [" not in text or any(x in text for x in ("Join", "Aggregate", "Window", "Repartition", "Sort", "MapInArrow", "Union", "Distinct", "Deduplicate")):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.mapInArrow(run, schema)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain table scan over all cores where it has fewer splits than there are cores: splits follow
+    bytes, the work of a Python stage follows characters. It changes where rows are worked on, never the
+    result. Only for scans; what comes out of a shuffle or a written table stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def candidates_of(spark: SparkSession, directory: str) -> DataFrame:

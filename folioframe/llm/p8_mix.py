@@ -29,7 +29,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import python_stage
+from folioframe.llm.base import python_stage, spread
 from folioframe.session import durable, read_table
 
 TOKENIZER = os.environ.get("FOLIOFRAME_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -54,7 +54,7 @@ def sized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def rows(row: dict):
         yield row["doc_id"], row["source"], len(encoder(tokenizer).encode_ordinary(row["text"])) if row["text"] else 0
 
-    counted = python_stage(docs.select("doc_id", "source", "text").where("doc_id is not null"), "doc_id long, source string, n_tokens long", rows)
+    counted = python_stage(spread(docs.select("doc_id", "source", "text").where("doc_id is not null")), "doc_id long, source string, n_tokens long", rows)
     return counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens")
 
 
