@@ -3,6 +3,7 @@ a query that needs several of its fields evaluates it once; null in gives null o
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -75,5 +76,6 @@ table = column("string", T.render_table)
 clean_text = column("string", clean)
 segments = column("array<struct<start:int,end:int,delim:string,env:string,body:string,line:int>>", X.segments)
 score = column2("struct<strict:boolean,layout:boolean,loose:boolean,similarity:double,empty:boolean>", L.score)
-compare = column2("struct<body:string,number:string,difference_count:int>", lambda a, b: {k: v for k, v in L.compare(a, b).items() if k != "differences"})
+compare = column2("struct<body:string,number:string,difference_count:int,differences:array<struct<a:array<string>,b:array<string>,truncated:boolean>>>", L.compare)
+nfkc = column("string", lambda t: unicodedata.normalize("NFKC", t))
 patch = column2("struct<latex:string,error:string>", lambda a, b: dict(zip(("latex", "error"), L.patch_equation(a, b))))

@@ -12,6 +12,7 @@ from folioframe.functions.lines import SLOT
 from folioframe.functions.udfs import column
 from folioframe.operators import layout, stages, text, vote
 from folioframe.operators.glyphs import text_layer_status
+from folioframe.session import durable
 
 
 def slotted(markdown: str) -> dict:
@@ -131,3 +132,17 @@ def due(papers: DataFrame, done: DataFrame, order: tuple[str, ...], keys: dict[s
     have = done.withColumn("has", F.lit(True))
     missing = wanted.join(have, ["paper", "stage"], "left").where("has is null or want is not null and not (key <=> want)")
     return missing.groupBy("paper").agg(F.min_by("stage", "at").alias("stage"))
+
+
+def run_stages(papers: DataFrame, done: DataFrame, bodies: dict, order: tuple[str, ...], keys: dict[str, str | None]) -> DataFrame:
+    """The table of finished stages after a run: one stage after another over all papers for which it is due.
+
+    ``bodies``: stage -> function of the due papers (paper) that gives those it finished (paper). Papers that a
+    body leaves out wait; the others go on. Every stage's outcome is written once.
+    """
+    for stage in order:
+        todo = durable(due(papers, done, order, keys).where(F.col("stage") == stage).select("paper"))
+        if not todo.isEmpty():
+            finished = bodies[stage](todo).select("paper", F.lit(stage).alias("stage"), F.lit(keys.get(stage)).cast("string").alias("key")).distinct()
+            done = durable(mark(done, finished, order))
+    return done

@@ -349,7 +349,7 @@ def tex_scan(t):
 def compare_latex(t):
     """Each candidate against the decided value of its block."""
     d = vote.latest_decisions(t("decisions")).where("value is not null").select("paper", "block", "value")
-    return _latex(t).join(d, ["paper", "block"]).select("paper", "block", "seq", udfs.compare("content", "value").alias("c")).select("paper", "block", "seq", "c.*")
+    return _latex(t).join(d, ["paper", "block"]).select("paper", "block", "seq", udfs.compare("content", "value").alias("c")).select("paper", "block", "seq", "c.body", "c.number", "c.difference_count", F.to_json("c.differences").alias("differences"))
 
 
 @query()

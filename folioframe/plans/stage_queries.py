@@ -250,6 +250,12 @@ def text_stage(t):
     return delivery.text_stage(t("blocks"), t("glyphs"), t("candidates")).select("paper", "id", "text", F.array_join("formulas", "|").alias("formulas"), "source")
 
 
+@query()
+def inline_children(t):
+    """Every slot of the prose as a formula of its own, named after its block."""
+    return delivery.inline_children(delivery.text_stage(t("blocks"), t("glyphs"), t("candidates")))
+
+
 @query(f"""WITH {_STATES}, {_PLACE}, {_RANKED}, {_KIDS}, {_MARKDOWN} SELECT ranked.paper, rank, ranked.id, printf('<!-- %s p%d %s -->', ranked.id, st.page + 1, st.kind) || chr(10) || markdown
 || CASE WHEN st.kind = 'display_math' AND NOT {_FINAL} THEN printf('<!--unresolved %s-->', ranked.id) ELSE '' END AS markdown
 FROM ranked JOIN md ON md.paper = ranked.paper AND md.id = ranked.id JOIN st ON st.paper = ranked.paper AND st.block = ranked.id""")

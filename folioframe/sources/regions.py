@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.functions.udfs import nfkc
+
 MIDDLE = (
     "struct<pdf_info:array<struct<page_idx:int,page_size:array<double>,para_blocks:array<struct<type:string,bbox:array<double>,index:int,level:int,"
     "lines:array<struct<spans:array<struct<type:string,content:string,html:string,bbox:array<double>>>>>>>,discarded_blocks:array<struct<type:string,bbox:array<double>,index:int,level:int,"
@@ -50,7 +52,9 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame
 
 
 def paper_key(path):
-    """Key of a paper from its file name: ASCII word signs, dots and dashes; ``paper`` if nothing is left."""
+    """Key of a paper from its file name: compatible characters as one, then ASCII word signs, dots and dashes;
+    ``paper`` if nothing is left."""
+    path = F.when(path.rlike(r"^[\x00-\x7f]*$"), path).otherwise(nfkc(path))
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9_.\-]+", "_"), r"^[._]+|[._]+$", ""), F.lit("")), F.lit("paper"))
 

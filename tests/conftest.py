@@ -14,7 +14,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", tempfile.mkdtemp()).getOrCreate())
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", tempfile.mkdtemp()).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

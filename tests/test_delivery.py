@@ -112,6 +112,29 @@ def test_stage_table(spark):
     assert {(r.paper, r.stage) for r in delivery.due(all_, new, order, keys | {"layout": "other"}).collect()} == {("p", "layout"), ("q", "layout"), ("r", "preprocess")}
 
 
+def test_stages_run_in_order(spark):
+    order, ran = ("a", "b", "c"), []
+
+    def body(stage, without=()):
+        def run(todo):
+            ran.append((stage, sorted(r.paper for r in todo.collect())))
+            return todo.where(~F.col("paper").isin(*without)) if without else todo
+        return run
+
+    all_ = spark.createDataFrame([("p",), ("q",), ("r",)], "paper string")
+    done = spark.createDataFrame([("q", "a", None), ("q", "b", None), ("q", "c", None)], "paper string, stage string, key string")
+    now = delivery.run_stages(all_, done, {"a": body("a"), "b": body("b", ["r"]), "c": body("c")}, order, {})
+    assert ran == [("a", ["p", "r"]), ("b", ["p", "r"]), ("c", ["p"])]
+    assert {(r.paper, r.stage) for r in now.collect()} == {*(("p", s) for s in order), *(("q", s) for s in order), ("r", "a")}
+
+
+def test_keys_of_compatible_characters(spark):
+    rows = spark.createDataFrame([("/a/Ｐａｐｅｒ ﬁ.pdf",), ("/a/日.pdf",), ("x y.z.pdf",)], "path string")
+    from folioframe.sources.regions import paper_key
+
+    assert [r.k for r in rows.select(paper_key(F.col("path")).alias("k")).collect()] == ["Paper_fi", "paper", "x_y.z"]
+
+
 def test_export_needs_final_formulas(spark, tmp_path):
     blocks = spark.createDataFrame([("p", "t", 0, 0.0, 0.0, 9.0, 9.0, "title", 0.0, 0, None, 1, "A \"T\"", [], None, {}), ("p", "f", 0, 0.0, 10.0, 9.0, 19.0, "display_math", 1.0, 1, None, None, "x", [], None, {})],
         "paper string, id string, page int, x0 double, y0 double, x1 double, y1 double, kind string, ord double, seq int, parent string, level int, text string, inline array<string>, extra string, links map<string,string>")
