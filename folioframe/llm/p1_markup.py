@@ -8,7 +8,8 @@ region that is most markup, and a record holds markup when that region scores ab
 
 Defined results: null text gives no row in ``found`` and null columns in ``clean``; an empty text
 gives an empty region; texts are processed whole; repeated rows count once; unknown or null
-``format`` and unknown kinds are treated alike; extra columns are not read.
+``format`` and unknown kinds are treated alike; in clean text, footnotes in ``<ref>`` and wiki templates
+leave with what they hold, all other text stays; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -4,11 +4,13 @@ Method: minimum description length. For every line (span) each candidate chain o
 undone glyph by glyph, and the result is compressed with one zstandard dictionary per language;
 the chain with the shortest description, its own cost included, wins, otherwise the line stays
 as it is. Gains are summed over all lines of a paper's font, and a chain that the font supports
-costs less in each of its lines, so that short lines are decided with the whole font's evidence.
+costs less in each of its lines, so that short lines are decided with the whole font's evidence. Every
+line counts for or against each chain, against it by ``SET_APART`` bytes at most.
 
 Defined results: glyphs without ``mapped_text`` are never cases; null keys are kept as a group of
 their own; of repeated or conflicting rows of one glyph the smallest ``mapped_text`` counts;
-``suspicious_encoding`` is not consulted; extra columns are not read; empty tables give no rows.
+``suspicious_encoding`` is not consulted; strings of 40 characters and more between spaces are no words of a
+dictionary; extra columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ IRREGULAR = 1.5
 _ACCENTED = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]*[À-ÖØ-öø-ɏ][A-Za-zÀ-ÖØ-öø-ɏ]*")
 #: Bytes that a line must save before it is changed.
 LEAST_GAIN = 2.0
+#: Bytes by which a line counts against its font's chain at most: what it takes to set the line apart as genuine.
+SET_APART = 12.0
 # Names of encodings. (written in, read as)
 WESTERN = ("cp1252", "mac_roman", "cp437", "cp850")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
@@ -306,16 +310,18 @@ def restored(glyphs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def score(row: dict):
         _, pieces, font = _pieces(row)
-        gains = [g for g in weigh(model, pieces) if g[1] > -12]
+        gains = weigh(model, pieces)
         if gains:
-            yield row["paper"], row["page"], row["span"], font, row["gs"], [{"chain": a, "gain": b} for a, b in gains]
+            # a line that every chain makes much longer stays as it is, and only speaks of its font
+            may_turn = gains[0][1] > -SET_APART
+            yield row["paper"], row["page"], row["span"], font, row["gs"] if may_turn else None, [{"chain": a, "gain": max(b, -SET_APART)} for a, b in gains]
 
     scored = durable(python_stage(lines(glyphs), "paper string, page int, span int, font string, gs array<struct<ch:int,mapped_text:string,font:string>>, gains array<struct<chain:string,gain:double>>", score))
     by_font = durable(scored.select("paper", "font", F.explode("gains").alias("g")).groupBy("paper", "font", "g.chain").agg(F.sum("g.gain").alias("gain")))
     # chains that several fonts support are cheap to name in all others (at most one row per chain comes back)
     seen = {r["chain"]: r["count"] for r in _supported(by_font, {n: c for n, (_, c) in CHAINS.items()}).groupBy("chain").count().collect()}
     font = _supported(by_font, {n: 1.0 if seen.get(n, 0) > 1 else c for n, (_, c) in CHAINS.items()}).select(F.col("paper").alias("p"), F.col("font").alias("f"), F.col("chain").alias("supported"))
-    both = scored.join(font, scored["paper"].eqNullSafe(font["p"]) & scored["font"].eqNullSafe(font["f"]), "left").select("paper", "page", "span", "gs", "supported")
+    both = scored.where("gs is not null").join(font, scored["paper"].eqNullSafe(font["p"]) & scored["font"].eqNullSafe(font["f"]), "left").select("paper", "page", "span", "gs", "supported")
 
     def fix(row: dict):
         chs, pieces, _ = _pieces(row)
