@@ -89,8 +89,10 @@ def _goes_on(short: str, long: str) -> int:
 
 def _meta(text: str | None) -> tuple[bool, bool]:
     """(it says that the output ended at a limit, it says that fewer bytes were read than expected)"""
+    if not text or "length" not in text and "bytes_read" not in text and "\\" not in text:
+        return False, False  # nothing in it can say so
     try:
-        m = json.loads(text) if text else {}
+        m = json.loads(text)
     except ValueError:
         m = {}
     if not isinstance(m, dict):
